@@ -36,3 +36,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # Import modules that register queries (order = survey order).
 from starlens.plans import q_digest  # noqa: E402,F401
 from starlens.plans import q_dashboard  # noqa: E402,F401
+from starlens.plans import q_audit  # noqa: E402,F401
