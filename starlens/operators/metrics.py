@@ -145,9 +145,13 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, values: list[str],
                       *["total_" + v for v in values])
 
 
-def _score_points(df: DataFrame, true: str, probs: dict[int, str]) -> DataFrame:
-    """One row per (class, distinct score): positives and negatives there."""
-    e = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.col(p).alias("score"))
+def _score_points(df: DataFrame, true: str, probs: dict[int, str],
+                  score_digits: int | None = None) -> DataFrame:
+    """One row per (class, distinct score): positives and negatives there.
+    ``score_digits`` rounds scores first (thresholds at that precision)."""
+    def sc(p):
+        return F.round(F.col(p), score_digits) if score_digits is not None else F.col(p)
+    e = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), sc(p).alias("score"))
                             for c, p in probs.items()])).alias("e")
     long = df.select(F.col(true).alias("y"), e)
     return (long.groupBy(F.col("e.cls").alias("cls"), F.col("e.score").alias("score"))
@@ -158,11 +162,12 @@ def _score_points(df: DataFrame, true: str, probs: dict[int, str]) -> DataFrame:
 DEFAULT_PROBS = {0: "prob_negative", 1: "prob_neutral", 2: "prob_positive"}
 
 
-def roc_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None) -> DataFrame:
+def roc_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None,
+               score_digits: int | None = None) -> DataFrame:
     """F16 curve: per class and threshold (distinct score, descending):
     cumulative tp/fp, TPR, FPR. Classes with no positives or no negatives
     are skipped."""
-    pts = prefix_sums(_score_points(df, true, probs or DEFAULT_PROBS), ["cls"],
+    pts = prefix_sums(_score_points(df, true, probs or DEFAULT_PROBS, score_digits), ["cls"],
                       [F.col("score").desc()], ["tp", "fp"])
     pts = pts.filter((F.col("total_tp") > 0) & (F.col("total_fp") > 0))
     return pts.select("cls", "score", "tp", "fp", "cum_tp", "cum_fp", "total_tp", "total_fp",
@@ -170,18 +175,20 @@ def roc_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] |
                       (F.col("cum_fp") / F.col("total_fp")).alias("fpr"))
 
 
-def roc_auc(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None,
+            score_digits: int | None = None) -> DataFrame:
     """F16 area: trapezoids between consecutive thresholds; the previous
     point is (cum - step), so no lag is needed."""
-    pts = roc_points(df, true, probs)
+    pts = roc_points(df, true, probs, score_digits)
     area = F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))) / (
         2.0 * F.first("total_tp") * F.first("total_fp"))
     return pts.groupBy("cls").agg(area.alias("auc"), F.count("*").alias("n_thresholds"))
 
 
-def pr_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None) -> DataFrame:
+def pr_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] | None = None,
+               score_digits: int | None = None) -> DataFrame:
     """F17 curve: precision / recall per threshold (classes without positives skipped)."""
-    pts = prefix_sums(_score_points(df, true, probs or DEFAULT_PROBS), ["cls"],
+    pts = prefix_sums(_score_points(df, true, probs or DEFAULT_PROBS, score_digits), ["cls"],
                       [F.col("score").desc()], ["tp", "fp"])
     pts = pts.filter(F.col("total_tp") > 0)
     return pts.select("cls", "score", "tp", "cum_tp", "cum_fp", "total_tp",
@@ -190,9 +197,9 @@ def pr_points(df: DataFrame, true: str = "star_label", probs: dict[int, str] | N
 
 
 def average_precision(df: DataFrame, true: str = "star_label",
-                      probs: dict[int, str] | None = None) -> DataFrame:
+                      probs: dict[int, str] | None = None, score_digits: int | None = None) -> DataFrame:
     """F17 AP = sum (R_i - R_{i-1}) * P_i, no interpolation."""
-    pts = pr_points(df, true, probs)
+    pts = pr_points(df, true, probs, score_digits)
     ap = F.sum(F.col("tp") / F.col("total_tp") * F.col("precision"))
     return pts.groupBy("cls").agg(ap.alias("average_precision"))
 

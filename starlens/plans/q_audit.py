@@ -50,7 +50,7 @@ TOKENS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x:
 CORE = r"lower(regexp_replace(tok, '^[\p{P}\p{S}]+|[\p{P}\p{S}]+$', '', 'g'))"
 
 SCORED_SQL = rf"""
-SELECT c.*,
+SELECT c.* EXCLUDE (n_tokens, S, P, N, U),
   CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(N / (P + abs(N) + U)), 3) END AS lex_neg,
   CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(U / (P + abs(N) + U)), 3) END AS lex_neu,
   CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(P / (P + abs(N) + U)), 3) END AS lex_pos,

@@ -37,3 +37,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 from starlens.plans import q_digest  # noqa: E402,F401
 from starlens.plans import q_dashboard  # noqa: E402,F401
 from starlens.plans import q_audit  # noqa: E402,F401
+from starlens.plans import q_eval  # noqa: E402,F401
