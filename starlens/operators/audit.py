@@ -45,7 +45,8 @@ def add_class_weight(df: DataFrame, label: str = "star_label", fit_on: DataFrame
     """Attach class weights computed on ``fit_on`` (default: ``df``);
     classes absent from ``fit_on`` get ``default``."""
     table = class_weights(fit_on if fit_on is not None else df, label).select(label, "class_weight")
-    out = df.join(broadcast_if_small(table, 10_000), label, "left")
+    base = df.drop("class_weight")  # re-weighting (e.g. on the train split) replaces old weights
+    out = base.join(broadcast_if_small(table, 10_000), label, "left")
     return out.withColumn("class_weight", F.coalesce("class_weight", F.lit(float(default))))
 
 

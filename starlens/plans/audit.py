@@ -21,3 +21,33 @@ def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = B
     """B9 -> C3 -> C4 -> C5/C6 -> C7 -> C8: the audited review table."""
     df = add_conflicts(add_text_labels(scored_reviews(raw, lexicon, rules)))
     return add_sample_weight(add_class_weight(df))
+
+
+def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_id",
+                   max_features: int = 50_000):
+    """NB1 baseline (J1-J6): TF-IDF vocabulary and idf fitted on the train
+    split only, assembled with the polarity columns, balanced L2 logistic
+    regression; returns (model, featurize) where ``featurize(df)`` builds
+    the same features for any rows."""
+    from pyspark.sql import functions as F
+
+    from starlens.operators import features as ft
+    from starlens.operators.models import assemble, fit_sentiment_lr
+    from starlens.session import cut_lineage
+
+    # The scored table feeds several actions and an iterative fit: pin it
+    # once in the shared checkpoint dir instead of recomputing the lineage.
+    audited = cut_lineage(audited)
+    train = audited.filter(F.col(split) == "train")
+    n_train = train.count()
+    tf_train = ft.term_frequencies(ft.terms(train, key=key), key)
+    vocab = ft.vocabulary(tf_train, n_train, max_features=max_features)
+    vocab_size = vocab.count()
+
+    def featurize(df: DataFrame) -> DataFrame:
+        tf = ft.term_frequencies(ft.terms(df, key=key), key)
+        weights = ft.tfidf(tf, vocab, n_train, key)
+        return assemble(df, weights, vocab_size, key)
+
+    model = fit_sentiment_lr(cut_lineage(featurize(train)))
+    return model, featurize

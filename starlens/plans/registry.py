@@ -39,3 +39,4 @@ from starlens.plans import q_dashboard  # noqa: E402,F401
 from starlens.plans import q_audit  # noqa: E402,F401
 from starlens.plans import q_eval  # noqa: E402,F401
 from starlens.plans import q_text  # noqa: E402,F401
+from starlens.plans import q_models  # noqa: E402,F401
