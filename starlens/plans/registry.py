@@ -41,3 +41,4 @@ from starlens.plans import q_eval  # noqa: E402,F401
 from starlens.plans import q_text  # noqa: E402,F401
 from starlens.plans import q_models  # noqa: E402,F401
 from starlens.plans import q_context  # noqa: E402,F401
+from starlens.plans import q_stream  # noqa: E402,F401
