@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.functions.text import clip, slug, markdown_to_html, strip_ws, word_count, article_status
+from starlens.functions.text import (article_status, clip, flatten_lines, markdown_to_html, slug,
+                                     strip_ws, word_count)
 from starlens.operators.aggregates import composite_score, product_stats
-from starlens.operators.ranking import (longest_reviews, recent_reviews, top_and_worst,
-                                        top_by_volume, worst_by_rating)
+from starlens.operators.ranking import (recent_reviews, top_and_worst, top_by_volume,
+                                        worst_by_rating)
 
 
 def fmt_fixed(x: Column, digits: int) -> Column:
@@ -37,6 +38,29 @@ def digest_stats(df: DataFrame, sentiment: str = "sentiment", min_reviews: int =
     return stats.withColumn("score", composite_score())
 
 
+def _ranked_texts(df: DataFrame, by: tuple[str, str], sentiment: str, key: str,
+                  text: str = "text", n: int = 5) -> DataFrame:
+    """Praise (5 longest positive), complaints (3 longest negative) and worst
+    complaints (5 longest negative) per product from ONE window pruned to n
+    rows per (product, sentiment) before its shuffle."""
+    src = df.filter(F.col(text).isNotNull() & F.col(sentiment).isin(0, 2))
+    for c in by:
+        src = src.filter(F.col(c).isNotNull())
+    w = Window.partitionBy(*by, sentiment).orderBy(F.length(text).desc(), F.col(key).asc())
+    top = (src.select(*by, F.col(sentiment).alias("__s"), F.row_number().over(w).alias("rn"),
+                      flatten_lines(F.col(text)).alias("t"))
+              .filter(F.col("rn") <= n))
+
+    def joined(cond):
+        picked = F.array_sort(F.collect_list(F.when(cond, F.struct("rn", "t"))))
+        return F.array_join(F.transform(picked, lambda s: s["t"]), " | ")
+
+    s, rn = F.col("__s"), F.col("rn")
+    return top.groupBy(*by).agg(joined((s == 2) & (rn <= 5)).alias("praise"),
+                                joined((s == 0) & (rn <= 3)).alias("complaints"),
+                                joined((s == 0) & (rn <= 5)).alias("worst_complaints"))
+
+
 def product_sections(df: DataFrame, sentiment: str = "sentiment", k: int = 3,
                      by: tuple[str, str] = ("cluster_name", "name"),
                      key: str = "review_id") -> DataFrame:
@@ -45,14 +69,8 @@ def product_sections(df: DataFrame, sentiment: str = "sentiment", k: int = 3,
     negative, clip 350); the worst row also gets 5 complaints clipped to 550."""
     cluster, name = by
     tw = top_and_worst(digest_stats(df, sentiment, by=by), k=k, cluster=cluster, name=name)
-    pos = longest_reviews(df, n=5, sentiment_value=2, by=by, sentiment=sentiment, key=key) \
-        .select(*by, F.col("reviews").alias("praise"))
-    neg3 = longest_reviews(df, n=3, sentiment_value=0, by=by, sentiment=sentiment, key=key) \
-        .select(*by, F.col("reviews").alias("complaints"))
-    neg5 = longest_reviews(df, n=5, sentiment_value=0, by=by, sentiment=sentiment, key=key) \
-        .select(*by, F.col("reviews").alias("worst_complaints"))
-    j = (tw.join(pos, list(by), "left").join(neg3, list(by), "left")
-           .join(neg5, list(by), "left"))
+    texts = _ranked_texts(df, by, sentiment, key)
+    j = tw.join(texts, list(by), "left")
     praise = F.coalesce("praise", F.lit(""))
     complaints = F.coalesce("complaints", F.lit(""))
     section = F.concat(

@@ -102,9 +102,19 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "review_id")
 
 def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
                 max_features: int = 50_000, min_df: int = 2, max_df: float = 0.95):
-    """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N)."""
-    n_docs = df.count()
-    tf = term_frequencies(terms(df, text, key), key)
+    """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
+
+    The (doc, term) aggregate feeds the vocabulary, the weights and the
+    document count, so it is computed once and pinned with a reliable
+    checkpoint. Every document adds one marker row (term = null) to that
+    aggregate, which gives N, documents without any term included, without
+    a second pass over the texts."""
+    from starlens.session import cut_lineage
+    term_rows = terms(df, text, key).unionByName(
+        df.select(key, F.lit(None).cast("string").alias("term")))
+    tf = cut_lineage(term_frequencies(term_rows, key))
+    n_docs = tf.filter(F.col("term").isNull()).count()
+    tf = tf.filter(F.col("term").isNotNull())
     vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
     return tfidf(tf, vocab, n_docs, key), vocab, n_docs
 

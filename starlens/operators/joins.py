@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_CHECKED: dict = {}
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when it provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Return ``broadcast(df)`` when it provably has at most ``max_rows`` rows.
+
+    The proof is a bounded count (reads at most max_rows + 1 rows); its
+    answer is remembered per session and logical plan, so the same
+    dimension side is checked once, not once per query."""
+    spark = df.sparkSession
+    k = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if k not in _CHECKED:
+        _CHECKED[k] = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if _CHECKED[k] else df
 
 
 def canonical_key(col) -> "F.Column":

@@ -19,8 +19,11 @@ def scored_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BA
 
 def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BASE) -> DataFrame:
     """B9 -> C3 -> C4 -> C5/C6 -> C7 -> C8: the audited review table."""
-    df = add_conflicts(add_text_labels(scored_reviews(raw, lexicon, rules)))
-    return add_sample_weight(add_class_weight(df))
+    clean = clean_reviews(raw)
+    df = add_conflicts(add_text_labels(lexicon_polarity(clean, lexicon, rules=rules)))
+    # Class counts need only the star label: count them on the cleaned rows
+    # (column pruning drops the text) instead of re-running the scoring.
+    return add_sample_weight(add_class_weight(df, fit_on=clean))
 
 
 def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_id",

@@ -11,6 +11,7 @@ from starlens.operators import ranking as rk
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.q_audit import audit_sql
 from starlens.plans.registry import register, rounded
+from starlens.session import cut_lineage
 from starlens.sources import fixtures as fx
 
 FLAT = r"regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')"
@@ -69,6 +70,12 @@ def _aud(spark, sf):
     return audited(spark, sf).withColumn("sentiment", F.col("lex_label"))
 
 
+def _aud_pinned(spark, sf):
+    """The scored table feeds stats, ranked texts and the cluster list:
+    pin it once (reliable checkpoint) instead of scoring three times."""
+    return cut_lineage(_aud(spark, sf))
+
+
 BY = ("cluster_name", "name")
 
 
@@ -80,7 +87,7 @@ def g5_longest_reviews(spark, sf):
 @register("k1_product_section", audit_sql(
     "SELECT * FROM sections", more=CTX_STAGES))
 def k1_product_section(spark, sf):
-    return cx.product_sections(_aud(spark, sf), by=BY)
+    return cx.product_sections(_aud_pinned(spark, sf), by=BY)
 
 
 @register("k2_cluster_context", audit_sql("""
@@ -92,7 +99,7 @@ LEFT JOIN (SELECT cluster_name, string_agg(section, concat(chr(10), '---', chr(1
            FROM sections WHERE is_top GROUP BY cluster_name) b ON c.cluster_name = b.cluster_name
 LEFT JOIN (SELECT * FROM sections WHERE is_worst) w ON c.cluster_name = w.cluster_name""", more=CTX_STAGES))
 def k2_cluster_context(spark, sf):
-    return cx.cluster_context(_aud(spark, sf), by=BY)
+    return cx.cluster_context(_aud_pinned(spark, sf), by=BY)
 
 
 @register("k3_marketing_context", audit_sql("""
@@ -116,7 +123,7 @@ def k3_marketing_context(spark, sf):
 
 
 def _articles(spark, sf):
-    return cx.generate_articles(cx.cluster_context(_aud(spark, sf), by=BY))
+    return cx.generate_articles(cx.cluster_context(_aud_pinned(spark, sf), by=BY))
 
 
 @register("k4_generate_articles")
