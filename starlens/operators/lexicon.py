@@ -65,6 +65,9 @@ FULL = PolarityRules(enabled=True)
 
 # Punctuation stripped from both ends of a token before lookup.
 EDGE_PUNCT = r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$"
+# The same, applied to every token of a text at once (runs touching whitespace
+# or the text ends).
+EDGE_PUNCT_IN_TEXT = r"(?<!\S)[\p{P}\p{S}]+|[\p{P}\p{S}]+(?!\S)"
 
 
 def tokens(text: Column) -> Column:
@@ -97,18 +100,27 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
               .withColumn("__n_excl", F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit(""))))
               .withColumn("__n_q", F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))))
 
-    seq = F.transform("__toks", lambda t, i: F.struct(
-        i.alias("pos"), t.alias("tok"),
-        F.when(i >= 1, F.get(F.col("__toks"), i - 1)).alias("p1"),
-        F.when(i >= 2, F.get(F.col("__toks"), i - 2)).alias("p2"),
-        F.when(i >= 3, F.get(F.col("__toks"), i - 3)).alias("p3")))
-    # mixed case: some token is all caps while another is not
-    cap_diff = F.exists("__toks", _is_caps) & F.exists("__toks", lambda t: ~_is_caps(t))
-    but_idx = F.array_position(F.transform("__toks", core), F.lit(rules.but_word)) - 1
-    hits = (base.select(key, cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"),
-                        F.explode(seq).alias("t"))
-                .withColumn("__core", core(F.col("t.tok")))
-                .join(lex, "__core", "inner"))
+    if rules.enabled:
+        seq = F.transform("__toks", lambda t, i: F.struct(
+            i.alias("pos"), t.alias("tok"),
+            F.when(i >= 1, F.get(F.col("__toks"), i - 1)).alias("p1"),
+            F.when(i >= 2, F.get(F.col("__toks"), i - 2)).alias("p2"),
+            F.when(i >= 3, F.get(F.col("__toks"), i - 3)).alias("p3")))
+        # mixed case: some token is all caps while another is not
+        cap_diff = F.exists("__toks", _is_caps) & F.exists("__toks", lambda t: ~_is_caps(t))
+        but_idx = F.array_position(F.transform("__toks", core), F.lit(rules.but_word)) - 1
+        hits = (base.select(key, cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"),
+                            F.explode(seq).alias("t"))
+                    .withColumn("__core", core(F.col("t.tok")))
+                    .join(lex, "__core", "inner"))
+    else:
+        # Base score needs only the lookup forms: strip token-edge punctuation
+        # for the whole text in one regex pass, then split. A token made only
+        # of punctuation vanishes here, which is fine: it can never be a hit,
+        # and token counts come from the raw split above.
+        core_text = F.lower(F.regexp_replace(txt, EDGE_PUNCT_IN_TEXT, ""))
+        hits = (df.select(key, F.explode(tokens(core_text)).alias("__core"))
+                  .join(lex, "__core", "inner"))
     v = _adjusted_valence(rules) if rules.enabled else F.col("__v")
     hits = hits.withColumn("__val", v)
     sums = (hits.groupBy(key)
