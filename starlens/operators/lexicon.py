@@ -121,8 +121,7 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         core_text = F.lower(F.regexp_replace(txt, EDGE_PUNCT_IN_TEXT, ""))
         hits = (df.select(key, F.explode(tokens(core_text)).alias("__core"))
                   .join(lex, "__core", "inner"))
-    v = _adjusted_valence(rules) if rules.enabled else F.col("__v")
-    hits = hits.withColumn("__val", v)
+    hits = _apply_rules(hits, rules) if rules.enabled else hits.withColumn("__val", F.col("__v"))
     sums = (hits.groupBy(key)
                 .agg(F.sum("__val").alias("__s"),
                      F.sum(F.when(F.col("__val") > 0, F.col("__val") + 1).otherwise(0.0)).alias("__pos"),
@@ -164,32 +163,42 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
     return out
 
 
-def _adjusted_valence(r: PolarityRules) -> Column:
-    """Valence of one lexicon hit after caps, booster, negation and 'but' rules."""
+def _apply_rules(hits: DataFrame, r: PolarityRules) -> DataFrame:
+    """Valence of each lexicon hit after caps, booster, negation and 'but'
+    rules. Each step is its own column, so an expression refers to the
+    previous step by name (a nested rewrite would grow exponentially)."""
     tok = F.col("t.tok")
     base = F.col("__v")
     cap_diff = F.col("__cap_diff")
-    v = F.when(cap_diff & _is_caps(tok),
-               F.when(base > 0, base + r.caps_incr).otherwise(base - r.caps_incr)).otherwise(base)
+    df = hits.withColumn("__r0", F.when(cap_diff & _is_caps(tok),
+                                        F.when(base > 0, base + r.caps_incr).otherwise(base - r.caps_incr))
+                         .otherwise(base))
     up = F.array(*[F.lit(w) for w in r.boosters_up])
     down = F.array(*[F.lit(w) for w in r.boosters_down])
     neg = F.array(*[F.lit(w) for w in r.negators])
+    prev_v = "__r0"
     for dist, name in ((1, "p1"), (2, "p2"), (3, "p3")):
         prev = F.col("t." + name)
-        pc = core(prev)
+        df = df.withColumn("__pc", core(prev))
+        v = F.col(prev_v)
+        pc = F.col("__pc")
         scalar = (F.when(F.array_contains(up, pc), F.lit(r.booster_incr))
                    .when(F.array_contains(down, pc), F.lit(-r.booster_incr))
                    .otherwise(F.lit(0.0)))
-        scalar = F.when(v < 0, -scalar).otherwise(scalar)
-        scalar = F.when((scalar != 0) & cap_diff & _is_caps(prev),
-                        F.when(v > 0, scalar + r.caps_incr).otherwise(scalar - r.caps_incr)
-                        ).otherwise(scalar)
-        v = v + F.coalesce(scalar * F.lit(r.distance_decay[dist - 1]), F.lit(0.0))
-        v = F.when(F.coalesce(F.array_contains(neg, pc), F.lit(False)),
-                   v * F.lit(r.negation_scalar)).otherwise(v)
+        df = df.withColumn("__sc", F.when(v < 0, -scalar).otherwise(scalar))
+        sc = F.col("__sc")
+        df = df.withColumn("__sc", F.when((sc != 0) & cap_diff & _is_caps(prev),
+                                          F.when(v > 0, sc + r.caps_incr).otherwise(sc - r.caps_incr))
+                           .otherwise(sc))
+        df = df.withColumn(f"__b{dist}", v + F.coalesce(F.col("__sc") * F.lit(r.distance_decay[dist - 1]),
+                                                         F.lit(0.0)))
+        b = F.col(f"__b{dist}")
+        df = df.withColumn(f"__r{dist}", F.when(F.coalesce(F.array_contains(neg, pc), F.lit(False)),
+                                                b * F.lit(r.negation_scalar)).otherwise(b))
+        prev_v = f"__r{dist}"
     but_idx = F.col("__but_idx")
     pos = F.col("t.pos")
-    v = (F.when((but_idx >= 0) & (pos < but_idx), v * F.lit(r.but_before))
-          .when((but_idx >= 0) & (pos > but_idx), v * F.lit(r.but_after))
-          .otherwise(v))
-    return v
+    v = F.col(prev_v)
+    return df.withColumn("__val", F.when((but_idx >= 0) & (pos < but_idx), v * F.lit(r.but_before))
+                                   .when((but_idx >= 0) & (pos > but_idx), v * F.lit(r.but_after))
+                                   .otherwise(v))
