@@ -92,8 +92,10 @@ def k1_product_section(spark, sf):
 
 @register("k2_cluster_context", audit_sql("""
 SELECT c.cluster_name,
+  CASE WHEN b.block IS NULL THEN NULL ELSE
   concat('=== TOP PRODUCTS DATA ===', chr(10), b.block, chr(10), chr(10), '=== WORST PRODUCT DATA ===', chr(10),
-         'PRODUCT: ', w.name, chr(10), w.worst_line, chr(10), 'Customer complaints:', chr(10), w.worst_complaints) AS context
+         'PRODUCT: ', w.name, chr(10), w.worst_line, chr(10), 'Customer complaints:', chr(10), w.worst_complaints)
+  END AS context
 FROM (SELECT DISTINCT cluster_name FROM audited WHERE cluster_name IS NOT NULL AND cluster_name <> 'Other') c
 LEFT JOIN (SELECT cluster_name, string_agg(section, concat(chr(10), '---', chr(10)) ORDER BY rank) AS block
            FROM sections WHERE is_top GROUP BY cluster_name) b ON c.cluster_name = b.cluster_name
