@@ -164,3 +164,12 @@ def c17_split_sections(spark, sf):
         "article", F.regexp_replace("article", "## Top Products", "## TOP 3 PRODUCTS"))
     arts = arts.withColumn("article", F.regexp_replace("article", "## Product to Avoid", "## PRODUCT TO AVOID"))
     return cx.split_sections(arts)
+
+
+@register("g7_recent_reviews", audit_sql("""
+SELECT * FROM (
+  SELECT cluster_name, review_id, CAST(row_number() OVER (PARTITION BY cluster_name ORDER BY review_id) AS INTEGER) AS position
+  FROM audited WHERE text IS NOT NULL) t
+WHERE position <= 8"""))
+def g7_recent_reviews(spark, sf):
+    return rk.recent_reviews(_aud(spark, sf), n=8).select("cluster_name", "review_id", "position")
