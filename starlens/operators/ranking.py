@@ -23,12 +23,19 @@ def rank_products(stats: DataFrame, cluster: str = "cluster_name", name: str = "
                   score: str = "score", k: int | None = None) -> DataFrame:
     """G1: rank within cluster by score desc (ties: name asc).
 
-    Input is one row per product (already aggregated). With ``k`` the
-    window is pruned to the top k per cluster before the shuffle.
+    With ``k`` the window is pruned to the top k per cluster before the
+    shuffle (``WindowGroupLimit``). The full ranking is a running count in
+    that order computed by the distributed ``prefix_sums`` (range partitioned),
+    so one big cluster is not sorted in one task.
     """
-    w = Window.partitionBy(cluster).orderBy(*_score_order(score, name))
-    out = stats.withColumn("rank", F.row_number().over(w))
-    return out.filter(F.col("rank") <= k) if k else out
+    if k:
+        w = Window.partitionBy(cluster).orderBy(*_score_order(score, name))
+        return stats.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    from starlens.operators.metrics import prefix_sums
+    ranked = prefix_sums(stats.withColumn("__one", F.lit(1)), [cluster],
+                         _score_order(score, name), ["__one"])
+    return (ranked.withColumn("rank", F.col("cum___one").cast("int"))
+                  .drop("__one", "cum___one", "total___one"))
 
 
 def top_and_worst(stats: DataFrame, k: int = 3, cluster: str = "cluster_name",
