@@ -52,7 +52,7 @@ def assemble(docs: DataFrame, weights: DataFrame, vocab_size: int, key: str = "r
 
 
 def fit_sentiment_lr(train: DataFrame, features: str = "features", label: str = "star_label",
-                     C: float = 2.0, max_iter: int = 2000, tol: float = 1e-6):
+                     C: float = 2.0, max_iter: int = 2000, tol: float = 1e-4):
     """L2 multinomial logistic regression with balanced class weights.
 
     The penalised objective ``C * sum_i w_i loss_i + 0.5 ||b||^2`` equals

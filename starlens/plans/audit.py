@@ -26,16 +26,15 @@ def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = B
     return add_sample_weight(add_class_weight(df, fit_on=clean))
 
 
-def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_id",
-                   max_features: int = 50_000):
-    """NB1 baseline (J1-J6): TF-IDF vocabulary and idf fitted on the train
-    split only, assembled with the polarity columns, balanced L2 logistic
-    regression; returns (model, featurize) where ``featurize(df)`` builds
-    the same features for any rows."""
+def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "review_id",
+                     max_features: int = 50_000):
+    """J1-J4 fitted on the train split only: returns (featurize, train rows)
+    where ``featurize(df)`` builds TF-IDF (train vocabulary and idf) plus the
+    polarity columns as one sparse vector for any rows."""
     from pyspark.sql import functions as F
 
     from starlens.operators import features as ft
-    from starlens.operators.models import assemble, fit_sentiment_lr
+    from starlens.operators.models import assemble
     from starlens.session import cut_lineage
 
     # The scored table feeds several actions and an iterative fit: pin it
@@ -44,7 +43,7 @@ def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_
     train = audited.filter(F.col(split) == "train")
     n_train = train.count()
     tf_train = ft.term_frequencies(ft.terms(train, key=key), key)
-    vocab = ft.vocabulary(tf_train, n_train, max_features=max_features)
+    vocab = cut_lineage(ft.vocabulary(tf_train, n_train, max_features=max_features))
     vocab_size = vocab.count()
 
     def featurize(df: DataFrame) -> DataFrame:
@@ -52,5 +51,17 @@ def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_
         weights = ft.tfidf(tf, vocab, n_train, key)
         return assemble(df, weights, vocab_size, key)
 
+    return featurize, train
+
+
+def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_id",
+                   max_features: int = 50_000):
+    """NB1 baseline (J1-J6): TF-IDF fitted on the train split, assembled with
+    the polarity columns, balanced L2 logistic regression; returns
+    (model, featurize)."""
+    from starlens.operators.models import fit_sentiment_lr
+    from starlens.session import cut_lineage
+
+    featurize, train = tfidf_featurizer(audited, split, key, max_features)
     model = fit_sentiment_lr(cut_lineage(featurize(train)))
     return model, featurize

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from starlens.operators import models as md
 from starlens.operators import sampling as sp
-from starlens.plans.audit import tfidf_lr_model
+from starlens.plans.audit import tfidf_featurizer, tfidf_lr_model
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.registry import register
 from starlens.sources import fixtures as fx
@@ -18,10 +18,22 @@ def _split(spark, sf):
     return sp.stratified_split(audited(spark, sf))
 
 
+_MODELS: dict = {}
+
+
+def _model(spark, sf):
+    """Fit once per session and input folder; J5-J7 share the fitted model."""
+    k = (spark.sparkContext.applicationId, sf)
+    if k not in _MODELS:
+        df = _split(spark, sf)
+        _MODELS[k] = (df,) + tfidf_lr_model(df)
+    return _MODELS[k]
+
+
 @register("j4_assemble")
 def j4_assemble(spark, sf):
     df = _split(spark, sf)
-    _, featurize = tfidf_lr_model(df)
+    featurize, _ = tfidf_featurizer(df)
     arr = vector_to_array("features")
     return featurize(df).select("review_id", F.size(arr).alias("n_features"),
                                 F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
@@ -29,7 +41,7 @@ def j4_assemble(spark, sf):
 
 @register("j5_fit_sentiment_lr")
 def j5_fit_sentiment_lr(spark, sf):
-    model, _ = tfidf_lr_model(_split(spark, sf))
+    _, model, _ = _model(spark, sf)
     coef = model.coefficientMatrix
     rows = [(c, int(coef.numCols), float(model.interceptVector[c])) for c in range(coef.numRows)]
     return spark.createDataFrame(rows, "cls int, n_coefficients int, intercept double")
@@ -37,8 +49,7 @@ def j5_fit_sentiment_lr(spark, sf):
 
 @register("j6_predict")
 def j6_predict(spark, sf):
-    df = _split(spark, sf)
-    model, featurize = tfidf_lr_model(df)
+    df, model, featurize = _model(spark, sf)
     out = md.predict(model, featurize(df.filter(F.col("split") != "train")))
     return out.select("review_id", "split", "star_label", "pred_label", "pred_confidence",
                       "prob_negative", "prob_neutral", "prob_positive")
@@ -46,8 +57,7 @@ def j6_predict(spark, sf):
 
 @register("j7_score_reviews")
 def j7_score_reviews(spark, sf):
-    df = _split(spark, sf)
-    model, featurize = tfidf_lr_model(df)
+    df, model, featurize = _model(spark, sf)
     return md.score_reviews(df, model=model, featurize=featurize)
 
 
