@@ -68,22 +68,53 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                         F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: tuple[float, ...]) -> dict[float, float | None]:
+    """Exact quantiles with linear interpolation (pandas/numpy default).
+
+    Distributed: distinct values with their counts (partial/final
+    aggregate), running counts in value order from ``prefix_sums`` (range
+    partitioned, no single task holds all values), then for each wanted
+    0-based rank the first value whose running count passes it. Returns
+    {p: value}; the few scalars come back to the driver.
+    """
+    from starlens.operators.metrics import prefix_sums
+    x = F.col(col).cast("double")
+    counts = (df.select(x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+                .groupBy("__x").agg(F.count("*").alias("__n"))
+                .withColumn("__g", F.lit(0)))
+    n = counts.agg(F.sum("__n")).first()[0]
+    if not n:
+        return {p: None for p in probs}
+    ranks = sorted({r for p in probs for r in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))})
+    cum = prefix_sums(counts, ["__g"], [F.col("__x").asc()], ["__n"])
+    # value at 0-based rank r: smallest x with cum_n > r
+    picks = cum.agg(*[F.min(F.when(F.col("cum___n") > r, F.col("__x"))).alias(f"r{r}") for r in ranks]).first()
+    out = {}
+    for p in probs:
+        h = (n - 1) * p
+        lo = int(h)
+        hi = min(lo + 1, n - 1)
+        a, b = picks[f"r{lo}"], picks[f"r{hi}"]
+        out[p] = a + (h - lo) * (b - a)
+    return out
+
+
 def describe(df: DataFrame, col: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """count, mean, sample std, min, quartiles (linear), max.
 
-    ``exact`` uses ``percentile`` (a value->count map per partition, merged;
-    fine for the low-cardinality scores/weights described here); set
-    ``exact=False`` for ``percentile_approx`` on continuous columns.
+    ``exact`` quartiles come from ``exact_quantiles`` (distributed running
+    counts over distinct values); ``exact=False`` uses ``percentile_approx``.
     """
     x = F.col(col).cast("double")
+    base = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min")]
+    names = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
     if exact:
-        q = [F.percentile(x, p).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+        q = exact_quantiles(df, col, tuple(p for _, p in names))
+        quart = [F.lit(q[p]).cast("double").alias(n) for n, p in names]
     else:
-        q = [F.percentile_approx(x, p, accuracy).alias(n)
-             for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *q,
-                  F.max(x).alias("max"))
+        quart = [F.percentile_approx(x, p, accuracy).alias(n) for n, p in names]
+    return df.agg(*base, *quart, F.max(x).alias("max"))
 
 
 def _label_pcts(lbl):

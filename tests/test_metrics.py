@@ -62,3 +62,15 @@ def test_splits_disjoint_complete_and_exact_sizes(spark):
     assert sizes[(0, "train")] == 233 and sizes[(0, "val")] == 50 and sizes[(0, "test")] == 51
     un = sp.undersample(df)
     assert sorted(r["count"] for r in un.groupBy("star_label").count().collect()) == [333, 333, 333]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from starlens.operators.aggregates import describe, exact_quantiles
+    vals = [float(v) for v in np.random.default_rng(7).integers(0, 50, 997)] + [0.5, 0.5, 99.25]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = exact_quantiles(df, "x", (0.0, 0.25, 0.5, 0.75, 1.0))
+    for p, v in q.items():
+        assert abs(v - float(np.quantile(vals, p))) < 1e-12
+    d = describe(df, "x").first()
+    assert d["count"] == 1000 and abs(d.p50 - float(np.median(vals))) < 1e-12
