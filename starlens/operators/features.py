@@ -83,10 +83,25 @@ def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 50_000, min_df: i
                max_df: float = 0.95) -> DataFrame:
     """Terms in >= min_df docs and <= max_df * N docs; the max_features
     most frequent by corpus count (ties: term asc). Columns: term, df, cnt,
-    term_index (alphabetical, 0-based)."""
+    term_index (alphabetical, 0-based).
+
+    The top-N cut is exact and distributed: a histogram of corpus counts
+    (one row per distinct count value) gives the count c* of the N-th term;
+    only terms with cnt >= c* are ranked, by running counts from
+    ``prefix_sums`` in (cnt desc, term asc) order. No task merges per-partition
+    top-N lists.
+    """
+    from starlens.operators.metrics import prefix_sums
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs)))
-    top = kept.orderBy(F.desc("cnt"), F.asc("term")).limit(max_features)
+    hist = kept.groupBy("cnt").agg(F.count("*").alias("n_terms"))
+    w = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)
+    reach = hist.withColumn("covered", F.sum("n_terms").over(w))
+    c_star = reach.filter(F.col("covered") >= max_features).agg(F.max("cnt")).first()[0]
+    candidates = kept if c_star is None else kept.filter(F.col("cnt") >= c_star)
+    ranked = prefix_sums(candidates.withColumn("__g", F.lit(0)).withColumn("__one", F.lit(1)),
+                         ["__g"], [F.col("cnt").desc(), F.col("term").asc()], ["__one"])
+    top = ranked.filter(F.col("cum___one") <= max_features).select("term", "df", "cnt")
     return top.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
 
 

@@ -74,3 +74,19 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(v - float(np.quantile(vals, p))) < 1e-12
     d = describe(df, "x").first()
     assert d["count"] == 1000 and abs(d.p50 - float(np.median(vals))) < 1e-12
+
+
+def test_vocabulary_top_n_with_ties(spark):
+    from starlens.operators.features import vocabulary
+    rows = [(d, f"t{t}", 1 + (t * d) % 3) for d in range(6) for t in range(40) if (t + d) % 4]
+    tf = spark.createDataFrame(rows, "review_id long, term string, tf long")
+    got = [(r.term, r.df, r.cnt) for r in vocabulary(tf, 6, max_features=17, max_df=0.9)
+           .orderBy("term_index").collect()]
+    stats = {}
+    for d, t, c in rows:
+        s = stats.setdefault(t, [0, 0])
+        s[0] += 1
+        s[1] += c
+    kept = [(t, df, cnt) for t, (df, cnt) in stats.items() if 2 <= df <= 0.9 * 6]
+    want = sorted(sorted(kept, key=lambda x: (-x[2], x[0]))[:17])
+    assert got == want
