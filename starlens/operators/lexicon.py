@@ -109,10 +109,13 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         # mixed case: some token is all caps while another is not
         cap_diff = F.exists("__toks", _is_caps) & F.exists("__toks", lambda t: ~_is_caps(t))
         but_idx = F.array_position(F.transform("__toks", core), F.lit(rules.but_word)) - 1
-        hits = (base.select(key, cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"),
-                            F.explode(seq).alias("t"))
-                    .withColumn("__core", core(F.col("t.tok")))
-                    .join(lex, "__core", "inner"))
+        # Per-review inputs are computed in their own projection BEFORE the
+        # explode; selected next to the generator they would be evaluated
+        # once per exploded token (quadratic in the review length).
+        pre = base.select(key, "__toks", cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"))
+        hits = (pre.select(key, "__cap_diff", "__but_idx", F.explode(seq).alias("t"))
+                   .withColumn("__core", core(F.col("t.tok")))
+                   .join(lex, "__core", "inner"))
     else:
         # Base score needs only the lookup forms: strip token-edge punctuation
         # for the whole text in one regex pass, then split. A token made only

@@ -380,3 +380,92 @@ def c13_review_card(spark, sf):
     df = _audited(spark, sf)
     card = tx.review_card(user="name", rating="rating", text="text", label="lex_label_name")
     return df.select("review_id", *[c.alias(n) for n, c in card.items()])
+
+
+# --- C3 with the rule set on: same rules in SQL over the whole fixture table --
+def _rules_sql() -> str:
+    from starlens.operators.lexicon import FULL as R
+
+    def lst(words):
+        return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+    caps = "({t} = upper({t}) AND {t} <> lower({t}))"
+    core = r"lower(regexp_replace({t}, '^[\p{{P}}\p{{S}}]+|[\p{{P}}\p{{S}}]+$', '', 'g'))"
+    steps, prev = [], "r0"
+    for d, dec in zip((1, 2, 3), R.distance_decay):
+        pc = core.format(t=f"p{d}")
+        sc0 = (f"CASE WHEN list_contains({lst(R.boosters_up)}, {pc}) THEN {R.booster_incr} "
+               f"WHEN list_contains({lst(R.boosters_down)}, {pc}) THEN {-R.booster_incr} ELSE 0.0 END")
+        sc1 = f"(CASE WHEN {prev} < 0 THEN -({sc0}) ELSE ({sc0}) END)"
+        sc2 = (f"(CASE WHEN {sc1} <> 0 AND cap_diff AND {caps.format(t=f'p{d}')} THEN "
+               f"(CASE WHEN {prev} > 0 THEN {sc1} + {R.caps_incr} ELSE {sc1} - {R.caps_incr} END) ELSE {sc1} END)")
+        b = f"({prev} + coalesce({sc2} * {dec}, 0.0))"
+        steps.append(f"SELECT *, CASE WHEN coalesce(list_contains({lst(R.negators)}, {pc}), false) "
+                     f"THEN {b} * {R.negation_scalar} ELSE {b} END AS r{d} FROM " + "{src}")
+        prev = f"r{d}"
+    chain = "hits0"
+    for i, st in enumerate(steps):
+        chain = "(" + st.replace("{src}", chain) + f") s{i}"
+    tok_core = core.format(t="tok")
+    return rf"""
+WITH base AS (
+  SELECT review_id, {TOKENS} AS toks, coalesce(text, '') AS txt FROM clean),
+rev AS (
+  SELECT review_id, toks, len(toks) AS n_tokens,
+         length(txt) - length(replace(txt, '!', '')) AS n_excl, length(txt) - length(replace(txt, '?', '')) AS n_q,
+         coalesce(list_bool_or(list_transform(toks, lambda t: {caps.format(t='t')})), false)
+           AND coalesce(list_bool_or(list_transform(toks, lambda t: NOT {caps.format(t='t')})), false) AS cap_diff,
+         list_position(list_transform(toks, lambda t: {core.format(t='t')}), '{R.but_word}') - 1 AS but_idx
+  FROM base),
+tok AS (
+  SELECT review_id, cap_diff, coalesce(but_idx, -1) AS but_idx, e.pos, e.tok, e.p1, e.p2, e.p3 FROM (
+    SELECT review_id, cap_diff, but_idx, unnest(list_transform(toks, lambda t, i: {{'pos': i - 1, 'tok': t,
+           'p1': CASE WHEN i > 1 THEN toks[i - 1] END, 'p2': CASE WHEN i > 2 THEN toks[i - 2] END,
+           'p3': CASE WHEN i > 3 THEN toks[i - 3] END}})) AS e FROM rev) u),
+hits0 AS (
+  SELECT t.*, CASE WHEN t.cap_diff AND {caps.format(t='t.tok')}
+                   THEN (CASE WHEN l.valence > 0 THEN l.valence + {R.caps_incr} ELSE l.valence - {R.caps_incr} END)
+                   ELSE l.valence END AS r0
+  FROM tok t JOIN lexicon l ON {tok_core.replace('tok', 't.tok')} = l.word),
+vals AS (
+  SELECT review_id, CASE WHEN but_idx >= 0 AND pos < but_idx THEN r3 * {R.but_before}
+                         WHEN but_idx >= 0 AND pos > but_idx THEN r3 * {R.but_after} ELSE r3 END AS v
+  FROM {chain}),
+sums AS (
+  SELECT review_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END) AS pos,
+         sum(CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END) AS neg, count_if(v <> 0) AS n_polar
+  FROM vals GROUP BY review_id),
+adj AS (
+  SELECT r.review_id, r.n_tokens, coalesce(s.s, 0.0) AS s0, coalesce(s.pos, 0.0) AS pos0,
+         coalesce(s.neg, 0.0) AS neg0, CAST(r.n_tokens - coalesce(s.n_polar, 0) AS DOUBLE) AS U,
+         least(r.n_excl, {R.exclaim_max}) * {R.exclaim_incr}
+           + CASE WHEN r.n_q > 3 THEN {R.question_max_incr} WHEN r.n_q > 1 THEN r.n_q * {R.question_incr} ELSE 0.0 END AS punct
+  FROM rev r LEFT JOIN sums s ON r.review_id = s.review_id),
+fin AS (
+  SELECT review_id, n_tokens, U,
+         CASE WHEN s0 > 0 THEN s0 + punct WHEN s0 < 0 THEN s0 - punct ELSE s0 END AS S,
+         CASE WHEN pos0 > abs(neg0) THEN pos0 + punct ELSE pos0 END AS P,
+         CASE WHEN pos0 < abs(neg0) THEN neg0 - punct ELSE neg0 END AS N
+  FROM adj)
+SELECT review_id,
+  CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(N / (P + abs(N) + U)), 3) END AS lex_neg,
+  CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(U / (P + abs(N) + U)), 3) END AS lex_neu,
+  CASE WHEN n_tokens = 0 OR P + abs(N) + U = 0 THEN CAST(0.0 AS DOUBLE) ELSE round(abs(P / (P + abs(N) + U)), 3) END AS lex_pos,
+  CASE WHEN n_tokens = 0 THEN CAST(0.0 AS DOUBLE)
+       ELSE round(greatest(least(S / sqrt(S * S + 15.0), 1.0), -1.0), 4) END AS lex_compound
+FROM fin"""
+
+
+def _rules_oracle() -> str:
+    body = _rules_sql()
+    # the rule query has its own WITH; splice the fixture stages in front of it
+    prefix = fx.with_views("SELECT 1", "reviews_raw", "lexicon", extra=STAGES[:4])
+    prefix = prefix[: prefix.rindex("SELECT 1")].rstrip()
+    return prefix + ",\n" + body.strip()[len("WITH "):]
+
+
+@register("c3_lexicon_polarity_rules", _rules_oracle())
+def c3_lexicon_polarity_rules(spark, sf):
+    from starlens.operators.lexicon import FULL
+    return rounded(scored_reviews(_raw(spark, sf), fx.lexicon(spark), rules=FULL)
+                   .select("review_id", "lex_neg", "lex_neu", "lex_pos", "lex_compound"))
