@@ -44,3 +44,15 @@ def near(docs):
         if d is not None:
             least[r] = min(least.get(r, d), d)
     return [(d, len(sets[i]), least.get(find(i)), d == least.get(find(i))) for i, (d, _) in enumerate(docs)]
+
+
+def quality(text):
+    text = text or ""
+    w = WS.findall(text)
+    lines = [x for x in text.split("\n") if WS.search(x)]
+    seen = {}
+    for i in range(len(w) - 7):
+        seen.setdefault(tuple(w[i:i + 8]), []).append(i)
+    hit = {k for v in seen.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
+    failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed)
