@@ -1,10 +1,12 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from starlens.llm import decontaminate, near_dedup, quality
+from starlens.llm import decontaminate, near_dedup, pieces, quality, secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE = {
