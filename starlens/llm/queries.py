@@ -1,9 +1,12 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from starlens.llm import decontaminate, near_dedup, pieces, quality, secrets
+from starlens.llm import chat, decontaminate, near_dedup, pieces, pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_shard": sharding.op4_shard,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
@@ -11,4 +14,5 @@ QUERIES = {
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_chat_format": chat.OP3_SQL,
 }
