@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, WORDS = 300, 60_000     # documents per language, training words in all
-LONGEST, UNITS, EMBED = 32, 16, 8
-STEPS, BATCH, RATE = 500, 384, 0.01
-BLOCK = 1 << 20
+LONGEST, UNITS, EMBED = 32, 12, 8
+STEPS, BATCH, RATE = 350, 384, 0.012
+BLOCK = 8 << 20        # characters whose equal words are run once
 LETTERS = re.compile(r"[^\W\d_]+")
 BORDER = 256
 

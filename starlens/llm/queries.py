@@ -1,13 +1,16 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from starlens.llm import chat, decontaminate, near_dedup, pieces, pii, quality, secrets, sharding
+from starlens.llm import (chat, decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding,
+                          toxicity)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_chat_format": chat.op3_chat_format,
     "op4_shard": sharding.op4_shard,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_language_id": langid.op7_language_id,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
