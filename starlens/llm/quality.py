@@ -172,7 +172,10 @@ def drop_low_quality(docs: DataFrame) -> DataFrame:
     stats = with_votes(text_stats(docs.select("text")))
     model = fit_label_model(stats)
     row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return judge(with_votes(text_stats(row)), model).filter("kept").select("row.*")
+    judged = judge(with_votes(text_stats(row)), model)
+    # The partition id keeps the optimiser from pushing the verdict down through
+    # the projections below, where it would spell out every shared count anew.
+    return judged.withColumn("__at", F.spark_partition_id()).filter("kept and __at >= 0").select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir):
