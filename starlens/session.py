@@ -7,7 +7,8 @@ checkpoint dir, broadcast threshold) always win.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -43,24 +45,31 @@ def get_spark(app: str = "starlens", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) fall back to a fresh private folder under /tmp."""
+    """The cluster's ``spark.checkpoint.dir``. Where nothing is set, a plain
+    local session (tests) gets a fresh private folder; on a cluster a folder
+    of one machine would lose data, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    local = tempfile.mkdtemp(prefix="starlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    if not conf_dir:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="starlens-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
+    sc.setCheckpointDir(conf_dir)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint dir (survives executor
-    loss, unlike a local checkpoint)."""
+    loss, unlike a local checkpoint). What led to it is garbage afterwards;
+    a collection on the driver lets Spark delete those shuffle files at once
+    instead of at some later time."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
