@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 SET_ROWS = 1_000_000
+END_WORDS = 20_000         # most first or last words for which windows are looked at by their ends first
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,12 +55,20 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, key, n_hit, items) of documents with a hit; ``key`` is xxhash64 of the text."""
     grams = benchmark_windows(benchmark)
     shape = grams.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    ends = grams.select(F.xxhash64(F.get("gram", F.lit(0))).alias("a"),
+                        F.xxhash64(F.element_at("gram", -1)).alias("b"))
+    ends = ends.agg(F.count_distinct("a").alias("n"), F.count_distinct("b").alias("m")).first(), ends
+    few = 0 < max(ends[0].n, ends[0].m) <= END_WORDS
+    first, last = [[r[0] for r in ends[1].select(c).distinct().collect()] if few else [] for c in "ab"]
     slices = max(1, -(-shape.n // SET_ROWS))
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("w"))
     base = base.withColumn("wh", _hashes(F.col("w")))
 
     def windows(size):
         at = F.sequence(F.lit(1), F.size("wh") - size + 1)
+        if few:
+            # A hit begins and ends with words that some benchmark window begins and ends with.
+            at = F.filter(at, lambda i: F.get("wh", i - 1).isin(first) & F.get("wh", i + (size - 2)).isin(last))
         return F.when(F.size("wh") >= size, F.transform(at, lambda i: F.struct(
             i.alias("i"), F.lit(size).alias("size"), F.xxhash64(F.slice("wh", i, size)).alias("h")))).otherwise(
             F.array().cast("array<struct<i:int,size:int,h:bigint>>"))
