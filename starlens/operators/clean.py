@@ -83,35 +83,15 @@ def clean_reviews(df: DataFrame, key: str | None = "review_id", min_len: int = 5
                .withColumn("star_label_name", label_name("star_label")))
 
 
-def emoji_to_text(df: DataFrame, emoji_table: DataFrame, text: str = "text",
-                  key: str = "review_id") -> DataFrame:
-    """Replace each emoji character by its alias text.
-
-    Characters are exploded with their position, the alias table (emoji,
-    alias) is joined (broadcast when proven small), and the text is rebuilt
-    in order per review. Texts without any listed emoji skip the rebuild.
-    """
-    from starlens.operators.joins import broadcast_if_small
-    chars_pattern = "(?s)."
-    emojis = broadcast_if_small(emoji_table.select(F.col("emoji").alias("__ch"), "alias"))
-    # Pre-filter texts by a character class of the (small) alias table; a
-    # table over 10 000 entries skips the pre-filter instead of truncating.
-    codes = [r["emoji"] for r in emoji_table.select("emoji").limit(10001).collect()]
-    has_emoji = F.lit(len(codes) > 10000)
-    if 0 < len(codes) <= 10000:
-        import re
-        has_emoji = F.col(text).rlike("[" + "".join(re.escape(c) for c in codes) + "]")
-    plain = df.filter(~has_emoji | F.col(text).isNull())
-    hit = df.filter(has_emoji & F.col(text).isNotNull())
-    chars = hit.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({chars_pattern})"), 1))
-                       .alias("pos", "__ch"))
-    rebuilt = (chars.join(emojis, "__ch", "left")
-                    .groupBy(key)
-                    .agg(F.array_join(F.transform(
-                        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("alias", "__ch").alias("t")))),
-                        lambda s: s["t"]), "").alias("__new")))
-    fixed = hit.join(rebuilt, key, "left").withColumn(text, F.col("__new")).drop("__new")
-    return plain.unionByName(fixed)
+def emoji_to_text(df: DataFrame, aliases: dict[str, str], text: str = "text") -> DataFrame:
+    """Replace each emoji by its alias text, within the row.
+
+    Longer emoji go first, so one made of several code points (a skin tone, a
+    variation selector) is not taken apart by a shorter one."""
+    out = F.col(text)
+    for emoji in sorted(aliases, key=lambda e: (-len(e), e)):
+        out = F.replace(out, F.lit(emoji), F.lit(aliases[emoji]))
+    return df.withColumn(text, out)
 
 
 def normalized_text(col) -> "F.Column":
@@ -125,19 +105,19 @@ def normalized_text(col) -> "F.Column":
 def near_dedup(df: DataFrame, text: str = "text", key: str = "review_id") -> DataFrame:
     """Keep one row per MD5 of the normalised text; lowest key wins.
 
-    ``min_by`` is a partial/final aggregate: a fingerprint shared by a third
-    of all rows is reduced map-side to one candidate per partition.
-    """
-    cols = df.columns
-    fp = F.md5(normalized_text(F.col(text)))
-    return (df.withColumn("__fp", fp)
-              .groupBy("__fp")
-              .agg(F.min_by(F.struct(*cols), F.col(key)).alias("__r"))
-              .select("__r.*"))
+    A text that normalises to nothing (marks or emoji only) is compared as it
+    is; rows without text have no fingerprint and all stay. Only (fingerprint,
+    key) is aggregated, map-side first; whole rows meet the kept keys once."""
+    plain = normalized_text(F.col(text))
+    fp = F.md5(F.when(plain == "", F.concat(F.lit("\u0000"), F.col(text))).otherwise(plain))
+    keys = (df.filter(F.col(text).isNotNull()).select(fp.alias("__fp"), F.col(key).alias("__key"))
+              .groupBy("__fp").agg(F.min("__key").alias("__key")).select("__key"))
+    kept = df.join(keys, F.col(key) == F.col("__key"), "left_semi").filter(F.col(text).isNotNull())
+    return kept.unionByName(df.filter(F.col(text).isNull()))
 
 
 def select_existing(df: DataFrame, cols: list[str | None], rename: dict[str, str] | None = None,
-                    cap: int | None = 500, order_by: list[str] | None = None) -> DataFrame:
+                    cap: int | None = None, order_by: list[str] | None = None) -> DataFrame:
     """Project the columns that exist, rename, show at most ``cap`` rows
     (in ``order_by`` order when given)."""
     present = [c for c in cols if c and c in df.columns]

@@ -135,11 +135,11 @@ ARTICLE_SCHEMA = "cluster_name string, article string, error string"
 def template_article(cluster: str, context: str) -> str:
     """Offline default generator: a markdown article that only restates the
     context (no invented facts)."""
-    lines = [f"# {cluster}", "", "## Top Products"]
+    lines = [f"# {cluster}", "", "## TOP 3 PRODUCTS"]
     products = [ln[len("PRODUCT: "):] for ln in context.split("\n") if ln.startswith("PRODUCT: ")]
     for p in products[:-1]:
         lines.append(f"- **{p}**")
-    lines += ["", "## Product to Avoid", f"- {products[-1]}" if products else "- none", "",
+    lines += ["", "## PRODUCT TO AVOID", f"- {products[-1]}" if products else "- none", "",
               "## Verdict", "", f"Based on {len(products) - 1} ranked products in {cluster}."]
     return "\n".join(lines)
 

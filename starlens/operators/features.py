@@ -18,7 +18,6 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starlens.operators.joins import broadcast_if_small
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -79,10 +78,10 @@ def term_frequencies(term_rows: DataFrame, key: str = "review_id") -> DataFrame:
     return term_rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 50_000, min_df: int = 2,
+def vocabulary(tf: DataFrame, n_docs: int, max_features: int | None = None, min_df: int = 2,
                max_df: float = 0.95) -> DataFrame:
-    """Terms in >= min_df docs and <= max_df * N docs; the max_features
-    most frequent by corpus count (ties: term asc). Columns: term, df, cnt,
+    """Terms in >= min_df docs and <= max_df * N docs; with
+    ``max_features`` the most frequent by corpus count (ties: term asc). Columns: term, df, cnt,
     term_index (alphabetical, 0-based).
 
     The top-N cut is exact and distributed: a histogram of corpus counts
@@ -94,6 +93,11 @@ def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 50_000, min_df: i
     from starlens.operators.metrics import prefix_sums
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.lit(n_docs)))
+    one = [F.lit(0).alias("__g"), F.lit(1).alias("__one")]
+    if max_features is None:
+        top = kept.select("term", "df", "cnt")
+        return (prefix_sums(top.select("*", *one), ["__g"], [F.col("term").asc()], ["__one"])
+                .select("term", "df", "cnt", (F.col("cum___one") - 1).alias("term_index")))
     hist = kept.groupBy("cnt").agg(F.count("*").alias("n_terms"))
     w = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)
     reach = hist.withColumn("covered", F.sum("n_terms").over(w))
@@ -102,12 +106,13 @@ def vocabulary(tf: DataFrame, n_docs: int, max_features: int = 50_000, min_df: i
     ranked = prefix_sums(candidates.withColumn("__g", F.lit(0)).withColumn("__one", F.lit(1)),
                          ["__g"], [F.col("cnt").desc(), F.col("term").asc()], ["__one"])
     top = ranked.filter(F.col("cum___one") <= max_features).select("term", "df", "cnt")
-    return top.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
+    return (prefix_sums(top.select("*", *one), ["__g"], [F.col("term").asc()], ["__one"])
+            .select("term", "df", "cnt", (F.col("cum___one") - 1).alias("term_index")))
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "review_id") -> DataFrame:
     """L2-normalised sublinear TF-IDF weights, long table (key, term, weight)."""
-    v = broadcast_if_small(vocab.select("term", "df", "term_index"))
+    v = vocab.select("term", "df", "term_index")
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     w = tf.join(v, "term").select(key, "term", "term_index",
                                   ((F.lit(1.0) + F.log(F.col("tf"))) * idf).alias("w"))
@@ -116,7 +121,7 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "review_id")
 
 
 def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
-                max_features: int = 50_000, min_df: int = 2, max_df: float = 0.95):
+                max_features: int | None = None, min_df: int = 2, max_df: float = 0.95):
     """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
 
     The (doc, term) aggregate feeds the vocabulary, the weights and the
@@ -149,9 +154,8 @@ def cluster_keywords(weights: DataFrame, assignments: DataFrame, n: int = 10,
 
 def name_clusters(assignments: DataFrame, names: DataFrame, cluster: str = "cluster_name",
                   name_col: str = "cluster_label") -> DataFrame:
-    """Attach a readable name to each cluster id (names table broadcast
-    when proven small)."""
-    return assignments.join(broadcast_if_small(names.select(cluster, name_col)), cluster, "left")
+    """Attach a readable name to each cluster id (names: one row per cluster)."""
+    return assignments.join(names.select(cluster, name_col), cluster, "left")
 
 
 def keyword_names(keywords: DataFrame, k: int = 3, cluster: str = "cluster_name") -> DataFrame:

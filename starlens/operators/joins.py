@@ -1,9 +1,8 @@
 """Joins (E1-E4).
 
-Broadcast policy: a side is hinted for broadcast only after a bounded row
-count proves it small (``limit(max_rows + 1).count()`` reads at most
-``max_rows + 1`` rows). Beyond the bound the join is left to the planner:
-sort-merge on the key, with AQE's skew-join splitting a hot key.
+No side is hinted for broadcast: the planner and AQE compare byte sizes with
+``spark.sql.autoBroadcastJoinThreshold`` each time a query runs, so a table
+that has grown is shuffled and a hot key split.
 """
 
 from __future__ import annotations
@@ -11,26 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bound under which a dimension side (catalogue, lexicon, class weights,
-# label grids) is broadcast. ~2M short rows stay far below executor memory.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-_CHECKED: dict = {}
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when it provably has at most ``max_rows`` rows.
-
-    The proof is a bounded count (reads at most max_rows + 1 rows); its
-    answer is remembered per session and logical plan, so the same
-    dimension side is checked once, not once per query."""
-    spark = df.sparkSession
-    k = (spark.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if k not in _CHECKED:
-        _CHECKED[k] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if _CHECKED[k] else df
-
 
 def canonical_key(col) -> "F.Column":
     """Catalogue names may hold CRLF line breaks; join on LF form."""
@@ -38,15 +17,13 @@ def canonical_key(col) -> "F.Column":
 
 
 def attach_cluster(reviews: DataFrame, catalog: DataFrame, key: str = "name",
-                   cluster: str = "cluster_name", default: str = "Other",
-                   small_side_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   cluster: str = "cluster_name", default: str = "Other") -> DataFrame:
     """Left join of the catalogue's cluster onto reviews; unmatched -> default.
 
     Null keys match null keys (pandas merge semantics), hence ``eqNullSafe``.
     Duplicate catalogue names fan out, as in the reference.
     """
     right = catalog.select(F.col(key).alias("__k"), F.col(cluster).alias("__cluster"))
-    right = broadcast_if_small(right, small_side_rows)
     base = reviews.drop(cluster) if cluster in reviews.columns else reviews
     joined = base.join(right, base[key].eqNullSafe(right["__k"]), "left")
     return (joined.withColumn(cluster, F.coalesce(F.col("__cluster"), F.lit(default)))
@@ -54,8 +31,7 @@ def attach_cluster(reviews: DataFrame, catalog: DataFrame, key: str = "name",
 
 
 def inner_catalog(reviews: DataFrame, catalog: DataFrame, key: str = "name",
-                  suffixes: tuple[str, str] = ("_x", "_y"),
-                  small_side_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Inner equi-join on ``key``; clashing non-key columns get suffixes."""
     clash = (set(reviews.columns) & set(catalog.columns)) - {key}
     left = reviews.select([F.col(c).alias(c + suffixes[0]) if c in clash else F.col(c)
@@ -63,14 +39,12 @@ def inner_catalog(reviews: DataFrame, catalog: DataFrame, key: str = "name",
     right = catalog.select([F.col(c).alias(c + suffixes[1]) if c in clash else
                             (F.col(c).alias("__k") if c == key else F.col(c))
                             for c in catalog.columns])
-    right = broadcast_if_small(right, small_side_rows)
     return left.join(right, left[key] == right["__k"], "inner").drop("__k")
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left",
-                small_side_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Apply a (small) lookup table to rows by key."""
-    return df.join(broadcast_if_small(lookup, small_side_rows), on=on, how=how)
+    return df.join(lookup, on=on, how=how)
 
 
 def attach_stats(context: DataFrame, stats: DataFrame,

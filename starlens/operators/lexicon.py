@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.operators.joins import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
                      alpha: float = 15.0, prefix: str = "lex_") -> DataFrame:
     """Add ``{prefix}neg, neu, pos, compound`` to every row of ``df``."""
     lex = lexicon.select(F.col("word").alias("__core"), F.col("valence").cast("double").alias("__v"))
-    lex = broadcast_if_small(lex)
+    lex = lex
 
     # Per-review rule inputs are narrow columns on the review row itself.
     toks = tokens(F.col(text))

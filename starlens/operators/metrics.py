@@ -64,13 +64,15 @@ def classification_metrics(df: DataFrame, true: str, pred: str,
     weighted F1 and MCC from confusion counts."""
     group = list(group or [])
     cls = _class_table(confusion_counts(df, true, pred, group), group)
+    # Products of counts overflow 64 bits at a few thousand million rows.
+    cls = cls.select(*group, "cls", "T", *[F.col(c).cast("double").alias(c + "_") for c in ("T", "P", "tp")], "P", "tp")
     f1 = F.when(F.col("T") + F.col("P") > 0, 2.0 * F.col("tp") / (F.col("T") + F.col("P"))).otherwise(0.0)
     recall = F.when(F.col("T") > 0, F.col("tp") / F.col("T"))
-    n = F.sum("T")
-    sum_tp = F.sum("tp")
-    cov = n * sum_tp - F.sum(F.col("T") * F.col("P"))
-    den = F.sqrt((n * n - F.sum(F.col("P") * F.col("P"))).cast("double")
-                 * (n * n - F.sum(F.col("T") * F.col("T"))).cast("double"))
+    n, total = F.sum("T"), F.sum("T_")
+    sum_tp = F.sum("tp_")
+    cov = total * sum_tp - F.sum(F.col("T_") * F.col("P_"))
+    den = F.sqrt(total * total - F.sum(F.col("P_") * F.col("P_"))) * F.sqrt(
+        total * total - F.sum(F.col("T_") * F.col("T_")))
     out = cls.groupBy(*group).agg(
         (sum_tp / n).alias("accuracy"),
         F.avg(recall).alias("balanced_accuracy"),
@@ -139,7 +141,7 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, values: list[str],
                             *[F.sum("__b_" + v).over(Window.partitionBy(*part)).alias("total_" + v)
                               for v in values])
     wi = Window.partitionBy(*part, "__blk").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = ordered.join(F.broadcast(offsets) if n <= 100_000 else offsets, [*part, "__blk"])
+    out = ordered.join(offsets, [*part, "__blk"])
     return out.select(*[c for c in df.columns],
                       *[(F.sum(v).over(wi) + F.col("__o_" + v)).alias("cum_" + v) for v in values],
                       *["total_" + v for v in values])
@@ -180,8 +182,8 @@ def roc_auc(df: DataFrame, true: str = "star_label", probs: dict[int, str] | Non
     """F16 area: trapezoids between consecutive thresholds; the previous
     point is (cum - step), so no lag is needed."""
     pts = roc_points(df, true, probs, score_digits)
-    area = F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))) / (
-        2.0 * F.first("total_tp") * F.first("total_fp"))
+    area = F.sum(F.col("fp") / F.col("total_fp").cast("double")
+                 * ((F.col("cum_tp") + (F.col("cum_tp") - F.col("tp"))) / (2.0 * F.col("total_tp"))))
     return pts.groupBy("cls").agg(area.alias("auc"), F.count("*").alias("n_thresholds"))
 
 

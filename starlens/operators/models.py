@@ -78,22 +78,22 @@ def predict(model, df: DataFrame) -> DataFrame:
                .drop("rawPrediction", "probability", "prediction"))
 
 
-SCORE_SCHEMA = ("review_id long, text string, model_sentiment string, model_confidence double, "
-                "prob_negative double, prob_neutral double, prob_positive double")
+SCORE_COLUMNS = ("model_sentiment string, model_confidence double, "
+                 "prob_negative double, prob_neutral double, prob_positive double")
 
 
 def score_reviews(df: DataFrame, scorer: Callable | None = None, model=None, featurize=None,
-                  key: str = "review_id", text: str = "text", max_chars: int = 512) -> DataFrame:
+                  key: str = "review_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
     """Batch inference table.
 
     ``scorer`` is a pluggable Python function ``list[str] -> n x 3 array of
     probabilities`` run with ``mapInPandas`` (Arrow batches); otherwise the
-    fitted MLlib ``model`` (J5) scores JVM-side on ``featurize(df)``. Input
-    text is clipped to ``max_chars`` as on the serving path. Polarity columns
+    fitted MLlib ``model`` (J5) scores JVM-side on ``featurize(df)``. Whole
+    texts are scored; ``max_chars`` clips them as a serving path may. Polarity columns
     are carried when present.
     """
     lex = [c for c in LEX_FEATURES if c in df.columns]
-    clipped = df.withColumn(text, clip(F.col(text), max_chars, ellipsis=False))
+    clipped = df.withColumn(text, clip(F.col(text), max_chars, ellipsis=False)) if max_chars else df
     if scorer is not None:
         import numpy as np
         import pandas as pd
@@ -111,7 +111,8 @@ def score_reviews(df: DataFrame, scorer: Callable | None = None, model=None, fea
                     "prob_negative": probs[:, 0], "prob_neutral": probs[:, 1],
                     "prob_positive": probs[:, 2]})
 
-        scored = clipped.select(key, text).mapInPandas(run, SCORE_SCHEMA)
+        scored = clipped.select(key, text).mapInPandas(
+            run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string, {SCORE_COLUMNS}")
     else:
         feats = featurize(clipped) if featurize else clipped
         scored = predict(model, feats).select(

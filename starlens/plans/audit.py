@@ -27,7 +27,7 @@ def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = B
 
 
 def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "review_id",
-                     max_features: int = 50_000):
+                     max_features: int | None = None):
     """J1-J4 fitted on the train split only: returns (featurize, train rows)
     where ``featurize(df)`` builds TF-IDF (train vocabulary and idf) plus the
     polarity columns as one sparse vector for any rows."""
@@ -55,7 +55,7 @@ def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "revie
 
 
 def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_id",
-                   max_features: int = 50_000):
+                   max_features: int | None = None):
     """NB1 baseline (J1-J6): TF-IDF fitted on the train split, assembled with
     the polarity columns, balanced L2 logistic regression; returns
     (model, featurize)."""

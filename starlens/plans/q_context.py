@@ -160,10 +160,7 @@ def c15_markdown_to_html(spark, sf):
 
 @register("c17_split_sections")
 def c17_split_sections(spark, sf):
-    arts = _articles(spark, sf).withColumn(
-        "article", F.regexp_replace("article", "## Top Products", "## TOP 3 PRODUCTS"))
-    arts = arts.withColumn("article", F.regexp_replace("article", "## Product to Avoid", "## PRODUCT TO AVOID"))
-    return cx.split_sections(arts)
+    return cx.split_sections(_articles(spark, sf))
 
 
 @register("g7_recent_reviews", audit_sql("""

@@ -190,13 +190,20 @@ def d1_filter_reviews(spark, sf):
 
 @register("b15_select_existing", dash_sql("""
 SELECT name, cluster_name, rating_x AS rating, sentiment, ord, line FROM dash
-ORDER BY name, ord, line, cluster_name, rating, sentiment LIMIT 500"""))
+"""))
 def b15_select_existing(spark, sf):
     df = _dash(spark, sf)
     return select_existing(df, ["name", "cluster_name", None, "rating_x", "sentiment",
                                 "prob_Negative", "ord", "line"],
-                           rename={"rating_x": "rating"}, cap=500,
-                           order_by=["name", "ord", "line", "cluster_name", "rating", "sentiment"])
+                           rename={"rating_x": "rating"})
+
+
+@register("b15_select_existing_first", dash_sql("""
+SELECT name, rating_x AS rating, ord, line FROM dash
+ORDER BY name, ord, line, rating LIMIT 500"""))
+def b15_select_existing_first(spark, sf):
+    return select_existing(_dash(spark, sf), ["name", "rating_x", "prob_Negative", "ord", "line"],
+                           rename={"rating_x": "rating"}, cap=500, order_by=["name", "ord", "line", "rating"])
 
 
 @register("d2_facet_values", dash_sql("""

@@ -32,17 +32,31 @@ def b10_strip_markup(spark, sf):
 
 
 # Emoji alias table used by the registered B11 query.
-EMOJI_ALIASES = [("😀", " grinning face "), ("😡", " angry face "), ("👍", " thumbs up "),
-                 ("👎", " thumbs down "), ("❤", " red heart "), ("⭐", " star "), ("🔥", " fire ")]
+EMOJI_ALIASES = {"😀": " grinning face ", "😡": " angry face ", "👍🏽": " thumbs up (medium skin tone) ",
+                 "👍": " thumbs up ", "👎": " thumbs down ", "❤️": " red heart ", "❤": " heart ", "⭐": " star ",
+                 "🔥": " fire "}
+#: The documents hold no emoji: frequent words stand in for some.
+WITH_EMOJI = [(" of ", " ❤️ "), (" the ", " 👍🏽 "), (" and ", " 👍 "), (" de ", " ❤ "), (" die ", " 🔥🔥 "), (" que ", " 👎 ")]
 
 
-@register("b11_emoji_to_text", fx.with_views(
-    "SELECT doc_id, " + "".join("replace(" for _ in EMOJI_ALIASES) + "text"
-    + "".join(f", '{e}', '{a}')" for e, a in EMOJI_ALIASES) + " AS text FROM documents"))
+def _with_emoji():
+    out = "text"
+    for word, emoji in WITH_EMOJI:
+        out = f"replace({out}, '{word}', '{emoji}')"
+    return out
+
+
+def _emoji_sql():
+    out = "text"
+    for e in sorted(EMOJI_ALIASES, key=lambda e: (-len(e), e)):
+        out = f"replace({out}, '{e}', '{EMOJI_ALIASES[e]}')"
+    return f"SELECT doc_id, {out} AS text FROM (SELECT doc_id, {_with_emoji()} AS text FROM documents) t"
+
+
+@register("b11_emoji_to_text", fx.with_views(_emoji_sql()))
 def b11_emoji_to_text(spark, sf):
-    d = fx.table(spark, sf, "documents").select("doc_id", "text")
-    table = spark.createDataFrame(EMOJI_ALIASES, "emoji string, alias string")
-    return emoji_to_text(d, table, key="doc_id")
+    d = fx.table(spark, sf, "documents").selectExpr("doc_id", f"{_with_emoji()} AS text")
+    return emoji_to_text(d, EMOJI_ALIASES)
 
 
 NORM_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'),
@@ -51,8 +65,9 @@ NORM_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(text), '[\p{P}
 
 @register("b12_near_dedup", fx.with_views(f"""
 SELECT doc_id, lang FROM (
-  SELECT doc_id, lang, row_number() OVER (PARTITION BY md5({NORM_SQL}) ORDER BY doc_id) AS rn FROM documents) t
-WHERE rn = 1"""))
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY CASE WHEN {NORM_SQL} = '' THEN chr(1) || text ELSE {NORM_SQL} END ORDER BY doc_id) AS rn,
+         text FROM documents) t
+WHERE rn = 1 OR text IS NULL"""))
 def b12_near_dedup(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", "lang", "text")
     return near_dedup(d, key="doc_id").select("doc_id", "lang")

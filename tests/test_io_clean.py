@@ -59,11 +59,14 @@ def test_write_table_and_articles(spark):
 
 
 def test_near_dedup_and_emoji(spark):
-    df = spark.createDataFrame([(1, "Hello, World!"), (2, "hello   world"), (3, "other")],
-                               "review_id long, text string")
-    assert sorted(r.review_id for r in cl.near_dedup(df).collect()) == [1, 3]
-    emo = spark.createDataFrame([("👍", " thumbs up ")], "emoji string, alias string")
-    t = spark.createDataFrame([(1, "ok 👍!"), (2, "plain")], "review_id long, text string")
+    df = spark.createDataFrame([(1, "Hello, World!"), (2, "hello   world"), (3, "other"), (4, "👍"), (5, "👎"), (6, "!!!"),
+                                (7, None), (8, None), (9, "👍")], "review_id long, text string")
+    assert sorted(r.review_id for r in cl.near_dedup(df).collect()) == [1, 3, 4, 5, 6, 7, 8]
+    emo = {"👍": " thumbs up ", "👍🏽": " tanned thumb ", "❤️": " heart "}
+    t = spark.createDataFrame([(1, "ok 👍!"), (2, "plain"), (2, "👍🏽❤️👍")], "review_id long, text string")
+    assert sorted(r.text for r in cl.emoji_to_text(t, emo).collect() if r.review_id == 2) == [
+        " tanned thumb  heart  thumbs up ", "plain"]
+    t = t.filter("text not like '%❤%'")
     got = {r.review_id: r.text for r in cl.emoji_to_text(t, emo).collect()}
     assert got == {1: "ok  thumbs up !", 2: "plain"}
 

@@ -90,3 +90,24 @@ def test_vocabulary_top_n_with_ties(spark):
     kept = [(t, df, cnt) for t, (df, cnt) in stats.items() if 2 <= df <= 0.9 * 6]
     want = sorted(sorted(kept, key=lambda x: (-x[2], x[0]))[:17])
     assert got == want
+
+
+def test_counts_above_four_thousand_million(spark):
+    """Products of such counts do not fit 64 bits."""
+    from starlens.operators import metrics as mt
+    n = 4_000_000_000
+    counts = spark.createDataFrame([(0, 0, n), (0, 1, n // 2), (1, 1, n), (1, 0, n // 2)], "true_label int, pred_label int, n long")
+    orig = mt.confusion_counts
+    try:
+        mt.confusion_counts = lambda *a, **k: counts
+        row = mt.classification_metrics(counts, "true_label", "pred_label").first()
+    finally:
+        mt.confusion_counts = orig
+    assert abs(row.accuracy - 2 / 3) < 1e-9 and abs(row.mcc - 1 / 3) < 1e-9
+    pts = spark.createDataFrame([(1, 0.9, n, 0), (1, 0.1, 0, n)], "cls int, score double, tp long, fp long")
+    orig = mt._score_points
+    try:
+        mt._score_points = lambda *a, **k: pts
+        assert mt.roc_auc(pts).first().auc == 1.0
+    finally:
+        mt._score_points = orig
