@@ -223,15 +223,19 @@ def _scorer(machine: Machine | None):
     return run
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Machine | None:
-    """``labelled``: doc_id, text, toxic of the rows that may be learned from."""
-    rows = labelled.filter("text is not null and toxic is not null")
-    count = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | None:
+    """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) of the rows that
+    may be learned from. A hash of the id picks about ``sample`` labels per
+    class, 4 * ``sample`` at most; only they are broadcast to the texts."""
+    labels = labels.filter("doc_id is not null and toxic is not null").select("doc_id", "toxic")
+    count = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for k, n in count.items():
         share = F.when(F.col("toxic") == k, min(1.0, sample / n)).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    got = rows.filter(pick).select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()
+    place = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1_000_000))
+    some = labels.filter(place < share * 1_000_000).orderBy(place / share, "doc_id", "toxic").limit(4 * sample)
+    got = (docs.filter("text is not null").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+               .orderBy("doc_id", "text").collect())
     return fit([r.text for r in got], [int(r.toxic) for r in got])
 
 
@@ -249,6 +253,6 @@ def held_out():
 def op5_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    machine = train(docs.filter(~held_out()).join(labels, "doc_id"))
+    machine = train(docs.filter(~held_out()), labels.filter(~held_out()))
     out = score_toxicity(docs, machine)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -80,13 +80,14 @@ def test_toxicity_edges(spark):
     words = ["".join(rng.choice("aeiourstnl") for _ in range(rng.randint(2, 8))) for _ in range(400)]
     line = lambda: " ".join(rng.choice(words) for _ in range(30))
     docs = [(i, line() + (" you blockhead " if i % 3 == 0 else " ") + line(), int(i % 3 == 0), 0.0) for i in range(300)]
-    machine = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, toxic int, score double"))
+    known = spark.createDataFrame(docs, "doc_id long, text string, toxic int, score double")
+    machine = toxicity.train(known.drop("toxic"), known)
     odd = [(1, None), (2, ""), (3, "12 !!"), (4, line()), (5, "you blockhead"), (5, "you blockhead"), (6, "a bl-ock.head here"),
            (7, "one blockxhead more"), (8, "b l o c k h e a d"), (9, line() * 500)]
     df = spark.createDataFrame([(i, t, "x") for i, t in odd], "doc_id long, text string, score string")
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, machine).collect()}
     assert all(got[k] >= 0.5 for k in (5, 6, 7, 8)) and all(0 <= got[k] < 0.5 for k in (1, 2, 3, 4, 9)), got
-    assert toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, toxic int, score double").filter("toxic = 0")) is None
+    assert toxicity.train(known.drop("toxic"), known.filter("toxic = 0")) is None
     assert {r.score for r in toxicity.score_toxicity(df, None).collect()} == {0.0}
     assert toxicity.score_toxicity(df.limit(0), machine).count() == 0
 
