@@ -177,8 +177,7 @@ def _predictor(net: ByteGru | None):
                         langs.append("und")
                         scores.append(0.0)
                         continue
-                    count = np.bincount(d, minlength=len(sums)).astype(np.float64)
-                    total = count @ sums
+                    total = sums[d].sum(axis=0)
                     p = total[:-1] / total[-1]
                     langs.append(net.langs[int(p.argmax())])
                     scores.append(float(p.max()))
