@@ -51,6 +51,7 @@ class MergeVocabulary:
             raise ValueError("a piece crosses words")
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.byte_ids = frozenset(self.bytes)
         self.surface = {i: p.replace(MARK, " ") for i, p in text.items()}
         ids = {p: i for i, p in text.items()}
         for p in text.values():                       # characters that are no piece by themselves
@@ -58,6 +59,10 @@ class MergeVocabulary:
                 ids.setdefault(c, n + len(ids))
         self.size, self.ids = n, ids
         self.width = max(ids.values()) + 1
+        self.char = -1 - np.arange(0x110000, dtype=np.int32)        # symbol per character; -1 - code point if no piece has it
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
         order = sorted(plain, key=lambda i: -sp.get_score(i))
         rank, last = {}, None
         for i in order:                               # equal scores share a rank: leftmost wins
@@ -82,10 +87,10 @@ class MergeVocabulary:
             return text.split(" ") if text else []
         return [u[1:] for u in self.split(MARK + text.replace(" ", MARK))] if text else []
 
-    def symbols(self, unit: str) -> list[int]:
-        """Symbol per character; a character no piece has is -1 - code point."""
-        get = self.ids.get
-        return [get(c, -1 - ord(c)) for c in MARK + unit]
+    def symbols(self, units: list[str]) -> np.ndarray:
+        """Symbols of units of one length, a row each, the first mark included."""
+        text = "".join([MARK + u for u in units])
+        return self.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)].reshape(len(units), -1)
 
     def agenda(self, sym: list[int]) -> list[int]:
         """Merges of one string by a heap of (rank, place)."""
@@ -167,16 +172,15 @@ class MergeVocabulary:
             if len(u) < SHORT:
                 groups.setdefault(len(u), []).append(u)
             else:
-                got[u] = self.finish(self.agenda(self.symbols(u)))
+                got[u] = self.finish(self.agenda(self.symbols([u])[0].tolist()))
         for own in groups.values():
-            rows = np.array([self.symbols(u) for u in own], np.int32)
-            for u, sym in zip(own, self.together(rows)):
+            for u, sym in zip(own, self.together(self.symbols(own))):
                 got[u] = self.finish(sym)
         return got
 
     def decode(self, ids) -> str:
         """Text of a unit's ids, its first mark as a space."""
-        if not any(i in self.byte_of for i in ids):
+        if self.byte_ids.isdisjoint(ids):
             return "".join([self.surface[i] for i in ids])
         raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.surface[i].encode() for i in ids)
         return raw.decode("utf-8", "replace")
