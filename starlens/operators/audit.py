@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starlens.functions.labels import (DEFAULT_THRESHOLD, STRICT_THRESHOLD, conflict_type,
                                        label_name, quality_weight, threshold_label)
+from starlens.operators.joins import lookup_join
 
 
 def add_text_labels(df: DataFrame, compound: str = "lex_compound", prefix: str = "lex_",
@@ -45,7 +46,7 @@ def add_class_weight(df: DataFrame, label: str = "star_label", fit_on: DataFrame
     classes absent from ``fit_on`` get ``default``."""
     table = class_weights(fit_on if fit_on is not None else df, label).select(label, "class_weight")
     base = df.drop("class_weight")  # re-weighting (e.g. on the train split) replaces old weights
-    out = base.join(table, label, "left")
+    out = lookup_join(base, table, label)
     return out.withColumn("class_weight", F.coalesce("class_weight", F.lit(float(default))))
 
 

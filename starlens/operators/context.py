@@ -132,43 +132,53 @@ def marketing_context(df: DataFrame, k: int = 3, n_texts: int = 15, rating: str
 ARTICLE_SCHEMA = "cluster_name string, article string, error string"
 
 
-def template_article(cluster: str, context: str) -> str:
-    """Offline default generator: a markdown article that only restates the
-    context (no invented facts)."""
-    lines = [f"# {cluster}", "", "## TOP 3 PRODUCTS"]
-    products = [ln[len("PRODUCT: "):] for ln in context.split("\n") if ln.startswith("PRODUCT: ")]
-    for p in products[:-1]:
-        lines.append(f"- **{p}**")
-    lines += ["", "## PRODUCT TO AVOID", f"- {products[-1]}" if products else "- none", "",
-              "## Verdict", "", f"Based on {len(products) - 1} ranked products in {cluster}."]
-    return "\n".join(lines)
+def template_article(cluster: Column, context: Column) -> Column:
+    """Offline default generator as an expression: a markdown article that
+    only restates the context (no invented facts)."""
+    head = F.lit("PRODUCT: ")
+    products = F.transform(F.filter(F.split(context, "\n"), lambda x: x.startswith("PRODUCT: ")),
+                           lambda x: F.substr(x, F.length(head) + 1))
+    n = F.greatest(F.size(products) - 1, F.lit(0))
+    items = F.transform(F.slice(products, F.lit(1), n), lambda x: F.concat(F.lit("- **"), x, F.lit("**\n")))
+    return F.concat(F.lit("# "), cluster, F.lit("\n\n## TOP 3 PRODUCTS\n"), F.array_join(items, ""),
+                    F.lit("\n## PRODUCT TO AVOID\n- "), F.coalesce(F.get(products, F.size(products) - 1), F.lit("none")),
+                    F.lit("\n\n## Verdict\n\nBased on "), n.cast("string"), F.lit(" ranked products in "), cluster, F.lit("."))
 
 
 def generate_articles(ctx: DataFrame, generator: Callable[[str, str], str] | None = None,
-                      cluster: str = "cluster_name", context: str = "context") -> DataFrame:
-    """K4: run a text generator per cluster with ``mapInPandas``; a failing
-    row gets ``article = ''`` and the error text; an empty context gets the
-    'not enough data' text."""
-    gen = generator or template_article
+                      cluster: str = "cluster_name", context: str = "context",
+                      tasks: int | None = None) -> DataFrame:
+    """K4: one article per cluster; an empty context gets the 'not enough
+    data' text. Without ``generator`` the template expression writes it. A
+    Python generator runs with ``mapInPandas`` in ``tasks`` tasks (default:
+    the session's parallelism); a failing row gets ``article = ''`` and the
+    error text."""
+    none = F.coalesce(F.col(context), F.lit("")) == ""
+    missing = F.concat(F.lit("[Not enough product data for cluster: "), F.col(cluster), F.lit("]"))
+    if generator is None:
+        return ctx.select(F.col(cluster).alias("cluster_name"),
+                          F.when(none, missing).otherwise(template_article(F.col(cluster), F.col(context))).alias("article"),
+                          F.lit(None).cast("string").alias("error"))
 
     def run(batches):
         import pandas as pd
         for pdf in batches:
             arts, errs = [], []
-            for c, x in zip(pdf[cluster], pdf[context]):
-                if x is None or (isinstance(x, float)) or str(x) == "":
-                    arts.append(f"[Not enough product data for cluster: {c}]")
-                    errs.append(None)
-                    continue
-                try:
-                    arts.append(str(gen(c, x)))
-                    errs.append(None)
-                except Exception as e:  # noqa: BLE001 - isolate the failure to its row
-                    arts.append("")
-                    errs.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"cluster_name": pdf[cluster], "article": arts, "error": errs})
-
-    return ctx.select(cluster, context).mapInPandas(run, ARTICLE_SCHEMA)
+            for c, x, instead in zip(pdf["cluster_name"], pdf["context"], pdf["instead"]):
+                article, error = instead, None
+                if article is None:
+                    try:
+                        article = str(generator(c, x))
+                    except Exception as e:  # noqa: BLE001 - isolate the failure to its row
+                        article, error = "", f"{type(e).__name__}: {e}"
+                arts.append(article)
+                errs.append(error)
+            yield pd.DataFrame({"cluster_name": pdf["cluster_name"], "article": arts, "error": errs})
+
+    rows = ctx.select(F.col(cluster).alias("cluster_name"), F.col(context).alias("context"),
+                      F.when(none, missing).alias("instead"))
+    return (rows.repartition(tasks or ctx.sparkSession.sparkContext.defaultParallelism, "cluster_name")
+                .mapInPandas(run, ARTICLE_SCHEMA))
 
 
 def article_report(articles: DataFrame, article: str = "article") -> DataFrame:
@@ -185,20 +195,17 @@ def coverage_report(articles: DataFrame, reviews: DataFrame, cluster: str = "clu
                      F.count("*").alias("clusters_total"))
     r = reviews.agg(F.count_if(F.col(cluster) != exclude).alias("reviews_clustered"),
                     F.count("*").alias("reviews_total"))
-    a_row, r_row = a.first(), r.first()
-    return articles.sparkSession.createDataFrame(
-        [(a_row[0], a_row[1], r_row[0], r_row[1])],
-        "articles_generated long, clusters_total long, reviews_clustered long, reviews_total long")
+    return a.withColumn("__one", F.lit(1)).join(r.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def chunk_text(df: DataFrame, max_len: int, text: str = "text", key: str = "review_id") -> DataFrame:
-    """K6: split each text into ordered chunks of at most ``max_len`` chars."""
+    """K6: split each text into ordered chunks of at most ``max_len`` chars.
+    The chunks are cut within the row and then exploded, so no row carries
+    the whole text."""
     n = F.greatest(F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / F.lit(max_len)), F.lit(1))
-    idx = F.posexplode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("_pos", "chunk_index")
-    start = F.col("chunk_index") * F.lit(max_len) + F.lit(1)
-    return (df.select(key, text, idx)
-              .select(key, F.col("chunk_index").cast("int").alias("chunk_index"),
-                      F.substring(F.col(text), start, F.lit(max_len)).alias("chunk")))
+    chunks = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
+                         lambda i: F.substring(F.col(text), i * F.lit(max_len) + F.lit(1), F.lit(max_len)))
+    return df.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
 def digest_rows(articles: DataFrame, cluster: str = "cluster_name", article: str = "article") -> DataFrame:

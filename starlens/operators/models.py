@@ -17,10 +17,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starlens.functions.labels import DEFAULT_THRESHOLD, label_name, threshold_label
+from starlens.functions.labels import DEFAULT_THRESHOLD, label_name, softmax, threshold_label
 from starlens.functions.text import clip
 from starlens.operators.audit import add_class_weight
 
@@ -51,6 +51,13 @@ def assemble(docs: DataFrame, weights: DataFrame, vocab_size: int, key: str = "r
     return out.withColumn("features", build(idx, val)).drop("__tw")
 
 
+def sparse_parts(col: str) -> dict[str, Column]:
+    """Size and stored values of a sparse vector column (array<double>), read
+    from its fields; the vector is never made dense."""
+    json = F.from_json(F.to_json(F.struct(col)), f"`{col}` struct<size:int,values:array<double>>")[col]
+    return {"size": json["size"], "values": json["values"]}
+
+
 def fit_sentiment_lr(train: DataFrame, features: str = "features", label: str = "star_label",
                      C: float = 2.0, max_iter: int = 2000, tol: float = 1e-4):
     """L2 multinomial logistic regression with balanced class weights.
@@ -78,6 +85,46 @@ def predict(model, df: DataFrame) -> DataFrame:
                .drop("rawPrediction", "probability", "prediction"))
 
 
+def linear_predict(weights: DataFrame, coefficients: DataFrame, intercepts: list[float],
+                   docs: DataFrame, key: str = "review_id", dense: dict[str, list[float]] | None = None) -> DataFrame:
+    """J6 on the long table: ``weights`` (key, term, weight) meet
+    ``coefficients`` (term, b0, b1, b2), one row per term; the products are
+    summed per document map-side first, ``dense`` columns of ``docs`` are added,
+    and the softmax gives the class probabilities. ``docs`` with
+    pred_label, prob_* and pred_confidence."""
+    b = [f"b{c}" for c in range(len(intercepts))]
+    sums = (weights.select(key, "term", "weight").join(coefficients.select("term", *b), "term").groupBy(key)
+                   .agg(*[F.sum(F.col("weight") * F.col(x)).alias(f"__{x}") for x in b]))
+    z = []
+    for c, x in enumerate(b):
+        extra = F.lit(0.0)
+        for name, value in (dense or {}).items():
+            extra = extra + F.col(name) * F.lit(float(value[c]))
+        z.append(F.coalesce(F.col(f"__{x}"), F.lit(0.0)) + extra + F.lit(float(intercepts[c])))
+    p = F.col("__p")
+    out = docs.join(sums, key, "left").withColumn("__p", softmax(F.array(*z)))
+    best = F.array_position(p, F.array_max(p))
+    return (out.withColumn("pred_label", (best - 1).cast("int"))
+               .withColumn("prob_negative", p[0]).withColumn("prob_neutral", p[1])
+               .withColumn("prob_positive", p[2]).withColumn("pred_confidence", F.array_max(p))
+               .drop("__p", *[f"__{x}" for x in b]))
+
+
+def nearest_centroid(df: DataFrame, centroids: list[list[float]], vector: str = "embedding") -> DataFrame:
+    """J8 for given centroids: ``cluster`` (least index of the nearest) and
+    ``cost`` (squared distance). The k centroids are literals of the plan, so
+    rows stay where they are."""
+    x = F.col(vector)
+
+    def distance(c):
+        point = F.array(*[F.lit(float(v)) for v in c])
+        return F.aggregate(F.zip_with(x, point, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    out = df.withColumn("__d", F.array(*[distance(c) for c in centroids]))
+    return (out.withColumn("cost", F.array_min("__d"))
+               .withColumn("cluster", (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__d"))
+
+
 SCORE_COLUMNS = ("model_sentiment string, model_confidence double, "
                  "prob_negative double, prob_neutral double, prob_positive double")
 

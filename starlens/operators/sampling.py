@@ -45,15 +45,21 @@ def stratified_split(df: DataFrame, label: str = "star_label", key: str = "revie
     holdout_d = Decimal(str(1 - Decimal(str(f_train))))
     second_d = (holdout_d - Decimal(str(f_val))) / holdout_d
     holdout, second = F.lit(holdout_d), F.lit(second_d)
-    ranked = prefix_sums(df.withColumn("__u", u).withColumn("__one", F.lit(1)), [label],
-                         [F.col("__u"), F.col(key)], ["__one"])
+    at = F.struct(u.alias("u"), F.col(key).alias("k"))
+    ranked = prefix_sums(df.select(label, u.alias("__u"), F.col(key).alias("__k"), F.lit(1).alias("__one")),
+                         [label], [F.col("__u"), F.col("__k")], ["__one"])
     n = F.col("total___one")
     n_temp = F.ceil(n * holdout)
     n_train = n - n_temp
     n_val = n_temp - F.ceil(n_temp * second)
-    r = F.col("cum___one")
-    split = F.when(r <= n_train, "train").when(r <= n_train + n_val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("__u", "__one", "cum___one", "total___one")
+    r, place = F.col("cum___one"), F.struct(F.col("__u").alias("u"), F.col("__k").alias("k"))
+    # Only (label, hash, key) is ranked; the last place of each split, one row
+    # per label, then decides the wide rows where they are.
+    cuts = ranked.groupBy(F.col(label).alias("__label")).agg(
+        F.max(F.when(r <= n_train, place)).alias("__train"), F.max(F.when(r <= n_train + n_val, place)).alias("__val"))
+    split = F.when(at <= F.col("__train"), "train").when(at <= F.col("__val"), "val").otherwise("test")
+    return (df.join(cuts, F.col(label).eqNullSafe(F.col("__label")), "left")
+              .withColumn("split", split).drop("__label", "__train", "__val"))
 
 
 def split_report(df: DataFrame, label: str = "star_label_name", split: str = "split",

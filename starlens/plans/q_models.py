@@ -1,16 +1,22 @@
-"""Registered model queries (J4-J10). Iterative fits have no SQL
-equivalent: the driver records row counts only; tests check invariants."""
+"""Registered model queries (J4-J10). Iterative fits have no SQL equivalent:
+tests check their invariants. What follows a fit is checked against SQL with
+coefficients and centroids that both sides derive from the tables."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from starlens.functions.labels import label_name
+from starlens.operators import features as ft
 from starlens.operators import models as md
 from starlens.operators import sampling as sp
 from starlens.plans.audit import tfidf_featurizer, tfidf_lr_model
 from starlens.plans.q_audit import _audited as audited
-from starlens.plans.registry import register
+from starlens.plans.q_audit import audit_sql
+from starlens.plans.q_eval import SPLIT_SQL
+from starlens.plans.q_text import TERMS_SQL, TEXT_STAGES, TF_SQL
+from starlens.plans.registry import register, rounded
+from starlens.session import cut_lineage
 from starlens.sources import fixtures as fx
 
 
@@ -30,13 +36,75 @@ def _model(spark, sf):
     return _MODELS[k]
 
 
-@register("j4_assemble")
+TRAIN_STAGES = [
+    ("splits", SPLIT_SQL), ("terms_src", TERMS_SQL), ("tf", TF_SQL),
+    ("train_vocab", """
+SELECT term, count(*) AS df, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_index
+FROM tf WHERE review_id IN (SELECT review_id FROM splits WHERE split = 'train') GROUP BY term
+HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM splits WHERE split = 'train')""")]
+
+
+@register("j4_assemble", audit_sql("""
+SELECT s.review_id, CAST((SELECT count(*) FROM train_vocab) + 4 AS INTEGER) AS n_features,
+       CAST(coalesce(t.n, 0) + CAST(lex_neg <> 0 AS INTEGER) + CAST(lex_neu <> 0 AS INTEGER)
+            + CAST(lex_pos <> 0 AS INTEGER) + CAST(lex_compound <> 0 AS INTEGER) AS INTEGER) AS nnz
+FROM splits s LEFT JOIN (SELECT tf.review_id, count(*) AS n FROM tf JOIN train_vocab USING (term) GROUP BY tf.review_id) t
+  ON s.review_id = t.review_id""", more=TRAIN_STAGES))
 def j4_assemble(spark, sf):
     df = _split(spark, sf)
     featurize, _ = tfidf_featurizer(df)
-    arr = vector_to_array("features")
-    return featurize(df).select("review_id", F.size(arr).alias("n_features"),
-                                F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+    # The sparse vector's own index and value arrays: nothing is made dense.
+    parts = md.sparse_parts("features")
+    return featurize(df).select("review_id", parts["size"].alias("n_features"),
+                                F.size(F.filter(parts["values"], lambda x: x != 0)).alias("nnz"))
+
+
+# Given coefficients of class c: ((term_index + 3 c) mod 7 - 3) / 4, and of the polarity columns and intercepts.
+GIVEN_DENSE = {"lex_neg": [1.5, 0.0, -1.0], "lex_neu": [0.1, 0.4, 0.1], "lex_pos": [-1.0, 0.0, 1.5], "lex_compound": [-2.0, 0.0, 2.0]}
+GIVEN_INTERCEPTS = [0.1, -0.2, 0.3]
+
+
+def _z_sql(c):
+    dense = " + ".join(f"CAST({v[c]} AS DOUBLE) * s.{k}" for k, v in GIVEN_DENSE.items())
+    return f"coalesce(w.z{c}, 0) + {dense} + CAST({GIVEN_INTERCEPTS[c]} AS DOUBLE) AS z{c}"
+
+
+GIVEN_STAGES = [("splits", SPLIT_SQL), *TEXT_STAGES, ("given", f"""
+SELECT s.*, {", ".join(_z_sql(c) for c in range(3))} FROM splits s LEFT JOIN (
+  SELECT review_id, {", ".join(f"sum(weight * ((term_index + {3 * c}) % 7 - 3) / 4.0::DOUBLE) AS z{c}" for c in range(3))}
+  FROM tfidf GROUP BY review_id) w ON s.review_id = w.review_id"""),
+    ("predicted", """
+SELECT *, e0 / (e0 + e1 + e2) AS p0, e1 / (e0 + e1 + e2) AS p1, e2 / (e0 + e1 + e2) AS p2,
+       CASE WHEN e0 >= e1 AND e0 >= e2 THEN 0 WHEN e1 >= e2 THEN 1 ELSE 2 END AS pred_label
+FROM (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1,
+             exp(z2 - greatest(z0, z1, z2)) AS e2 FROM given) g""")]
+
+
+def _given(spark, sf):
+    df = cut_lineage(_split(spark, sf).select("review_id", "split", "star_label", "text", *md.LEX_FEATURES))
+    weights, vocab, _ = ft.tfidf_table(df)
+    b = [(((F.col("term_index") + 3 * c) % 7 - 3) / F.lit(4.0)).alias(f"b{c}") for c in range(3)]
+    return md.linear_predict(weights, vocab.select("term", *b), GIVEN_INTERCEPTS, df, dense=GIVEN_DENSE)
+
+
+@register("j6_predict_given", audit_sql("""
+SELECT review_id, split, star_label, pred_label, round(greatest(p0, p1, p2), 6) AS pred_confidence, round(p0, 6) AS prob_negative,
+       round(p1, 6) AS prob_neutral, round(p2, 6) AS prob_positive FROM predicted WHERE split <> 'train'""", more=GIVEN_STAGES))
+def j6_predict_given(spark, sf):
+    out = _given(spark, sf).filter(F.col("split") != "train")
+    return rounded(out.select("review_id", "split", "star_label", "pred_label", "pred_confidence",
+                              "prob_negative", "prob_neutral", "prob_positive"))
+
+
+@register("j7_score_reviews_given", audit_sql("""
+SELECT review_id, text, CASE pred_label WHEN 0 THEN 'Negative' WHEN 1 THEN 'Neutral' ELSE 'Positive' END AS model_sentiment,
+       round(greatest(p0, p1, p2), 6) AS model_confidence, round(p0, 6) AS prob_negative, round(p1, 6) AS prob_neutral,
+       round(p2, 6) AS prob_positive, lex_neg, lex_neu, lex_pos, lex_compound FROM predicted""", more=GIVEN_STAGES))
+def j7_score_reviews_given(spark, sf):
+    out = _given(spark, sf)
+    return rounded(out.select("review_id", "text", label_name("pred_label").alias("model_sentiment"),
+                              F.col("pred_confidence").alias("model_confidence"), "prob_negative", "prob_neutral",
+                              "prob_positive", *md.LEX_FEATURES))
 
 
 @register("j5_fit_sentiment_lr")
@@ -80,3 +148,59 @@ def j9_elbow(spark, sf):
 def j10_silhouette(spark, sf):
     _, assigned = md.kmeans(_embeddings(spark, sf), k=10)
     return spark.createDataFrame([(10, md.silhouette(assigned))], "k int, silhouette double")
+
+
+# The centroids given: the mean vector of each label, in label order.
+CENTROID_STAGES = [
+    ("centroids", """
+SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster, pos, avg(CAST(v AS DOUBLE)) AS c
+FROM (SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) e GROUP BY label, pos"""),
+    ("vectors", "SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings"),
+    ("distances", """
+SELECT vec_id, cluster, sum((v - c) * (v - c)) AS d FROM vectors JOIN centroids USING (pos) GROUP BY vec_id, cluster"""),
+    ("assigned", "SELECT vec_id, arg_min(cluster, d) AS cluster, min(d) AS cost FROM distances GROUP BY vec_id")]
+
+
+def _centroids(spark, sf) -> list[list[float]]:
+    """One mean vector per label (rows of the plan, not of the data)."""
+    rows = (fx.table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v"))
+              .groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("c"))
+              .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("cs")).orderBy("label").collect())
+    return [[x.c for x in r.cs] for r in rows]
+
+
+@register("j8_assign_given", fx.with_views("SELECT vec_id, cluster, round(cost, 6) AS cost FROM assigned", extra=CENTROID_STAGES))
+def j8_assign_given(spark, sf):
+    out = md.nearest_centroid(fx.table(spark, sf, "embeddings"), _centroids(spark, sf))
+    return rounded(out.select("vec_id", "cluster", "cost"))
+
+
+@register("j9_cost_given", fx.with_views("""
+SELECT k, round(sum(d), 6) AS cost FROM (
+  SELECT k, vec_id, min(d) AS d FROM distances JOIN (SELECT unnest([2, 4, 6, 8, 10]) AS k) ks ON cluster < k GROUP BY k, vec_id) t
+GROUP BY k""", extra=CENTROID_STAGES))
+def j9_cost_given(spark, sf):
+    """Cost of the first k centroids, for each k in one scan."""
+    centers, ks = _centroids(spark, sf), [2, 4, 6, 8, 10]
+    df = fx.table(spark, sf, "embeddings").select("embedding")
+    for k in ks:
+        df = md.nearest_centroid(df, centers[:k]).withColumnRenamed("cost", f"c{k}").drop("cluster")
+    sums = df.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in ks])
+    return rounded(sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("cost")) for k in ks]))
+                                .alias("x")).select("x.*"))
+
+
+@register("j10_silhouette_given", fx.with_views("""
+SELECT 10 AS k, round(avg(CASE WHEN n_own = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette
+FROM (SELECT vec_id, max(n) FILTER (own) AS n_own, max(m * n / (n - 1)) FILTER (own AND n > 1) AS a, min(m) FILTER (NOT own) AS b
+  FROM (SELECT x.vec_id, x.cluster = s.cluster AS own, s.n, x.norm + s.psi / s.n - 2 * x.dot / s.n AS m
+    FROM (SELECT v.vec_id, a.cluster, y.cluster AS other, sum(v.v * v.v) AS norm, sum(v.v * y.y) AS dot
+          FROM vectors v JOIN assigned a USING (vec_id)
+          JOIN (SELECT cluster, pos, sum(v::DOUBLE) AS y FROM vectors JOIN assigned USING (vec_id) GROUP BY cluster, pos) y
+            ON v.pos = y.pos GROUP BY v.vec_id, a.cluster, y.cluster) x
+    JOIN (SELECT cluster, count(DISTINCT vec_id) AS n, sum(v::DOUBLE * v) AS psi FROM vectors JOIN assigned USING (vec_id)
+          GROUP BY cluster) s ON x.other = s.cluster) r GROUP BY vec_id) t""".replace("x.cluster = s.cluster", "x.cluster = x.other"),
+    extra=CENTROID_STAGES))
+def j10_silhouette_given(spark, sf):
+    out = md.nearest_centroid(fx.table(spark, sf, "embeddings"), _centroids(spark, sf))
+    return rounded(spark.createDataFrame([(10, md.silhouette(md.to_vector(out, "embedding")))], "k int, silhouette double"))

@@ -57,9 +57,8 @@ def l2_streaming_kpis(spark, sf):
     src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=1)
     enriched = st.enrich_stream(src, fx.catalog(spark, sf)).withColumn(
         "sentiment", label_name("sentiment"))
-    table = "kpis_" + path.rsplit("-", 1)[-1]
-    st.run_complete(st.streaming_kpis(enriched), path + "/ckpt", table)
-    return rounded(st.kpi_view(spark.table(table)))
+    state = st.run_complete(st.streaming_kpis(enriched), path + "/ckpt", path + "/out")
+    return rounded(st.kpi_view(state))
 
 
 @register("l3_enrich_stream", digest_sql("""
@@ -80,7 +79,5 @@ def l4_stream_ingest(spark, sf):
     d = fx.table(spark, sf, "documents")
     path = _files(d, spark, "l4", parts=8)
     src = st.stream_source(spark, path + "/in", d.schema, max_files_per_trigger=2)
-    table = "ingest_" + path.rsplit("-", 1)[-1]
     agg = src.agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
-    st.run_complete(agg, path + "/ckpt", table)
-    return spark.table(table)
+    return st.run_complete(agg, path + "/ckpt", path + "/out")

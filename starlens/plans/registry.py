@@ -43,3 +43,4 @@ from starlens.plans import q_models  # noqa: E402,F401
 from starlens.plans import q_context  # noqa: E402,F401
 from starlens.plans import q_stream  # noqa: E402,F401
 from starlens.plans import q_misc  # noqa: E402,F401
+from starlens.plans import q_sources  # noqa: E402,F401

@@ -1,8 +1,8 @@
 """Sources and sinks.
 
-CSV is read with ``multiLine`` and quote escaping because product names hold
-line breaks inside quotes; schemas can be given explicitly (preferred at
-scale: no inference pass). Writers overwrite atomically per output folder.
+The catalogue is read with ``multiLine`` because product names hold line breaks
+inside quotes; review files stay splittable unless asked otherwise. Schemas can
+be given explicitly (preferred at scale: no inference pass). Writers overwrite atomically per output folder.
 """
 
 from __future__ import annotations
@@ -15,15 +15,19 @@ from starlens.operators.joins import canonical_key
 
 
 def read_reviews(spark: SparkSession, path: str, schema=None, fmt: str | None = None,
-                 glob: str | None = None) -> DataFrame:
-    """A1: headered CSV (or parquet/json by extension or ``fmt``); A3 via ``glob``."""
+                 glob: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A1: headered CSV (or parquet/json by extension or ``fmt``); A3 via ``glob``.
+
+    Give a schema where the data are large: without one a CSV is read once
+    more to infer it. Empty CSV fields are null. ``multi_line`` admits line breaks inside quotes, but a
+    file then is one task."""
     fmt = fmt or ("parquet" if path.endswith(".parquet") else
                   "json" if path.endswith(".json") else "csv")
     reader = spark.read.format(fmt)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if fmt == "csv":
-        reader = (reader.option("header", "true").option("multiLine", "true")
+        reader = (reader.option("header", "true").option("multiLine", str(multi_line).lower())
                         .option("escape", '"').option("quote", '"'))
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     elif schema is not None:
@@ -34,7 +38,7 @@ def read_reviews(spark: SparkSession, path: str, schema=None, fmt: str | None =
 def read_catalog(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A2: product catalogue; names are canonicalised (CRLF -> LF) so they
     join with review names."""
-    df = read_reviews(spark, path, schema)
+    df = read_reviews(spark, path, schema, multi_line=True)
     return df.withColumn("name", canonical_key(F.col("name")))
 
 
@@ -60,7 +64,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", "true").option("escape", '"').csv(path)
+        (w.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false")
+          .option("ignoreTrailingWhiteSpace", "false").csv(path))
     else:
         w.format(fmt).save(path)
 

@@ -95,10 +95,19 @@ def append_stream(src: DataFrame, sink_path: str, checkpoint: str, fmt: str = "p
                .start(sink_path))
 
 
-def run_complete(agg: DataFrame, checkpoint: str, table: str):
-    """Run a complete-mode aggregate to the end of the available input and
-    keep the latest result in a small in-memory table (one row per group)."""
-    q = (agg.writeStream.format("memory").queryName(table).outputMode("complete")
+def run_complete(agg: DataFrame, checkpoint: str, sink_path: str) -> DataFrame:
+    """Run a complete-mode aggregate to the end of the available input; each
+    batch writes its whole result to a folder of its own, the last is returned
+    (no rows where no batch ran). Nothing passes through the driver."""
+    last = []
+
+    def run(batch_df: DataFrame, batch_id: int):
+        path = f"{sink_path}/batch={batch_id}"
+        batch_df.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    q = (agg.writeStream.foreachBatch(run).outputMode("complete")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return q
+    spark = agg.sparkSession
+    return spark.read.parquet(last[0]) if last else spark.createDataFrame([], agg.schema)
