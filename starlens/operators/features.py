@@ -1,10 +1,9 @@
 """Text features (J1-J3, J11, J12) as long tables.
 
-Plan: per-row tokenisation (no shuffle) -> ``explode`` -> one partial/final
-``groupBy(doc, term)`` (the largest shuffle; duplicates collapse map-side)
--> document frequencies ``groupBy(term)`` -> vocabulary cut (a bounded
-top-N, at most ``max_features`` rows, so it can be broadcast back) ->
-TF-IDF with a per-document L2 norm.
+Plan: per-row tokenisation and term counts (no shuffle), pinned -> ``explode``
+-> document frequencies ``groupBy(term)`` (map-side first) -> vocabulary, cut
+to ``max_features`` rows if asked -> join on the term -> TF-IDF with a
+per-document L2 norm.
 
 TF-IDF definition: ``(1 + ln tf) * (ln((1 + N) / (1 + df)) + 1)``, then L2
 normalised per document (sublinear tf, smoothed idf). MLlib's ``IDF`` has
@@ -70,12 +69,38 @@ def terms(df: DataFrame, text: str = "text", key: str = "review_id",
     if ngram_range[0] <= 2 <= ngram_range[1]:
         parts.append(bigrams(toks))
     all_terms = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return df.select(key, F.explode(all_terms).alias("term"))
+    return df.select(key, F.explode_outer(all_terms).alias("term")).filter("term is not null")
 
 
-def term_frequencies(term_rows: DataFrame, key: str = "review_id") -> DataFrame:
-    """(key, term, tf): the (doc, term) aggregate everything else builds on."""
-    return term_rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+def document_terms(df: DataFrame, text: str = "text", key: str = "review_id") -> DataFrame:
+    """One row per row of ``df``: (key, counts array<struct<term, tf>>).
+
+    A document is one row, so its terms are counted where it is: the sorted
+    term array is cut where the term changes. No shuffle."""
+    df = df.select(key, word_tokens(F.col(text)).alias("__toks"))
+    df = df.select(key, F.sort_array(F.concat("__toks", bigrams(F.col("__toks")))).alias("__s"))
+    s, starts = F.col("__s"), F.col("__starts")
+    places = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    df = df.select(key, "__s", F.when(F.size(s) > 0, places).otherwise(F.array().cast("array<int>")).alias("__starts"))
+    counts = F.transform(starts, lambda at, j: F.struct(
+        F.get(s, at).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - at).cast("long").alias("tf")))
+    return df.select(key, counts.alias("counts"))
+
+
+def term_frequencies(docs: DataFrame, key: str = "review_id") -> DataFrame:
+    """(key, term, tf) from the rows of ``document_terms``. The outer form: for
+    the inner one the planner puts a size filter below it, which would spell
+    out the tokeniser inside every lambda."""
+    c = docs.select(key, F.explode_outer("counts").alias("c")).filter("c is not null")
+    return c.select(key, "c.term", "c.tf")
+
+
+def counted_terms(df: DataFrame, text: str = "text", key: str = "review_id") -> tuple[DataFrame, int]:
+    """(term frequencies, number of documents), each text tokenised once: the
+    per-document counts are pinned, then vocabulary and weights read them."""
+    from starlens.session import cut_lineage
+    docs = cut_lineage(document_terms(df, text, key))
+    return term_frequencies(docs, key), docs.count()
 
 
 def vocabulary(tf: DataFrame, n_docs: int, max_features: int | None = None, min_df: int = 2,
@@ -124,17 +149,10 @@ def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
                 max_features: int | None = None, min_df: int = 2, max_df: float = 0.95):
     """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
 
-    The (doc, term) aggregate feeds the vocabulary, the weights and the
-    document count, so it is computed once and pinned with a reliable
-    checkpoint. Every document adds one marker row (term = null) to that
-    aggregate, which gives N, documents without any term included, without
-    a second pass over the texts."""
-    from starlens.session import cut_lineage
-    term_rows = terms(df, text, key).unionByName(
-        df.select(key, F.lit(None).cast("string").alias("term")))
-    tf = cut_lineage(term_frequencies(term_rows, key))
-    n_docs = tf.filter(F.col("term").isNull()).count()
-    tf = tf.filter(F.col("term").isNotNull())
+    Terms are counted within the document's row, so the only shuffles of term
+    rows are those of the weights: to the vocabulary (none if it is small
+    enough to broadcast) and to the document's norm."""
+    tf, n_docs = counted_terms(df, text, key)
     vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
     return tfidf(tf, vocab, n_docs, key), vocab, n_docs
 

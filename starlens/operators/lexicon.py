@@ -3,12 +3,12 @@
 Plan shape:
   1. per review (narrow): whitespace tokens, token count, per-review rule
      inputs (position of the first "but", mixed case, ! / ? emphasis);
-  2. ``posexplode`` of (token, three preceding tokens) -> inner join with the
-     lexicon (broadcast when proven small; only lexicon hits survive) ->
-     rule-adjusted valence per hit as column arithmetic (no window: the
-     neighbours travel with each token);
+  2. explode of (token, three preceding tokens) -> left join with the lexicon
+     (broadcast by the planner when small); lexicon hits and each review's first
+     token go on -> rule-adjusted valence per hit as column arithmetic (no
+     window: the neighbours travel with each token);
   3. ``groupBy(review_id)`` partial/final sums (a long review is reduced
-     map-side to one row), then a left join back to the reviews.
+     map-side to one row). Texts are attached, if wanted, by a last join.
 The lexicon is an input table (word, valence); nothing is downloaded.
 
 Score definitions (rule family from Hutto & Gilbert, ICWSM 2014):
@@ -84,21 +84,24 @@ def _is_caps(tok: Column) -> Column:
     return (tok == F.upper(tok)) & (tok != F.lower(tok))
 
 
-def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
-                     key: str = "review_id", rules: PolarityRules = BASE,
-                     alpha: float = 15.0, prefix: str = "lex_") -> DataFrame:
-    """Add ``{prefix}neg, neu, pos, compound`` to every row of ``df``."""
-    lex = lexicon.select(F.col("word").alias("__core"), F.col("valence").cast("double").alias("__v"))
-    lex = lex
-
-    # Per-review rule inputs are narrow columns on the review row itself.
-    toks = tokens(F.col(text))
-    txt = F.coalesce(F.col(text), F.lit(""))
-    base = (df.withColumn("__toks", toks)
-              .withColumn("__n_tokens", F.size("__toks"))
-              .withColumn("__n_excl", F.length(txt) - F.length(F.replace(txt, F.lit("!"), F.lit(""))))
-              .withColumn("__n_q", F.length(txt) - F.length(F.replace(txt, F.lit("?"), F.lit("")))))
+def polarity_scores(df: DataFrame, lexicon: DataFrame, text: str = "text",
+                    key: str = "review_id", rules: PolarityRules = BASE,
+                    alpha: float = 15.0, prefix: str = "lex_") -> DataFrame:
+    """C3 alone: one row per ``key`` with ``{prefix}neg, neu, pos, compound``.
 
+    One pass over the texts: a review's first token (or an empty row) carries
+    its counts through the lexicon join, so reviews without a hit stay and no
+    second scan is joined back."""
+    lex = lexicon.select(F.col("word").alias("__core"), F.col("valence").cast("double").alias("__v"))
+    t = F.col("__text")
+    pre = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    pre = pre.select(key, "__text", tokens(t).alias("__toks"))
+    # Per-review inputs are computed in their own projection BEFORE the explode; selected next to the
+    # generator they would be evaluated once per exploded token (quadratic in the review length).
+    counts = [F.size("__toks").alias("__n_tokens"),
+              (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).alias("__n_excl"),
+              (F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))).alias("__n_q")]
+    names = ["__n_tokens", "__n_excl", "__n_q"]
     if rules.enabled:
         seq = F.transform("__toks", lambda t, i: F.struct(
             i.alias("pos"), t.alias("tok"),
@@ -108,33 +111,29 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         # mixed case: some token is all caps while another is not
         cap_diff = F.exists("__toks", _is_caps) & F.exists("__toks", lambda t: ~_is_caps(t))
         but_idx = F.array_position(F.transform("__toks", core), F.lit(rules.but_word)) - 1
-        # Per-review inputs are computed in their own projection BEFORE the
-        # explode; selected next to the generator they would be evaluated
-        # once per exploded token (quadratic in the review length).
-        pre = base.select(key, "__toks", cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"))
-        hits = (pre.select(key, "__cap_diff", "__but_idx", F.explode(seq).alias("t"))
-                   .withColumn("__core", core(F.col("t.tok")))
-                   .join(lex, "__core", "inner"))
+        rows = (pre.select(key, "__toks", *counts, cap_diff.alias("__cap_diff"), but_idx.alias("__but_idx"))
+                   .select(key, *names, "__cap_diff", "__but_idx", F.explode_outer(seq).alias("t"))
+                   .withColumn("__core", core(F.col("t.tok"))).withColumn("__pos", F.col("t.pos")))
     else:
-        # Base score needs only the lookup forms: strip token-edge punctuation
-        # for the whole text in one regex pass, then split. A token made only
-        # of punctuation vanishes here, which is fine: it can never be a hit,
-        # and token counts come from the raw split above.
-        core_text = F.lower(F.regexp_replace(txt, EDGE_PUNCT_IN_TEXT, ""))
-        hits = (df.select(key, F.explode(tokens(core_text)).alias("__core"))
-                  .join(lex, "__core", "inner"))
+        # The base score needs only the lookup forms: token-edge punctuation is stripped from the whole
+        # text in one regex pass, then split. A token made only of punctuation vanishes here, which is
+        # fine: it can never be a hit, and token counts come from the raw split above.
+        cores = tokens(F.lower(F.regexp_replace(t, EDGE_PUNCT_IN_TEXT, "")))
+        rows = (pre.select(key, *counts, cores.alias("__cores"))
+                   .select(key, *names, F.posexplode_outer("__cores").alias("__pos", "__core")))
+    first = F.coalesce(F.col("__pos"), F.lit(0)) == 0
+    hits = rows.join(lex, "__core", "left").filter(F.col("__v").isNotNull() | first)
     hits = _apply_rules(hits, rules) if rules.enabled else hits.withColumn("__val", F.col("__v"))
-    sums = (hits.groupBy(key)
-                .agg(F.sum("__val").alias("__s"),
-                     F.sum(F.when(F.col("__val") > 0, F.col("__val") + 1).otherwise(0.0)).alias("__pos"),
-                     F.sum(F.when(F.col("__val") < 0, F.col("__val") - 1).otherwise(0.0)).alias("__neg"),
-                     F.count_if(F.col("__val") != 0).alias("__n_polar")))
+    joined = hits.groupBy(key).agg(
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in names],
+        F.sum("__val").alias("__s"),
+        F.sum(F.when(F.col("__val") > 0, F.col("__val") + 1).otherwise(0.0)).alias("__pos_sum"),
+        F.sum(F.when(F.col("__val") < 0, F.col("__val") - 1).otherwise(0.0)).alias("__neg_sum"),
+        F.count_if(F.col("__val") != 0).alias("__n_polar"))
 
-    joined = base.drop("__toks").join(sums, key, "left")
     s = F.coalesce(F.col("__s"), F.lit(0.0))
-    pos_sum = F.coalesce(F.col("__pos"), F.lit(0.0))
-    neg_sum = F.coalesce(F.col("__neg"), F.lit(0.0))
-    neu = (F.coalesce(F.col("__n_tokens"), F.lit(0)) - F.coalesce(F.col("__n_polar"), F.lit(0))).cast("double")
+    pos_sum, neg_sum = F.col("__pos_sum"), F.col("__neg_sum")
+    neu = (F.col("__n_tokens") - F.col("__n_polar")).cast("double")
     if rules.enabled:
         ep = F.least(F.col("__n_excl"), F.lit(rules.exclaim_max)) * F.lit(rules.exclaim_incr)
         qm = (F.when(F.col("__n_q") > 3, F.lit(rules.question_max_incr))
@@ -145,24 +144,31 @@ def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
         pos_adj = F.when(pos_sum > F.abs(neg_sum), pos_sum + punct).otherwise(pos_sum)
         neg_adj = F.when(pos_sum < F.abs(neg_sum), neg_sum - punct).otherwise(neg_sum)
         pos_sum, neg_sum = pos_adj, neg_adj
-    joined = joined.withColumn("__S", s).withColumn("__P", pos_sum).withColumn("__N", neg_sum) \
-                   .withColumn("__U", neu)
+    joined = joined.select(key, "__n_tokens", s.alias("__S"), pos_sum.alias("__P"), neg_sum.alias("__N"), neu.alias("__U"))
     total = F.col("__P") + F.abs(F.col("__N")) + F.col("__U")
     compound = F.col("__S") / F.sqrt(F.col("__S") * F.col("__S") + F.lit(alpha))
     compound = F.greatest(F.least(compound, F.lit(1.0)), F.lit(-1.0))
-    empty = F.coalesce(F.col("__n_tokens"), F.lit(0)) == 0
+    empty = F.col("__n_tokens") == 0
 
     def share(x):
         return F.when(empty | (total == 0), F.lit(0.0)).otherwise(F.round(F.abs(x / total), 3))
 
-    out = joined.select(
-        *[F.col(c) for c in df.columns],
+    return joined.select(
+        key,
         share(F.col("__N")).alias(prefix + "neg"),
         share(F.col("__U")).alias(prefix + "neu"),
         share(F.col("__P")).alias(prefix + "pos"),
-        F.when(empty, F.lit(0.0)).otherwise(F.round(compound, 4)).alias(prefix + "compound"),
-    )
-    return out
+        F.when(empty, F.lit(0.0)).otherwise(F.round(compound, 4)).alias(prefix + "compound"))
+
+
+def lexicon_polarity(df: DataFrame, lexicon: DataFrame, text: str = "text",
+                     key: str = "review_id", rules: PolarityRules = BASE,
+                     alpha: float = 15.0, prefix: str = "lex_") -> DataFrame:
+    """``df`` with ``{prefix}neg, neu, pos, compound`` joined on ``key``
+    (one row per key). Where the scores alone do, ``polarity_scores`` reads the
+    texts once."""
+    return df.join(polarity_scores(df, lexicon, text, key, rules, alpha, prefix), key, "left").select(
+        *df.columns, *[prefix + c for c in ("neg", "neu", "pos", "compound")])
 
 
 def _apply_rules(hits: DataFrame, r: PolarityRules) -> DataFrame:

@@ -184,21 +184,25 @@ def to_vector(df: DataFrame, col: str, out: str = "features") -> DataFrame:
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, features: str = "features",
-           max_iter: int = 20):
-    """K-Means on any vector column; returns (model, assignments)."""
+           max_iter: int = 500):
+    """K-Means on any vector column, run until the centres move by less
+    than its tolerance; returns (model, assignments). ``model.summary.numIter``
+    equal to ``max_iter`` says that it stopped before that."""
     model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster",
                    maxIter=max_iter).fit(df)
     return model, model.transform(df)
 
 
 def elbow(df: DataFrame, ks: list[int], seed: int = 42, features: str = "features") -> DataFrame:
-    """Within-cluster cost (sum of squared distances) for each k; one
-    distributed fit per k, one small result row per k."""
+    """Within-cluster cost (sum of squared distances) for each k, with the
+    iterations of the fit and whether it converged; one distributed fit per k,
+    one small result row per k."""
     rows = []
     for k in ks:
         model, _ = kmeans(df, k, seed, features)
-        rows.append((k, float(model.summary.trainingCost)))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double")
+        done = model.summary
+        rows.append((k, float(done.trainingCost), int(done.numIter), done.numIter < model.getMaxIter()))
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, iterations int, converged boolean")
 
 
 def silhouette(assignments: DataFrame, features: str = "features",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.functions.text import flatten_lines
+from starlens.session import cut_lineage
 
 
 def _score_order(score: str, name: str):
@@ -44,8 +45,10 @@ def top_and_worst(stats: DataFrame, k: int = 3, cluster: str = "cluster_name",
 
     Rows: the min(k, n) top products, plus the worst when n > k. A product
     can be top and worst at once when a cluster has <= k products. Carries
-    ``rank``, ``n_products``, ``is_top``, ``is_worst``.
+    ``rank``, ``n_products``, ``is_top``, ``is_worst``. The product rows are
+    pinned, so reviews are scanned and joined once for all branches.
     """
+    stats = cut_lineage(stats)
     cols = [c for c in stats.columns if c != cluster]
     # Worst = last in (score desc nulls last, name asc) order = max of
     # (score is null, -score, name); partial aggregate per cluster.

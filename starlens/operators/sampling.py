@@ -74,13 +74,18 @@ def split_report(df: DataFrame, label: str = "star_label_name", split: str = "sp
 
 def undersample(df: DataFrame, label: str = "star_label", key: str = "review_id",
                 seed: int = 42) -> DataFrame:
-    """Cut every class to the minority class size (lowest hashes kept)."""
-    ranked = prefix_sums(df.withColumn("__u", unit_hash(key, seed)).withColumn("__one", F.lit(1)),
-                         [label], [F.col("__u"), F.col(key)], ["__one"])
-    smallest = df.groupBy(label).count().agg(F.min("count").alias("__m"))
-    m = smallest.first()["__m"]
-    return (ranked.filter(F.col("cum___one") <= F.lit(m))
-                  .drop("__u", "__one", "cum___one", "total___one"))
+    """Cut every class to the minority class size (lowest hashes kept).
+
+    Only (label, hash, key) is ranked; the last place kept, one row per label,
+    then decides the wide rows where they are."""
+    at = F.struct(unit_hash(key, seed).alias("u"), F.col(key).alias("k"))
+    ranked = prefix_sums(df.select(label, unit_hash(key, seed).alias("__u"), F.col(key).alias("__k"), F.lit(1).alias("__one")),
+                         [label], [F.col("__u"), F.col("__k")], ["__one"])
+    m = ranked.agg(F.min("total___one")).first()[0]
+    last = (ranked.filter(F.col("cum___one") <= F.lit(m)).groupBy(F.col(label).alias("__label"))
+                  .agg(F.max(F.struct(F.col("__u").alias("u"), F.col("__k").alias("k"))).alias("__last")))
+    return (df.join(last, F.col(label).eqNullSafe(F.col("__label")))
+              .filter(at <= F.col("__last")).drop("__label", "__last"))
 
 
 def bounded_sample(df: DataFrame, n: int, key: str = "review_id", seed: int = 42) -> DataFrame:

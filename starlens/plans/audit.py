@@ -41,13 +41,12 @@ def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "revie
     # once in the shared checkpoint dir instead of recomputing the lineage.
     audited = cut_lineage(audited)
     train = audited.filter(F.col(split) == "train")
-    n_train = train.count()
-    tf_train = ft.term_frequencies(ft.terms(train, key=key), key)
+    tf_train, n_train = ft.counted_terms(train, key=key)
     vocab = cut_lineage(ft.vocabulary(tf_train, n_train, max_features=max_features))
     vocab_size = vocab.count()
 
     def featurize(df: DataFrame) -> DataFrame:
-        tf = ft.term_frequencies(ft.terms(df, key=key), key)
+        tf = ft.term_frequencies(ft.document_terms(df, key=key), key)
         weights = ft.tfidf(tf, vocab, n_train, key)
         return assemble(df, weights, vocab_size, key)
 

@@ -11,6 +11,7 @@ from starlens.operators import aggregates as agg
 from starlens.operators import filters as flt
 from starlens.operators.audit import class_weights
 from starlens.operators.clean import clean_reviews, drop_short, valid_rating
+from starlens.operators.lexicon import FULL, polarity_scores
 from starlens.operators.metrics import confusion_matrix
 from starlens.plans.audit import audited_reviews, scored_reviews
 from starlens.plans.registry import register, rounded
@@ -190,8 +191,7 @@ def c2_label_name(spark, sf):
 @register("c3_lexicon_polarity", audit_sql(
     "SELECT review_id, lex_neg, lex_neu, lex_pos, lex_compound FROM scored", upto="scored"))
 def c3_lexicon_polarity(spark, sf):
-    return rounded(scored_reviews(_raw(spark, sf), fx.lexicon(spark))
-                   .select("review_id", "lex_neg", "lex_neu", "lex_pos", "lex_compound"))
+    return rounded(polarity_scores(clean_reviews(_raw(spark, sf)), fx.lexicon(spark)))
 
 
 @register("c4_threshold_label", audit_sql("""
@@ -257,7 +257,7 @@ FROM grid g CROSS JOIN b LEFT JOIN c ON g.bin = c.bin""", upto="scored", more=[
     ("c", """SELECT CAST(least(floor((s.lex_compound - b.lo) / (b.hi - b.lo) * 50), 49) AS INTEGER) AS bin,
                   count(*) AS n FROM scored s, b WHERE s.lex_compound IS NOT NULL GROUP BY 1""")]))
 def f4_histogram(spark, sf):
-    return rounded(agg.histogram(scored_reviews(_raw(spark, sf), fx.lexicon(spark)), "lex_compound", 50))
+    return rounded(agg.histogram(polarity_scores(clean_reviews(_raw(spark, sf)), fx.lexicon(spark)), "lex_compound", 50))
 
 
 @register("f5_describe", audit_sql("""
@@ -466,6 +466,4 @@ def _rules_oracle() -> str:
 
 @register("c3_lexicon_polarity_rules", _rules_oracle())
 def c3_lexicon_polarity_rules(spark, sf):
-    from starlens.operators.lexicon import FULL
-    return rounded(scored_reviews(_raw(spark, sf), fx.lexicon(spark), rules=FULL)
-                   .select("review_id", "lex_neg", "lex_neu", "lex_pos", "lex_compound"))
+    return rounded(polarity_scores(clean_reviews(_raw(spark, sf)), fx.lexicon(spark), rules=FULL))

@@ -281,7 +281,7 @@ def a7_bounded_sample(spark, sf):
     return sp.bounded_sample(audited(spark, sf), 100).select("review_id", "star_label")
 
 
-@register("f23_model_comparison", audit_sql("""
+F23_SQL = """
 SELECT model, split, round(sum(tp) / sum(T), 6) AS accuracy,
        round(avg(CASE WHEN T > 0 THEN tp / T END), 6) AS balanced_accuracy,
        round(avg(CASE WHEN T + P > 0 THEN 2.0 * tp / (T + P) END), 6) AS macro_f1,
@@ -293,7 +293,10 @@ SELECT model, split, round(sum(tp) / sum(T), 6) AS accuracy,
 FROM (SELECT model, split, cls, sum(T) AS T, sum(P) AS P, sum(tp) AS tp FROM (
         SELECT model, split, t AS cls, 1 AS T, 0 AS P, CASE WHEN t = p THEN 1 ELSE 0 END AS tp FROM lp
         UNION ALL SELECT model, split, p, 0, 1, 0 FROM lp) u GROUP BY model, split, cls) c
-WHERE T + P > 0 GROUP BY model, split""", more=[("splits", SPLIT_SQL), ("lp", """
+WHERE T + P > 0 GROUP BY model, split"""
+
+
+@register("f23_model_comparison", audit_sql(F23_SQL, more=[("splits", SPLIT_SQL), ("lp", """
 SELECT 'lexicon' AS model, split, star_label AS t, lex_label AS p FROM splits
 UNION ALL SELECT 'lexicon_strict', split, star_label, lex_strict_label FROM splits""")]))
 def f23_model_comparison(spark, sf):

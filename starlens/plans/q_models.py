@@ -6,14 +6,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starlens.functions.labels import label_name
+from starlens.functions.labels import label_name, threshold_label
 from starlens.operators import features as ft
+from starlens.operators import metrics as mt
 from starlens.operators import models as md
 from starlens.operators import sampling as sp
+from starlens.operators.clean import clean_reviews
 from starlens.plans.audit import tfidf_featurizer, tfidf_lr_model
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.q_audit import audit_sql
-from starlens.plans.q_eval import SPLIT_SQL
+from starlens.plans.q_eval import F23_SQL, SPLIT_SQL
 from starlens.plans.q_text import TERMS_SQL, TEXT_STAGES, TF_SQL
 from starlens.plans.registry import register, rounded
 from starlens.session import cut_lineage
@@ -107,6 +109,19 @@ def j7_score_reviews_given(spark, sf):
                               "prob_positive", *md.LEX_FEATURES))
 
 
+@register("f23_model_comparison_given", audit_sql(F23_SQL, more=[*GIVEN_STAGES, ("lp", """
+SELECT 'lexicon' AS model, split, star_label AS t, lex_label AS p FROM predicted
+UNION ALL SELECT 'lexicon_strict', split, star_label, lex_strict_label FROM predicted
+UNION ALL SELECT 'linear', split, star_label, pred_label FROM predicted""")]))
+def f23_model_comparison_given(spark, sf):
+    """Lexicon at both thresholds beside the linear text model, on every split."""
+    each = {"lexicon": threshold_label("lex_compound", 0.05), "lexicon_strict": threshold_label("lex_compound", 0.35),
+            "linear": F.col("pred_label")}
+    long = _given(spark, sf).select("split", F.col("star_label").alias("true_label"), F.explode(F.array(
+        *[F.struct(F.lit(k).alias("model"), p.cast("int").alias("pred_label")) for k, p in each.items()])).alias("m"))
+    return rounded(mt.model_comparison(long.select("m.model", "split", "true_label", "m.pred_label")))
+
+
 @register("j5_fit_sentiment_lr")
 def j5_fit_sentiment_lr(spark, sf):
     _, model, _ = _model(spark, sf)
@@ -139,6 +154,16 @@ def j8_kmeans(spark, sf):
     return assigned.select("vec_id", "label", "cluster")
 
 
+@register("j8_kmeans_tfidf")
+def j8_kmeans_tfidf(spark, sf):
+    """K-Means over the TF-IDF vectors of the cleaned reviews."""
+    docs = clean_reviews(fx.reviews_raw(spark, sf)).select("review_id", "text")
+    weights, vocab, _ = ft.tfidf_table(docs)
+    vectors = md.assemble(docs.select("review_id"), weights, vocab.count(), dense_cols=())
+    _, assigned = md.kmeans(cut_lineage(vectors), k=6)
+    return assigned.select("review_id", "cluster")
+
+
 @register("j9_elbow")
 def j9_elbow(spark, sf):
     return md.elbow(_embeddings(spark, sf), [2, 4, 6, 8, 10])

@@ -51,3 +51,17 @@ def test_rules_negation_booster_but_caps_punct(spark):
     assert g[4]["lex_compound"] == round(s / math.sqrt(s * s + 15), 4)
     s = 1.9 + 2 * 0.292                                          # two exclamation marks
     assert g[5]["lex_compound"] == round(s / math.sqrt(s * s + 15), 4)
+
+
+def test_scores_keep_reviews_without_hits(spark):
+    from starlens.operators.lexicon import polarity_scores
+    lex = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "word string, valence double")
+    df = spark.createDataFrame([(1, "good day"), (2, None), (3, ""), (4, "!!! ..."), (5, "plain words")],
+                               "review_id int, text string")
+    for rules in (None, FULL):
+        kw = {"rules": rules} if rules else {}
+        got = {r.review_id: r for r in polarity_scores(df, lex, **kw).collect()}
+        assert sorted(got) == [1, 2, 3, 4, 5]
+        assert got[1].lex_compound > 0 and got[1].lex_neu > 0
+        assert [got[k].lex_neu for k in (2, 3, 4, 5)] == [0.0, 0.0, 1.0, 1.0]
+        assert all(got[k].lex_compound == 0.0 for k in (2, 3, 4, 5))

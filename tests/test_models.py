@@ -30,3 +30,15 @@ def test_kmeans_and_silhouette(spark):
     assert -1.0 <= md.silhouette(assigned) <= 1.0
     costs = [r.cost for r in md.elbow(emb, [2, 6]).orderBy("k").collect()]
     assert costs[0] >= costs[1]
+
+
+def test_document_terms_count_as_terms_do(spark):
+    from starlens.operators import features as ft
+    df = spark.createDataFrame([(1, "a an An the an the"), (2, None), (3, ""), (4, "zz"), (5, "zz zz zz")],
+                               "review_id int, text string")
+    want = {(r.review_id, r.term): r["count"] for r in ft.terms(df).groupBy("review_id", "term").count().collect()}
+    docs = ft.document_terms(df)
+    got = {(r.review_id, r.term): r.tf for r in ft.term_frequencies(docs).collect()}
+    assert got == want and got[(5, "zz zz")] == 2
+    assert docs.count() == 5
+    assert ft.counted_terms(df)[1] == 5
