@@ -40,7 +40,6 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uxU]([0-9A-Fa-f]+))")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PRINTABLE = frozenset(range(32, 127)) | {9, 10, 13}
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -122,9 +121,18 @@ def _pieces(unpacker, data):
         return
 
 
+def _readings(raw):
+    """Texts that bytes may stand for: UTF-8, where bytes that are none are
+    replaced and ASCII around them survives, and UTF-16 if there is a null byte."""
+    yield raw.decode("utf-8", "replace")
+    if b"\0" in raw:
+        yield raw.decode("utf-16-le", "replace")
+        yield raw.decode("utf-16-be", "replace")
+
+
 def _from_base64(run):
-    """Texts inside a base64 run: its bytes if they read as text, or what an
-    archive in them unpacks to."""
+    """Texts inside a base64 run: readings of its bytes, or of what an archive
+    in them unpacks to."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
@@ -135,12 +143,10 @@ def _from_base64(run):
         found = _pieces(zlib.decompressobj(), raw)
     elif raw[:3] == b"BZh":
         found = _pieces(bz2.BZ2Decompressor(), raw)
-    elif sum(b in _PRINTABLE for b in raw) >= 0.95 * len(raw):
-        found = [raw]
     else:
-        found = []
+        found = [raw]
     for piece in found:
-        yield piece.decode("utf-8", "replace")
+        yield from _readings(piece)
 
 
 def scan(text: str | None) -> tuple[list, list]:

@@ -41,6 +41,15 @@ def test_nested_layers():
     assert scan(bomb)[1] == [("assign", 0, len(bomb.rstrip("=")) + bomb.count("="))]
 
 
+def test_base64_of_any_language():
+    secret = "password=hunter2hunter2"
+    for before in ("Le mot de passe a été changé à Orléans : ", "Größe ändern für Jürgen: ", "密码已更改：", "пароль изменён: "):
+        for code in ("utf-8", "utf-16", "utf-16-be", "latin-1"):
+            raw = (before + secret).encode(code, "replace")
+            for wrapped in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode()):
+                assert scan(f"É {wrapped} end")[1] == [("assign", 2, 2 + len(wrapped))], (before, code)
+
+
 def test_frames(spark):
     t = "É token = abcdefghijkl and 0123456789abcdef0 x"
     df = spark.createDataFrame([(1, t, "x", 5), (2, None, "y", 0), (2, None, "y", 0), (3, "", "z", 0)],
