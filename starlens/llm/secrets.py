@@ -1,15 +1,18 @@
 """Operator 9: secret scans through nested encodings, in Arrow batches.
 
 A worklist holds the layers of a text. Every layer is scanned for the base
-patterns, then unwrapped: percent escapes, backslash escapes, base64 runs,
-and gzip, zlib or bzip2 data inside them. A layer seen before (by content and
-place) is not queued again, so the list ends at a fixpoint. Spans found in a
-layer are mapped back to code points of the original text; a base64 run maps
-as a whole.
+patterns, then unwrapped: percent escapes, backslash escapes, base64 runs (over
+single line breaks too), and gzip, zlib or bzip2 data with all its members.
+Bytes that are no UTF-8 are kept as lone surrogates, so that an archive inside
+an archive, in base64 or between escapes is still whole. A layer seen before
+(by content and place) is not queued again, so the list ends at a fixpoint.
+Spans found in a layer are mapped back to code points of the original text; a
+base64 run and an archive map as a whole.
 
 Unpacked data is read in pieces of ``PIECE`` bytes that overlap by
-``OVERLAP``, so a small run that unpacks to gigabytes stays in bounded memory
-and is still scanned to its end.
+``OVERLAP``, each worked off before the next, so a small run that unpacks to
+gigabytes stays in bounded memory and is still scanned to its end; an archive
+inside it is unpacked in a pass of its own.
 
 Edge cases: null or empty text has no spans; malformed escapes, base64 or
 archives stay as they are; repeated rows give equal results.
@@ -24,6 +27,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +43,14 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|[uxU]([0-9A-Fa-f]+))")
+_BYTES = re.compile(r"""(?:\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[abfnrtv0'"\\]))+""")
+_ONE_BYTE = re.compile(r"\\(?:x(..)|u00(..)|(.))")
+_SIMPLE = dict(zip("abfnrtv0'\"\\", b"\a\b\f\n\r\t\v\0'\"\\"))
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01\x5e\x9c\xda]")
+_BINARY = re.compile(r"[\x00-\x08\x0e-\x1f\udc80-\udcff]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -92,8 +103,22 @@ def _rewritten(text, pattern, decode, place):
     return "".join(parts), back
 
 
+def _text(raw):
+    """Bytes as a text that ``_raw`` turns into the same bytes."""
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _raw(text):
+    return text.encode("utf-8", "surrogateescape")
+
+
 def _from_url(run):
-    return binascii.unhexlify(run.replace("%", "")).decode("utf-8", "replace")
+    return _text(binascii.unhexlify(run.replace("%", "")))
+
+
+def _from_bytes(run):
+    """Backslash escapes as in a literal of bytes."""
+    return _text(bytes(int(x or u, 16) if x or u else _SIMPLE[c] for x, u, c in _ONE_BYTE.findall(run)))
 
 
 def _from_escapes(run):
@@ -104,49 +129,110 @@ def _from_escapes(run):
     return raw.decode("utf-16-le", "replace")
 
 
-def _pieces(unpacker, data):
-    """Unpacked bytes in bounded, overlapping pieces; stops at damage."""
-    tail = b""
+class _Members:
+    """Where the archives of a stream that were read begin, and the byte after
+    the last that was read to its end."""
+
+    def __init__(self):
+        self.starts, self.end = set(), 0
+
+
+def _unpacker(data):
+    return bz2.BZ2Decompressor() if data[:1] == b"B" else zlib.decompressobj(31 if data[:1] == b"\x1f" else 15)
+
+
+def _unpacked(chunks, start, members):
+    """Chunks of at most ``PIECE`` unpacked bytes of the archive at byte
+    ``start`` of the stream and of the members that follow it; stops at damage."""
+    end, unpacker, head = 0, None, b""
     try:
-        while True:
-            new = unpacker.decompress(data, PIECE)
-            if not new:
-                return
-            yield tail + new
-            tail = new[-OVERLAP:]
-            data = getattr(unpacker, "unconsumed_tail", b"")
-            if unpacker.eof:
-                return
+        for data in chunks():
+            end += len(data)
+            data = data[max(0, len(data) - max(0, end - start)):]
+            while data:
+                if unpacker is None:
+                    data, head = head + data, b""
+                    if len(data) < 10:
+                        head = data
+                        break
+                    if not _ARCHIVE.match(data):
+                        return
+                    members.starts.add(end - len(data))
+                    unpacker = _unpacker(data)
+                while True:
+                    new = unpacker.decompress(data, PIECE)
+                    if new:
+                        yield new
+                    data = unpacker.unused_data if unpacker.eof else getattr(unpacker, "unconsumed_tail", b"")
+                    if unpacker.eof:
+                        unpacker, members.end = None, max(members.end, end - len(data))
+                        break
+                    if not data and len(new) < PIECE:
+                        break
     except (zlib.error, OSError, EOFError):
         return
 
 
+def _unpacks(data):
+    try:
+        return bool(zlib.decompressobj().decompress(data, 64))
+    except zlib.error:
+        return False
+
+
+def _archives(data):
+    """Places where an archive begins; the two bytes of zlib count if what follows unpacks."""
+    return [m.start() for m in _ARCHIVE.finditer(data)
+            if m[0][:1] != b"x" or _unpacks(data[m.start():m.start() + 1024])]
+
+
+def _chars(raw, at):
+    """Characters of ``_text(raw)`` that begin before byte ``at``."""
+    for j in range(1, min(3, at) + 1):
+        c = raw[at - j]
+        size = 4 if c >= 0xF0 else 3 if c >= 0xE0 else 2 if c >= 0xC0 else 1
+        if size > j and len(_text(raw[at - j:at - j + size])) == 1:
+            return len(_text(raw[:at - j])) + 1
+    return len(_text(raw[:at]))
+
+
 def _readings(raw):
-    """Texts that bytes may stand for: UTF-8, where bytes that are none are
-    replaced and ASCII around them survives, and UTF-16 if there is a null byte."""
-    yield raw.decode("utf-8", "replace")
+    """Texts that bytes may stand for: UTF-8, where other bytes are kept as
+    surrogates and ASCII around them survives, and UTF-16 if there is a null byte."""
+    yield _text(raw)
     if b"\0" in raw:
         yield raw.decode("utf-16-le", "replace")
         yield raw.decode("utf-16-be", "replace")
 
 
-def _from_base64(run):
-    """Texts inside a base64 run: readings of its bytes, or of what an archive
-    in them unpacks to."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+def _runs(layer):
+    """(start, end) of base64 runs: those on one line, those over all adjoining
+    lines, and lines of one width with the line before and a shorter one after."""
+    for m in _B64.finditer(layer):
+        yield m.span()
+    for m in _WRAPPED.finditer(layer) if "\n" in layer else ():
+        lines = [x.span() for x in _LINE.finditer(layer, *m.span())]
+        width = [e - s for s, e in lines]
+        last, i = len(lines) - 1, 0
+        found = {(0, last)}
+        while i < last:
+            j = i + 1
+            while j < last and width[j + 1] == width[i + 1]:
+                j += 1
+            stop = j + 1 if j < last and width[j + 1] < width[j] else j
+            found |= {(i, stop)} | ({(i + 1, stop)} if stop > i + 1 else set())
+            i = j
+        for i, j in sorted(found):
+            if lines[j][1] - lines[i][0] > 16:
+                yield lines[i][0], lines[j][1]
+
+
+def _decoded(run):
+    """Bytes of a base64 run."""
+    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
-    raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    if raw[:2] == b"\x1f\x8b":
-        found = _pieces(zlib.decompressobj(31), raw)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        found = _pieces(zlib.decompressobj(), raw)
-    elif raw[:3] == b"BZh":
-        found = _pieces(bz2.BZ2Decompressor(), raw)
-    else:
-        found = [raw]
-    for piece in found:
-        yield from _readings(piece)
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -154,29 +240,72 @@ def scan(text: str | None) -> tuple[list, list]:
     text = text or ""
     rank = {k: i for i, k in enumerate(KINDS)}
     base = base_spans(text)
-    spans = set(base)
-    todo, seen = [(text, _identity)], set()
-    while todo:
-        layer, place = todo.pop()
+    spans, seen = set(base), set()
+
+    def fresh(*key):
+        new = key not in seen
+        seen.add(key)
+        return new
+
+    def digest(layer):
+        return hashlib.sha1(layer.encode("utf-8", "surrogatepass")).digest()
+
+    # Each of these reads a layer and yields the layers inside it.
+    def read_text(layer, place):
         if place is not _identity:
             spans.update((k, *place(s, e)) for k, s, e in base_spans(layer))
-        children = []
-        if "%" in layer:
-            children.append(_rewritten(layer, _URL, _from_url, place))
-        if "\\" in layer:
-            children.append(_rewritten(layer, _ESCAPE, _from_escapes, place))
-        for child in filter(None, children):
-            key = (hashlib.sha1(child[0].encode("utf-8", "replace")).digest(), child[1](0, len(child[0])) if child[0] else None)
-            if child[0] and key not in seen:
-                seen.add(key)
-                todo.append(child)
-        for m in _B64.finditer(layer):
-            here = place(*m.span())
-            for inner in _from_base64(m[0]):
-                key = (hashlib.sha1(inner.encode("utf-8", "replace")).digest(), here)
-                if inner and key not in seen:
-                    seen.add(key)
-                    todo.append((inner, lambda s, e, here=here: here))
+        for mark, pattern, decode in (("%", _URL, _from_url), ("\\", _ESCAPE, _from_escapes)):
+            child = _rewritten(layer, pattern, decode, place) if mark in layer else None
+            if child and child[0] and fresh("text", digest(child[0]), child[1](0, len(child[0]))):
+                yield partial(read_text, *child)
+                if mark == "%":
+                    yield partial(read_escaped, *child)
+        child = _rewritten(layer, _BYTES, _from_bytes, place) if "\\x" in layer or "\\u00" in layer else None
+        if child:
+            yield partial(read_escaped, *child)
+        for s, e in _runs(layer):
+            raw, here = _decoded(layer[s:e]), place(s, e)
+            if fresh("run", hashlib.sha1(raw).digest(), here):
+                yield partial(read_bytes, lambda raw=raw: [raw], here)
+
+    def read_escaped(layer, place):
+        raw = _raw(layer)
+        free = 0
+        for start in _archives(raw):
+            if start < free:
+                continue
+            members = _Members()
+            for _ in _unpacked(lambda: [raw], start, members):
+                pass
+            free = members.end
+            # A damaged archive reaches to the last byte that is no text.
+            end = _chars(raw, free) if free else max((m.end() for m in _BINARY.finditer(layer)), default=0)
+            here = place(_chars(raw, start), max(min(end, len(layer)), _chars(raw, start) + 1))
+            yield partial(read_bytes, partial(_unpacked, lambda: [raw], start, members), here)
+
+    def read_bytes(chunks, here):
+        whole, tail, piece, at, n, found = hashlib.sha1(), b"", b"", 0, 0, {}
+        for chunk in chunks():
+            whole.update(chunk)
+            piece = tail + chunk
+            for layer in _readings(piece):
+                if layer and fresh("text", digest(layer), here):
+                    yield partial(read_text, layer, lambda s, e: here)
+            found.update(dict.fromkeys(at - len(tail) + a for a in _archives(piece)))
+            tail, at, n = piece[-OVERLAP:], at + len(chunk), n + 1
+        if found and fresh("bytes", whole.digest(), here):
+            again, members = chunks if n > 1 else lambda: [piece], _Members()
+            for start in found:
+                if start >= members.end and start not in members.starts:
+                    yield partial(read_bytes, partial(_unpacked, again, start, members), here)
+
+    todo = [read_text(text, _identity)]
+    while todo:
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+        else:
+            todo.append(layer())
     order = lambda x: (x[1], rank[x[0]], x[2])
     return sorted(base, key=order), sorted(spans, key=order)
 

@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import random
 import re
@@ -50,6 +51,37 @@ def test_base64_of_any_language():
                 assert scan(f"É {wrapped} end")[1] == [("assign", 2, 2 + len(wrapped))], (before, code)
 
 
+def test_archives_in_layers():
+    secret, b64 = b"password=hunter2hunter2", lambda x: base64.b64encode(x).decode()
+    noise = random.Random(1).randbytes(3000)
+    whole = [gzip.compress(gzip.compress(secret)), zlib.compress(bz2.compress(secret)), gzip.compress(b"a") + gzip.compress(secret),
+             bz2.compress(b"a") + bz2.compress(secret), gzip.compress(secret[:12]) + gzip.compress(secret[12:]),
+             b"head" + gzip.compress(secret), gzip.compress(b" " * 9_000_000 + gzip.compress(noise + secret) + b" " * 9_000_000)]
+    for raw in whole:
+        t = f"É {b64(raw)} end"
+        assert scan(t)[1] == [("assign", 2, len(t) - 4)]
+    raw = gzip.compress(secret)
+    for wrapped in (urllib.parse.quote(raw), "".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02x}" for b in raw),
+                    repr(raw)[2:-1], urllib.parse.quote(gzip.compress(raw)), urllib.parse.quote(zlib.compress(secret)),
+                    urllib.parse.quote(urllib.parse.quote(raw))):
+        t = f"É {wrapped} end"
+        assert scan(t)[1] == [("assign", 2, len(t) - 4)], wrapped
+
+
+def test_base64_over_lines():
+    secret = b"password=hunter2hunter2"
+    noise = random.Random(1).randbytes(200)
+    for raw in (gzip.compress(noise + secret), b"e" * 40 + secret + noise, b"\xe9" * 53 + secret):
+        for width, eol in ((64, "\n"), (76, "\r\n"), (10, "\n"), (64, "\n  ")):
+            code = base64.b64encode(raw).decode()
+            wrapped = eol.join(code[i:i + width] for i in range(0, len(code), width))
+            for before, after in (("É ", " end"), ("Content-Transfer:\n\n", "\n\nend"), ("-----BEGIN SOMETHINGLONG-----\n", "\n-----END-----")):
+                got = scan(before + wrapped + after)[1]
+                assert any(s <= len(before) and e >= len(before + wrapped) for _, s, e in got), (width, before)
+    words = "\n".join("w" * (k % 23 + 1) for k in range(20_000))
+    assert scan(words) == ([], [])
+
+
 def test_frames(spark):
     t = "É token = abcdefghijkl and 0123456789abcdef0 x"
     df = spark.createDataFrame([(1, t, "x", 5), (2, None, "y", 0), (2, None, "y", 0), (3, "", "z", 0)],
