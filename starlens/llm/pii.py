@@ -7,8 +7,9 @@ base spans of their kind; the trees become a column expression, and per kind a
 threshold calibrated on held-back proposals selects what is added. Base spans
 always stay.
 
-The trees are fitted on at most ``TRAIN_ROWS`` proposals: those with the least
-hash of text and place. Everything else runs over all rows.
+The trees are fitted on at most ``TRAIN_ROWS`` proposals, an equal share per kind
+and label: those with the least hash of text and place, copies of a text once.
+Everything else runs over all rows.
 
 Edge cases: null or empty text has no spans; repeated rows give equal results;
 without proposals of both classes nothing is added.
@@ -20,7 +21,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.session import cut_lineage
@@ -165,10 +166,23 @@ class Redactor:
         return F.transform(F.filter(spans, ok), lambda x: F.struct(x.kind, x.start, x.end))
 
 
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` distinct proposals of least ``o`` of every kind and label.
+    A count of distinct proposals bounds what is ranked to about twice that."""
+    counts = rows.groupBy("kind", "label").agg(F.approx_count_distinct("o").alias("n")).collect()
+    low = F.lit(False)
+    for r in counts:
+        limit = min(1.0, 2 * (most + 50) / max(1, r.n)) * 2.0 ** 64 - 2.0 ** 63
+        low = low | ((F.col("kind") == r.kind) & (F.col("label") == r.label) & (F.col("o").cast("double") <= limit))
+    some = rows.filter(low).groupBy("key", "kind", "start", "label", "o").agg(F.first("x").alias("x"))
+    first = F.row_number().over(Window.partitionBy("kind", "label").orderBy("o", "key", "start"))
+    return cut_lineage(some.withColumn("rn", first).filter(F.col("rn") <= most).drop("rn"))
+
+
 def fit_redactor(found: DataFrame) -> Redactor:
     rows = found.select("key", F.explode("p").alias("p")).select("key", "p.*")
-    order = F.xxhash64("key", "kind", "start")
-    sample = cut_lineage(rows.withColumn("o", order).orderBy("o", "key", "kind", "start").limit(TRAIN_ROWS))
+    rows = rows.withColumn("o", F.xxhash64("key", "kind", "start"))
+    sample = _sample(rows, TRAIN_ROWS // (2 * len(KINDS)))
     train = sample.filter(F.pmod("o", F.lit(2)) == 0)
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         return Redactor([], [], {})

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 
+from starlens.llm import pii
 from starlens.llm.pii import KINDS, candidates, find_pii, op1_pii
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -51,3 +52,20 @@ def test_table(spark):
         assert set(base) <= set(spans) and len(base) == sum(r["n_" + k] for k in KINDS)
         added += len(spans) - len(base)
     print("added", added)
+
+
+def proposals(spark, copies=1):
+    """Every kind with base spans and look-alikes; the text of least hash ``copies`` times."""
+    texts = [t for i in range(60) for t in (
+        f"write a{i}@host{i}.com", f"meet a{i} at noon{i} dot x", f"phone +1 555 010-{1000 + i}", f"code 555 010-{1000 + i}",
+        f"host 10.0.0.{i}", f"id 999.0.0.{i}", "card 4111 1111 1111 1111" + " " * i, f"number 4111 1111 1111 {1200 + i}")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = candidates(df).selectExpr("doc_id", "key", "explode(p) p").selectExpr("doc_id", "xxhash64(key, p.kind, p.start) o")
+    hot = rows.orderBy("o").first().doc_id
+    return df.unionAll(spark.createDataFrame([(hot, texts[hot])] * (copies - 1), df.schema)) if copies > 1 else df
+
+
+def test_sample_is_not_filled_by_copies(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 160)
+    red = pii.fit_redactor(candidates(proposals(spark, 400)))
+    assert red.trees and len(red.thresholds) > 1
