@@ -9,7 +9,7 @@ always stay.
 
 The trees are fitted on at most ``TRAIN_ROWS`` proposals, an equal share per kind
 and label: those with the least hash of text and place, copies of a text once.
-Everything else runs over all rows.
+The thresholds come from the scores of all other rows, as everything else.
 
 Edge cases: null or empty text has no spans; repeated rows give equal results;
 without proposals of both classes nothing is added.
@@ -182,15 +182,18 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 def fit_redactor(found: DataFrame) -> Redactor:
     rows = found.select("key", F.explode("p").alias("p")).select("key", "p.*")
     rows = rows.withColumn("o", F.xxhash64("key", "kind", "start"))
-    sample = _sample(rows, TRAIN_ROWS // (2 * len(KINDS)))
-    train = sample.filter(F.pmod("o", F.lit(2)) == 0)
+    # One half may be learned from; what is not in the sample counts for the thresholds.
+    train = _sample(rows.filter(F.pmod("o", F.lit(2)) == 0), TRAIN_ROWS // (2 * len(KINDS)))
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         return Redactor([], [], {})
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="v",
                           cacheNodeIds=False).fit(train.select("label", array_to_vector("x").alias("v")))
     trees = [t._java_obj.rootNode() for t in model.trees]
     red = Redactor(trees, list(model.treeWeights), {})
-    held = sample.filter(F.pmod("o", F.lit(2)) == 1).groupBy(
+    learned = F.lit(False)
+    for r in train.groupBy("kind", "label").agg(F.max("o").alias("o")).collect():
+        learned = learned | ((F.col("kind") == r.kind) & (F.col("label") == r.label) & (F.col("o") <= r.o))
+    held = rows.filter((F.pmod("o", F.lit(2)) == 1) | ~learned).groupBy(
         "kind", F.round(red.score(F.col("x")), 4).alias("s")).agg(F.sum("label").alias("hit"), F.count("*").alias("n"))
     by_kind: dict = {}
     for r in sorted(held.collect(), key=lambda r: -r.s):

@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from starlens.llm import pii
 from starlens.llm.pii import KINDS, candidates, find_pii, op1_pii
@@ -69,3 +70,22 @@ def test_sample_is_not_filled_by_copies(spark, monkeypatch):
     monkeypatch.setattr(pii, "TRAIN_ROWS", 160)
     red = pii.fit_redactor(candidates(proposals(spark, 400)))
     assert red.trees and len(red.thresholds) > 1
+
+
+def test_thresholds_from_all_rows(spark, monkeypatch):
+    """A small sample gives every kind its threshold: the least score at which
+    the rows not learned from reach the precision."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 16)
+    found = candidates(proposals(spark))
+    red = pii.fit_redactor(found)
+    assert set(red.thresholds) == set(KINDS)
+    rows = found.selectExpr("key", "explode(p) p").selectExpr("xxhash64(key, p.kind, p.start) o", "p.*")
+    rows = rows.withColumn("s", F.round(red.score(F.col("x")), 4)).collect()
+    for kind in KINDS:
+        own, used = [r for r in rows if r.kind == kind], []
+        for label in (0.0, 1.0):
+            side = sorted(r.o for r in own if r.label == label and r.o % 2 == 0)[:16 // 8]
+            used += side
+        held = [r for r in own if r.o not in set(used)]
+        reach = [s for s in {r.s for r in held} if sum(r.label for r in held if r.s >= s) >= pii.PRECISION * sum(r.s >= s for r in held)]
+        assert red.thresholds[kind] == min(reach), kind
