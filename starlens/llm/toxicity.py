@@ -4,10 +4,12 @@ with Nystroem landmarks.
 Kernel: two strings are alike by the subsequences of three letters they share,
 each occurrence weighted by DECAY to the power of its span, so letters may be
 skipped or put in between; spans are at most ``SPAN`` letters. A string is a
-word of a sentence between borders, its letters only ("i-d.i0t" is "idt" and
-so on); runs of single letters form one string.
+word between borders, its letters only; runs of single letters form one string.
+What stands between two blanks with marks inside is one string as a whole and
+one per part ("i-d.i0t" is "idit", "id" and "it"; "you/idiot" has "idiot"). A
+string crosses a blank only as a run of single letters: "id iot" stays two.
 
-Training: sentences of a bounded sample of labelled documents. Landmarks are
+Training: words of a bounded sample of labelled documents. Landmarks are
 the strings most typical of toxic documents and as many common clean ones; the
 Nystroem map K(x, L) K(L, L)^-1/2 makes the kernel machine a linear one, which
 is fitted by Newton steps on the squared hinge loss. A document is a bag: the
@@ -18,7 +20,7 @@ each round.
 
 Scoring: since every kernel value is a dot product over subsequences, the
 machine's sum over landmarks is one weight per subsequence; a document scores
-its highest sentence, that is its highest string, put through a logistic curve
+its highest string, put through a logistic curve
 fitted on the training documents. Whole texts are read; equal strings of a
 block are scored once.
 
@@ -43,19 +45,21 @@ LANDMARKS, SPAN, DECAY = 192, 7, 0.6
 ROUNDS, NEGATIVES, PENALTY = 4, 8000, 0.05
 BLOCK = 1 << 20
 ALPHABET = 64
-_SENTENCE = re.compile(r"[^.!?\n]+")
 _STRING = re.compile(r"(?:\b[^\W\d_]\b[\W\d_]{0,2}){3,}|[^\W\d_](?:[^\s,;:.!?]*[^\W\d_])?")
 _PUNCT = re.compile(r"[\W\d_]+")
+_MARKS = re.compile(r"[\W_]+")
 
 
 def strings_of(text: str) -> set[str]:
-    """Distinct strings of a text: its words with the letters only, lower-cased;
-    marks inside a word are letters put in between and are dropped."""
-    return {_PUNCT.sub("", w) for w in set(_STRING.findall(text.lower()))} - {""}
-
-
-def sentences(text: str) -> list[str]:
-    return _SENTENCE.findall(text)
+    """Distinct strings of a text, lower-cased letters only: its words, and what
+    stands between two blanks as a whole and in the parts that marks cut it into."""
+    low = text.lower()
+    out = {_PUNCT.sub("", w) for w in set(_STRING.findall(low))}
+    for t in set(low.split()):
+        if not t.isalpha() and len(parts := [p for p in _MARKS.split(t) if p]) > 1:
+            out.add(_PUNCT.sub("", t))
+            out.update(_PUNCT.sub("", p) for p in parts)
+    return out - {""}
 
 
 _CODE = np.zeros(0x110000, np.uint8)
@@ -142,7 +146,7 @@ def _shares(bags: list[set[str]]) -> list[float]:
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 5) -> Machine | None:
-    bags = [set().union(*[strings_of(s) for s in sentences(t or "")]) for t in texts]
+    bags = [strings_of(t or "") for t in texts]
     y = np.array(labels)
     if len(set(labels)) < 2:
         return None

@@ -92,6 +92,18 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(df.limit(0), machine).count() == 0
 
 
+def test_toxicity_marks():
+    for t, want in (("id.iot", "idiot"), ("idi!ot", "idiot"), ("i-d.i0t", "idit"), ("you/idiot/now", "idiot"), ("you-idiot,now", "idiot")):
+        assert want in toxicity.strings_of(f"see {t} here"), t
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeiourstnl") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(30))
+    labels = [int(i % 3 == 0) for i in range(300)]
+    machine = toxicity.fit([line() + (" you blockhead " if y else " ") + line() for y in labels], labels)
+    score = lambda t: machine.probability(machine.margins(sorted(toxicity.strings_of(t))).max())
+    assert all(score(t) >= 0.5 for t in ("bl.ockhead", "block!head", "blo,ck.head", "you/blockhead/now")) and score(line()) < 0.5
+
+
 def test_toxicity_held_out(spark):
     rows = {r.doc_id: r for r in toxicity.op5_toxicity(spark, SF).collect()}
     test = [(rows[d], y) for d, y in duckdb.sql(
