@@ -8,8 +8,8 @@ bytes. It starts afresh at each word, so equal words are run once per block
 and counted as often as they occur; runs of letters longer than ``LONGEST``
 bytes are cut there and read in pieces. It is trained in numpy by
 backpropagation through time with Adam, on the driver, from the words of a
-bounded sample: per language about ``SAMPLE`` documents chosen by a hash of
-their id, of rows the fold rule allows.
+bounded sample: per language at most ``SAMPLE`` distinct documents, those of
+least hash of id and text, of rows the fold rule allows.
 
 Edge cases: null text or text without a letter is ``und`` with score 0;
 rows without lang are not learned from; without any learned language
@@ -22,7 +22,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE, WORDS = 300, 60_000     # documents per language, training words in all
@@ -190,16 +190,22 @@ def _predictor(net: ByteGru | None):
 def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteGru | None:
     """``labelled``: doc_id, text, lang of the rows that may be learned from."""
     rows = labelled.filter("lang is not null and text is not null")
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
     langs = sorted(count)
     if not langs:
         return None
-    # A hash of the id picks about ``sample`` rows per language in one scan.
+    # A hash of id and text picks about twice ``sample`` distinct rows per language
+    # in one scan; the ``sample`` of least hash are kept of them.
     share = F.lit(0.0)
     for k in langs:
-        share = F.when(F.col("lang") == k, min(1.0, sample / count[k])).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000
-    docs = rows.filter(pick).select("doc_id", "lang", "text").orderBy("lang", "doc_id", "text").collect()
+        share = F.when(F.col("lang") == k, min(1.0, 2 * sample / max(1, count[k]))).otherwise(share)
+    some = rows.filter(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "lang", "text", h.alias("h"))
+    picked = some.select("lang", "h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
+    keep = picked.withColumn("rn", first).filter(F.col("rn") <= sample).select(F.col("lang").alias("l"), F.col("h").alias("k"))
+    docs = (some.join(F.broadcast(keep), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k")), "left_semi")
+                .dropDuplicates(["lang", "h"]).select("doc_id", "lang", "text").orderBy("lang", "doc_id", "text").collect())
     by = {k: [] for k in langs}
     for r in docs:
         by[r.lang].append(words_of(r.text))

@@ -113,3 +113,18 @@ def test_toxicity_held_out(spark):
     toxic = [r.score for r, y in test if y]
     clean = [r.score for r, y in test if not y]
     assert sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) >= 0.92 * len(toxic) * len(clean)
+
+
+def test_language_rows_without_id(spark, monkeypatch):
+    """Rows that share an id, or have none, are learned from, ``sample`` per language at most."""
+    docs = [(i % 2 or None, f"{t} {i % 400}", lang) for i in range(800) for t, lang in (("the cat", "en"), ("die katze", "de"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    read = []
+    monkeypatch.setattr(langid, "words_of", lambda t: read.append(t) or t.split())
+    monkeypatch.setattr(langid.ByteGru, "fit", lambda self, words, labels: self)
+    langid.train(df, sample=20)
+    for word in ("cat", "katze"):
+        assert 10 <= sum(word in t for t in read) <= 20
+    read.clear()
+    langid.train(df, sample=1000)
+    assert len(read) == len(set(docs))
