@@ -7,7 +7,7 @@ from starlens.operators.metrics import confusion_matrix
 from starlens.plans.audit import audited_reviews
 from starlens.sources import fixtures as fx
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def test_audit_invariants(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from starlens.operators import models as md
 from starlens.plans.audit import tfidf_lr_model
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def test_tfidf_lr_separable(spark):

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from starlens.sources.fixtures import TABLES
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 SAMPLE = ["g2_top_and_worst", "f8_cluster_kpis", "f11_cluster_sentiment", "b9_clean_reviews",
           "c3_lexicon_polarity", "c8_sample_weight", "f6_confusion_matrix", "f14_classification_metrics",
