@@ -1,7 +1,7 @@
 """The registered queries of this package and their DuckDB SQL."""
 
 from starlens.llm import (chat, decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding,
-                          toxicity)
+                          toxicity, whitening)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_whitening": whitening.op11_whitening,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.OP2_SQL,
