@@ -1,6 +1,6 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from starlens.llm import (chat, decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding,
+from starlens.llm import (alignment, chat, decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding,
                           toxicity, whitening)
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_whitening": whitening.op11_whitening,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLE = {
     "op2_decontaminate": decontaminate.OP2_SQL,
