@@ -1,7 +1,7 @@
 """The registered queries of this package and their DuckDB SQL."""
 
-from starlens.llm import (alignment, chat, decontaminate, langid, near_dedup, pieces, pii, quality, secrets, sharding,
-                          toxicity, whitening)
+from starlens.llm import (alignment, chat, decontaminate, langid, near_dedup, passages, pieces, pii, quality,
+                          secrets, sharding, toxicity, whitening)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_whitening": whitening.op11_whitening,
+    "op12_passages": passages.op12_passages,
     "op13_alignment": alignment.op13_alignment,
 }
 ORACLE = {
