@@ -11,8 +11,8 @@ are the end links; G_A.G_Bt the pairs of one group.
 Neither side merges across a single blank between two other characters: A
 always starts a token there, and no piece of B has a word mark after another
 character (checked when it is loaded). Both sides also end a token there, so
-texts are cut into such units, and equal units are encoded and aligned once a
-task. A unit whose joined bytes differ from its own makes its text one without
+texts are cut into such units, and equal units are encoded and aligned once
+while a worker remembers them. A unit whose joined bytes differ from its own makes its text one without
 tokens.
 
 The corpus count of an id pair is a plain aggregate. Pairs with a share of at
@@ -39,11 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlens.llm.scratch import Scratch
+from starlens.llm.shingles import blocks, flat
+from starlens.llm.worker import kept
 from starlens.session import cut_lineage
 
 HOT = 1 << 20             # id pairs broadcast at most
-CACHE = 200_000           # units remembered in a task before it starts afresh
-BLOCK = 1 << 20           # characters of texts handled at once
+CACHE = 250_000           # units remembered in a worker before it starts afresh
+BLOCK = 1 << 18           # bytes of texts handled at once
+TOGETHER = 1 << 14        # characters of units encoded in one text
 KEEP = 64                 # longer units are not remembered
 PRODUCTS = 1 << 20        # products expanded at once
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -160,14 +163,62 @@ class Pair:
         self.a_comma, self.a_bar = (np.array([f"{i}{c}" for i in range(len(self.a_bytes))], object) for c in ",|")
         self.b_comma, self.b_semi = (np.array([f"{i}{c}" for i in range(self.b_size)], object) for c in ",;")
 
-    def encode(self, units: list[str]) -> tuple[list, list]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        return a, self.b.encode(units, num_threads=1)
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
 
-    def whole(self, unit: str, a: list[int], b: list[int]) -> bool:
-        want = (" " + unit).encode()
+    def whole(self, text: str, a: list[int], b: list[int]) -> bool:
+        want = (" " + text).encode()
         return b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
 
+    def encode_units(self, units: list[str]):
+        """(A ids, their number per unit, B ids, their number per unit, whether
+        the unit's bytes come back on both sides; no ids if not)."""
+        parts, start, size = [], 0, 0
+        for k, u in enumerate(units):
+            size += len(u) + 1
+            if size > TOGETHER:
+                parts.append((start, k + 1))
+                start, size = k + 1, 0
+        parts.append((start, len(units)))
+        a, n_a, b, n_b, good = [], [], [], [], []
+        for i, j in parts:
+            own = units[i:j]
+            got = self._joined(own) if own else None
+            if got is None:
+                for u in own:
+                    x, y = self.encode(u)
+                    ok = self.whole(u, x, y)
+                    good.append(np.array([ok]))
+                    for side, count, ids in ((a, n_a, x), (b, n_b, y)):
+                        side.append(np.array(ids if ok else [], np.int64))
+                        count.append(np.array([len(side[-1])]))
+            else:
+                good.append(np.ones(len(own), bool))
+                for part, whole in zip((a, n_a, b, n_b), got):
+                    part.append(whole)
+        flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
+        return flat(a), flat(n_a), flat(b), flat(n_b), flat(good).astype(bool)
+
+    def _joined(self, units: list[str]):
+        """Several units in one text. None if a unit has a blank at an end, or
+        bytes do not come back; its units then go one by one."""
+        if any(u[:1].isspace() or u[-1:].isspace() for u in units):
+            return None
+        text = " ".join(units)
+        x, y = self.encode(text)
+        if not self.whole(text, x, y):
+            return None
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+        out = []
+        for ids, size in ((x, self.a_len), (y, self.b_len)):
+            ids = np.array(ids, np.int64)
+            token_end = np.cumsum(size[ids])
+            last = np.searchsorted(token_end, ends)
+            if (token_end[last] != ends).any():
+                raise AssertionError("a token crosses two units")
+            out += [ids, np.diff(np.r_[0, last + 1])]
+        return out
+
 
 class Units:
     """What is known of each distinct unit, in rows by its number."""
@@ -183,11 +234,7 @@ class Units:
 
     def learn(self, new: list[str]) -> None:
         p = self.pair
-        a, b = p.encode(new)
-        good = np.array([p.whole(u, x, y) for u, x, y in zip(new, a, b)], bool)
-        a, b = ([x if ok else [] for x, ok in zip(side, good)] for side in (a, b))
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        a_ids, n_a, b_ids, n_b, good = p.encode_units(new)
         at = Alignment(p.a_len[a_ids], p.b_len[b_ids])
         unit_of = np.repeat(np.arange(len(new)), n_a)
         tally = lambda rows, weights=None: np.bincount(unit_of[rows], weights, len(new)).astype(np.int64)
@@ -208,47 +255,43 @@ class Units:
         self.links = np.r_[self.links, a_ids[at.link_a] * p.b_size + b_ids[at.link_b]]
 
 
+    def forget(self, longest: int) -> None:
+        """Drop what is known of longer units (their numbers stay unused)."""
+        self.number = {u: k for u, k in self.number.items() if len(u) <= longest}
+        long = np.ones(len(self.good), bool)
+        long[list(self.number.values())] = False
+        for k in np.flatnonzero(long).tolist():
+            self.groups[k] = ""
+        size = np.where(long, 0, np.diff(self.link_ptr))
+        self.links = self.links[np.repeat(~long, np.diff(self.link_ptr))]
+        self.link_ptr = pointers(size)
+
+
 DIGESTS = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, n_shared long, "
            "groups_sha256 string, pairs array<long>, times array<int>")
 
 
 def _aligner(a_json: str, b_model: bytes):
     def run(batches):
-        pair = Pair(a_json, b_model)
-        known = Units(pair)
+        key = hash((a_json, b_model))
+        pair = kept("alignment", key, lambda: Pair(a_json, b_model))
+        known = kept("units", key, lambda: Units(pair))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
-                    size += len(texts[j])
-                    j += 1
-                cut = [_cut(t) if t else [] for t in texts[i:j]]
+            _, off = flat(batch.column(1))
+            for i, j in blocks(off, BLOCK):
+                cut = [_cut(t) if t else [] for t in batch.column(1).slice(i, j - i).to_pylist()]
                 if len(known.good) > CACHE:
-                    known = Units(pair)
-                now = known
+                    known.__init__(pair)
                 new = list(set(chain.from_iterable(cut)).difference(known.number))
                 if new:
-                    now.learn(new)
-                yield _digest(now, batch.column(0).slice(i, j - i), cut)
+                    known.learn(new)
+                yield _digest(known, batch.column(0).slice(i, j - i), cut)
                 if any(len(u) > KEEP for u in new):
-                    known = _short(now)
-                i = j
+                    known.forget(KEEP)
 
     return run
 
 
-def _short(units: Units) -> Units:
-    """The same without long units (their numbers stay unused)."""
-    units.number = {u: k for u, k in units.number.items() if len(u) <= KEEP}
-    long = np.ones(len(units.good), bool)
-    long[list(units.number.values())] = False
-    for k in np.flatnonzero(long).tolist():
-        units.groups[k] = ""
-    return units
-
-
 def _digest(units: Units, ids: pa.Array, cut: list[list[str]]) -> pa.RecordBatch:
     n, number = len(cut), units.number
     size = np.array([len(c) for c in cut], np.int64)
@@ -282,14 +325,13 @@ def _digest(units: Units, ids: pa.Array, cut: list[list[str]]) -> pa.RecordBatch
 def _linker(a_json: str, b_model: bytes):
     """Links of whole texts one by one, in blocks of bounded size."""
     def run(batches):
-        pair = Pair(a_json, b_model)
+        pair = kept("alignment", hash((a_json, b_model)), lambda: Pair(a_json, b_model))
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                units = _cut(text) if text else []
-                a, b = pair.encode(units) if units else ([], [])
-                if not units or not all(map(pair.whole, units, a, b)):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                units = _cut(text.as_py()) if text.as_py() else []
+                a, _, b, _, good = pair.encode_units(units)
+                if not units or not good.all():
                     continue
-                a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
                 at = Alignment(pair.a_len[a], pair.b_len[b])
                 a_end, b_end = at.a_ptr[1:], at.b_ptr[1:]
                 for kind, links in (("overlap", at.overlaps()), ("group", at.shared())):
