@@ -65,3 +65,47 @@ def test_scores_keep_reviews_without_hits(spark):
         assert got[1].lex_compound > 0 and got[1].lex_neu > 0
         assert [got[k].lex_neu for k in (2, 3, 4, 5)] == [0.0, 0.0, 1.0, 1.0]
         assert all(got[k].lex_compound == 0.0 for k in (2, 3, 4, 5))
+
+
+def test_literal_and_join_agree(spark):
+    """A lexicon beyond the bound is joined; rows with equal or null ids are
+    scored each on its own either way; words given twice have their mean."""
+    import random
+
+    from starlens.operators.lexicon import polarity_scores
+    rng = random.Random(4)
+    bits = ["good", "Bad!", "GREAT", "not", "very", "but", "fine", "(good)", "...", "slightly", "never", "x", "great??", "é"]
+    texts = [None, "", " \t", "good bad"] + [" ".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 7, t, i) for i, t in enumerate(texts)],
+                               "review_id int, text string, place int")
+    lex = spark.createDataFrame(LEX + [("fine", 1.0), ("fine", 2.0), (None, 3.0), ("x", None), ("it's", 1.0)],
+                                "word string, valence double")
+    for rules in ({}, {"rules": FULL}):
+        a = lexicon_polarity(df, lex, **rules).orderBy("place").collect()
+        b = lexicon_polarity(df, lex, max_words=2, **rules).orderBy("place").collect()
+        assert len(a) == len(texts) and a == b
+        if not rules:
+            for r, t in zip(a, texts):
+                want = brute_with(t or "", {**dict(LEX), "fine": 1.5})     # halves may round either way
+                assert all(abs(x - y) < 1.1e-3 for x, y in zip((r.lex_neg, r.lex_neu, r.lex_pos, r.lex_compound), want))
+    assert polarity_scores(df, lex).count() == len(texts)
+    assert lexicon_polarity(df, lex.limit(0)).filter("lex_compound != 0").count() == 0
+
+
+def brute_with(text, lex):
+    global LEX
+    kept, LEX = LEX, list(lex.items())
+    try:
+        return brute(text)
+    finally:
+        LEX = kept
+
+
+def test_texts_stay_in_their_rows(spark):
+    """One scan, no exchange of tokens or texts."""
+    from tables import SF_SMALL
+
+    from starlens.plans.registry import QUERIES
+    for name in ("c3_lexicon_polarity", "c3_lexicon_polarity_rules"):
+        plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan and plan.count("Scan parquet") == 1
