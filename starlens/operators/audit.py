@@ -33,7 +33,11 @@ def add_conflicts(df: DataFrame, star: str = "star_label",
 
 def class_weights(df: DataFrame, label: str = "star_label") -> DataFrame:
     """C7 table: weight_c = N / (k * n_c) over the classes present."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n_c"))
+    return weights_from_counts(df.groupBy(label).agg(F.count("*").alias("n_c")), label)
+
+
+def weights_from_counts(counts: DataFrame, label: str = "star_label") -> DataFrame:
+    """C7 from (label, n_c), one row per class."""
     w = Window.partitionBy()  # over the k class rows only
     return counts.select(label, "n_c",
                          (F.sum("n_c").over(w) / (F.count("*").over(w) * F.col("n_c")))

@@ -6,8 +6,12 @@ cleaning itself is one select/filter chain with no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import zlib
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from starlens.functions.labels import label_name, star_label
 from starlens.functions.text import coerce_rating, compose_text, fill_text
@@ -83,15 +87,69 @@ def clean_reviews(df: DataFrame, key: str | None = "review_id", min_len: int = 5
                .withColumn("star_label_name", label_name("star_label")))
 
 
-def emoji_to_text(df: DataFrame, aliases: dict[str, str], text: str = "text") -> DataFrame:
-    """Replace each emoji by its alias text, within the row.
-
-    Longer emoji go first, so one made of several code points (a skin tone, a
-    variation selector) is not taken apart by a shorter one."""
-    out = F.col(text)
-    for emoji in sorted(aliases, key=lambda e: (-len(e), e)):
-        out = F.replace(out, F.lit(emoji), F.lit(aliases[emoji]))
-    return df.withColumn(text, out)
+#: Rows and characters up to which an alias table is a literal of the plan.
+MAX_ALIASES, MAX_ALIAS_CHARS = 20_000, 1_000_000
+
+
+def _char_class(chars) -> str:
+    """Java regex class of code points, runs of them as ranges."""
+    points, parts = sorted(map(ord, chars)), []
+    for cp in points:
+        if parts and parts[-1][1] == cp - 1:
+            parts[-1][1] = cp
+        else:
+            parts.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in parts) + "]"
+
+
+def _longest_pattern(words) -> str:
+    """Java regex that matches the longest of ``words``: a trie, where what may
+    follow a word is optional and tried first."""
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spell(node):
+        leaves = [c for c, n in node.items() if c and set(n) == {""}]
+        ways = [_char_class(leaves)] if leaves else []
+        ways += [_char_class(c) + spell(n) for c, n in sorted(node.items()) if c and set(n) != {""}]
+        return "" if not ways else f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return f"(?={_char_class([c for c in trie])})" + spell(trie)
+
+
+def emoji_to_text(df: DataFrame, aliases: DataFrame, text: str = "text") -> DataFrame:
+    """Replace every emoji of the alias table (emoji, alias) by its alias.
+
+    Left to right, the longest emoji that starts at a place wins (a skin tone
+    or a joined sequence is not taken apart by a shorter one), and alias texts
+    are not read again. The table becomes literals of the plan: a trie as one
+    pattern, which cuts a text into pieces and matches, and the aliases in slots
+    by CRC-32, so a match finds its alias at once; all within the row. An emoji
+    listed twice has its least alias; empty emoji do not count, a null alias is
+    an empty one. Beyond ``MAX_ALIASES`` or ``MAX_ALIAS_CHARS`` the table is refused."""
+    rows = (aliases.select(F.col("emoji").cast("string"), F.coalesce(F.col("alias").cast("string"), F.lit("")).alias("alias"))
+                   .filter("emoji is not null and emoji != ''").groupBy("emoji").agg(F.min("alias").alias("alias"))
+                   .limit(MAX_ALIASES + 1).collect())
+    if len(rows) > MAX_ALIASES or sum(len(r.emoji) + len(r.alias) for r in rows) > MAX_ALIAS_CHARS:
+        raise ValueError("the alias table is too large for a literal")
+    if not rows:
+        return df
+    slots: list[dict] = [{} for _ in range(max(1, len(rows) // 2))]
+    for r in rows:
+        slots[zlib.crc32(r.emoji.encode()) % len(slots)][r.emoji] = r.alias
+    table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
+    pattern = F.lit(_longest_pattern([r.emoji for r in rows]))
+    found = F.regexp_extract_all(F.col(text), pattern, F.lit(0))
+    out = df.withColumn("__found", found)
+    pieces = F.split(F.col(text), pattern)
+    each = F.zip_with(pieces, "__found", lambda p, m: F.concat(p, F.coalesce(
+        F.try_element_at(F.get(table, F.pmod(F.crc32(m), F.lit(len(slots)))), m), F.lit(""))))
+    changed = F.when(F.size("__found") > 0, F.array_join(each, "")).otherwise(F.col(text))
+    return out.withColumn(text, changed).drop("__found")
 
 
 def normalized_text(col) -> "F.Column":
@@ -103,17 +161,22 @@ def normalized_text(col) -> "F.Column":
 
 
 def near_dedup(df: DataFrame, text: str = "text", key: str = "review_id") -> DataFrame:
-    """Keep one row per MD5 of the normalised text; lowest key wins.
+    """Keep one row per MD5 of the normalised text: the one of lowest key
+    (rows without key last); among rows of one key that of the lowest hash of
+    the whole row, so repeated rows leave exactly one.
 
     A text that normalises to nothing (marks or emoji only) is compared as it
-    is; rows without text have no fingerprint and all stay. Only (fingerprint,
-    key) is aggregated, map-side first; whole rows meet the kept keys once."""
+    is; rows without text have no fingerprint and all stay. A row stays or goes
+    by its own rank, never by its key. The rank's limit of 1 works before the
+    shuffle too, so a partition sends one row per fingerprint and a hot one
+    meets as many rows as there are partitions."""
     plain = normalized_text(F.col(text))
     fp = F.md5(F.when(plain == "", F.concat(F.lit("\u0000"), F.col(text))).otherwise(plain))
-    keys = (df.filter(F.col(text).isNotNull()).select(fp.alias("__fp"), F.col(key).alias("__key"))
-              .groupBy("__fp").agg(F.min("__key").alias("__key")).select("__key"))
-    kept = df.join(keys, F.col(key) == F.col("__key"), "left_semi").filter(F.col(text).isNotNull())
-    return kept.unionByName(df.filter(F.col(text).isNull()))
+    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    whole = F.xxhash64(*[F.col(q(f.name)) for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))])
+    rank = F.row_number().over(Window.partitionBy("__fp").orderBy(F.col(key).asc_nulls_last(), "__whole"))
+    return (df.withColumns({"__fp": F.coalesce(fp, own), "__whole": whole})
+              .withColumn("__rank", rank).filter("__rank <= 1").drop("__fp", "__whole", "__rank"))
 
 
 def select_existing(df: DataFrame, cols: list[str | None], rename: dict[str, str] | None = None,

@@ -199,13 +199,13 @@ def coverage_report(articles: DataFrame, reviews: DataFrame, cluster: str = "clu
 
 
 def chunk_text(df: DataFrame, max_len: int, text: str = "text", key: str = "review_id") -> DataFrame:
-    """K6: split each text into ordered chunks of at most ``max_len`` chars.
-    The chunks are cut within the row and then exploded, so no row carries
-    the whole text."""
-    n = F.greatest(F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / F.lit(max_len)), F.lit(1))
-    chunks = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")),
-                         lambda i: F.substring(F.col(text), i * F.lit(max_len) + F.lit(1), F.lit(max_len)))
-    return df.select(key, F.posexplode(chunks).alias("chunk_index", "chunk"))
+    """K6: split each text into ordered chunks of at most ``max_len`` chars (an
+    empty text is one empty chunk, a null one a null chunk). One pass over the
+    text cuts all chunks within the row; they are exploded then, so no row
+    carries the whole text."""
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{int(max_len)}}}"), F.lit(0))
+    cut = df.select(key, F.when(F.size(found) > 0, found).otherwise(F.array(F.col(text))).alias("__chunks"))
+    return cut.select(key, F.posexplode("__chunks").alias("chunk_index", "chunk"))
 
 
 def digest_rows(articles: DataFrame, cluster: str = "cluster_name", article: str = "article") -> DataFrame:

@@ -12,7 +12,9 @@ neither the ``+1`` nor sublinear tf, hence the explicit columns.
 
 from __future__ import annotations
 
+import json
 import unicodedata
+import zlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,25 +23,65 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def _accent_table() -> tuple[str, str]:
-    """Built by rule: Latin letters U+00C0..U+024F whose compatibility
-    decomposition is one base letter plus combining marks map to that base
-    letter. Other scripts keep their accents (limit of ``translate``)."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+HANGUL = range(0xAC00, 0xD7A4)
+#: Characters from here on may stand for several; below it, only the listed ones do.
+_WIDE = 0x0132
+
+
+def _accent_tables() -> tuple[str, str, dict[str, str]]:
+    """Built by rule over all of Unicode: the compatibility decomposition of a
+    character without combining marks. One character: a pair of ``translate``;
+    none (a mark itself): deleted by it; several (ligatures, fractions): a
+    table. Hangul syllables follow arithmetic, see ``_jamo``."""
+    src, dst, gone, many = [], [], [], {}
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp < 0xE000 or cp in HANGUL:
+            continue
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if base != ch and len(base) == 1:
+        if base == ch:
+            continue
+        if len(base) == 1:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+        elif base:
+            many[ch] = base
+        else:
+            gone.append(ch)
+    return "".join(src + gone), "".join(dst), many
+
+
+ACCENT_SRC, ACCENT_DST, EXPANDED = _accent_tables()
+
 
+def _jamo(char: Column) -> Column:
+    """The letters of a Hangul syllable: 19 x 21 x (27 + none), in order."""
+    def letters(first, n):
+        return F.lit("".join(map(chr, range(first, first + n))))
 
-ACCENT_SRC, ACCENT_DST = _accent_table()
+    at = F.ascii(char) - F.lit(HANGUL.start)
+    part = lambda table, i: F.substring(table, i.cast("int") + 1, F.lit(1))
+    tail = (at % 28).cast("int")
+    return F.concat(part(letters(0x1100, 19), F.floor(at / 588)), part(letters(0x1161, 21), F.floor(at % 588 / 28)),
+                    F.when(tail > 0, part(letters(0x11A8, 27), tail - 1)).otherwise(F.lit("")))
 
 
 def strip_accents(col: Column) -> Column:
-    return F.translate(col, ACCENT_SRC, ACCENT_DST)
+    """NFKD without combining marks, in any script. Texts that hold no
+    character standing for several (a cheap test) need one ``translate``."""
+    plain = F.translate(col, ACCENT_SRC, ACCENT_DST)
+    slots: list[dict] = [{} for _ in EXPANDED]
+    for ch, base in EXPANDED.items():
+        slots[zlib.crc32(ch.encode()) % len(slots)][ch] = base
+    table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
+
+    def spelled(c):
+        found = F.try_element_at(F.get(table, F.pmod(F.crc32(c), F.lit(len(slots)))), c)
+        return F.when(c.between(F.lit(chr(HANGUL.start)), F.lit(chr(HANGUL.stop - 1))), _jamo(c)).otherwise(F.coalesce(found, c))
+
+    low = "".join(c for c in EXPANDED if ord(c) < _WIDE)
+    wide = col.rlike(f"[{low}\\x{{{_WIDE:X}}}-\\x{{10FFFF}}]")
+    return F.when(wide, F.array_join(F.transform(F.split(plain, ""), spelled), "")).otherwise(plain)
 
 
 def word_tokens(text: Column) -> Column:

@@ -124,7 +124,8 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, values: list[str],
     """Distributed cumulative sums of ``values`` within ``part`` in ``order``.
 
     Adds ``cum_<v>`` (inclusive) and ``total_<v>`` per part. ``order``
-    must be a total order within a part (e.g. distinct scores).
+    must be a total order within a part (e.g. distinct scores). Rows without
+    a value in ``part`` are a part of their own.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -141,7 +142,11 @@ def prefix_sums(df: DataFrame, part: list[str], order: list, values: list[str],
                             *[F.sum("__b_" + v).over(Window.partitionBy(*part)).alias("total_" + v)
                               for v in values])
     wi = Window.partitionBy(*part, "__blk").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = ordered.join(offsets, [*part, "__blk"])
+    names = {c: f"__part_{i}" for i, c in enumerate([*part, "__blk"])}
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    out = ordered.join(offsets.withColumnsRenamed(names), same)
     return out.select(*[c for c in df.columns],
                       *[(F.sum(v).over(wi) + F.col("__o_" + v)).alias("cum_" + v) for v in values],
                       *["total_" + v for v in values])

@@ -129,46 +129,51 @@ SCORE_COLUMNS = ("model_sentiment string, model_confidence double, "
                  "prob_negative double, prob_neutral double, prob_positive double")
 
 
+#: Scorers made in this Python worker, by name; a worker serves many tasks.
+_SCORERS: dict = {}
+
+
 def score_reviews(df: DataFrame, scorer: Callable | None = None, model=None, featurize=None,
-                  key: str = "review_id", text: str = "text", max_chars: int | None = None) -> DataFrame:
+                  key: str = "review_id", text: str = "text", max_chars: int | None = None,
+                  make_scorer: Callable | None = None, name: str = "scorer") -> DataFrame:
     """Batch inference table.
 
     ``scorer`` is a pluggable Python function ``list[str] -> n x 3 array of
-    probabilities`` run with ``mapInPandas`` (Arrow batches); otherwise the
-    fitted MLlib ``model`` (J5) scores JVM-side on ``featurize(df)``. Whole
-    texts are scored; ``max_chars`` clips them as a serving path may. Polarity columns
-    are carried when present.
-    """
+    probabilities`` run with ``mapInPandas`` (Arrow batches); ``make_scorer``
+    makes one, for a model that is loaded once per Python worker and ``name``
+    instead of being sent with every task. Otherwise the fitted MLlib ``model``
+    (J5) scores JVM-side on ``featurize(df)``. Whole texts are scored;
+    ``max_chars`` clips them as a serving path may. Null texts are scored as
+    empty ones. Polarity columns are carried along when present."""
     lex = [c for c in LEX_FEATURES if c in df.columns]
     clipped = df.withColumn(text, clip(F.col(text), max_chars, ellipsis=False)) if max_chars else df
-    if scorer is not None:
-        import numpy as np
-        import pandas as pd
-
-        names = ["Negative", "Neutral", "Positive"]
-
-        def run(batches):
-            for pdf in batches:
-                probs = np.asarray(scorer(pdf[text].fillna("").tolist()), dtype=float).reshape(-1, 3)
-                best = probs.argmax(axis=1)
-                yield pd.DataFrame({
-                    key: pdf[key], text: pdf[text],
-                    "model_sentiment": [names[i] for i in best],
-                    "model_confidence": probs.max(axis=1),
-                    "prob_negative": probs[:, 0], "prob_neutral": probs[:, 1],
-                    "prob_positive": probs[:, 2]})
-
-        scored = clipped.select(key, text).mapInPandas(
-            run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{text}` string, {SCORE_COLUMNS}")
-    else:
+    if scorer is None and make_scorer is None:
         feats = featurize(clipped) if featurize else clipped
-        scored = predict(model, feats).select(
+        return predict(model, feats).select(
             key, text, label_name("pred_label").alias("model_sentiment"),
             F.col("pred_confidence").alias("model_confidence"),
-            "prob_negative", "prob_neutral", "prob_positive")
-    if lex:
-        scored = scored.join(df.select(key, *lex), key, "left")
-    return scored
+            "prob_negative", "prob_neutral", "prob_positive", *lex)
+    import numpy as np
+
+    names = np.array(["Negative", "Neutral", "Positive"])
+
+    def run(batches):
+        score = scorer
+        if score is None:
+            if name not in _SCORERS:
+                _SCORERS[name] = make_scorer()
+            score = _SCORERS[name]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            probs = np.asarray(score(pdf[text].fillna("").tolist()), dtype=float).reshape(-1, 3)
+            yield pdf.assign(model_sentiment=names[probs.argmax(axis=1)], model_confidence=probs.max(axis=1),
+                             prob_negative=probs[:, 0], prob_neutral=probs[:, 1], prob_positive=probs[:, 2])
+
+    carried = clipped.select(key, text, *lex)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
+    return carried.mapInPandas(run, f"{schema}, {SCORE_COLUMNS}").select(
+        key, text, *[c.split()[0] for c in SCORE_COLUMNS.split(", ")], *lex)
 
 
 def lexicon_scorer_probs(compound) -> "F.Column":

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.operators.metrics import prefix_sums
@@ -65,7 +65,6 @@ def stratified_split(df: DataFrame, label: str = "star_label", key: str = "revie
 def split_report(df: DataFrame, label: str = "star_label_name", split: str = "split",
                  digits: int = 3) -> DataFrame:
     """Rows per split and label share within the split (rounded)."""
-    from pyspark.sql import Window
     counts = df.groupBy(split, label).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy(split))
     return counts.select(split, label, "count", total.alias("split_rows"),
@@ -88,8 +87,55 @@ def undersample(df: DataFrame, label: str = "star_label", key: str = "review_id"
               .filter(at <= F.col("__last")).drop("__label", "__last"))
 
 
-def bounded_sample(df: DataFrame, n: int, key: str = "review_id", seed: int = 42) -> DataFrame:
-    """A fixed-size reproducible sample: the n rows with the lowest seeded
-    hash (a bounded top-n: each partition keeps n candidates)."""
-    h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
+#: Rows with a common hash prefix up to which the cut is read off directly.
+FEW = 100_000
+
+
+def _cut_place(places: DataFrame, n: int, few: int = FEW):
+    """(hash, key) of the n-th of ``places`` (hash, key) and how many of its
+    equals belong to the first n; None if there are no more than n rows.
+
+    A histogram over the first 4 hex digits of the hash says in which bucket
+    the n-th row lies, then over the next 4 within that bucket, until a bucket
+    holds few rows; only those narrow rows are sorted."""
+    prefix, before = "", 0
+    while True:
+        rest = places.filter(F.col("h").startswith(prefix)) if prefix else places
+        digits = len(prefix) + 4
+        counts = rest.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.count("*").alias("c"))
+        w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)       # at most 65,536 rows
+        reach = counts.withColumn("upto", F.sum("c").over(w) + before).filter(F.col("upto") >= n).orderBy("b").first()
+        if reach is None:
+            return None
+        prefix, before = reach.b, reach.upto - reach.c
+        if reach.c <= few or digits >= 32:
+            break
+    # Equal (hash, key) are counted together, so a repeated key is one row here.
+    own = places.filter(F.col("h").startswith(prefix)).groupBy("h", "k").agg(F.count("*").alias("c"))
+    w = Window.orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
+    last = (own.withColumn("upto", F.sum("c").over(w) + before).filter(F.col("upto") >= n).orderBy("h", "k").first())
+    return last.h, last.k, n - (last.upto - last.c), last.c
+
+
+def bounded_sample(df: DataFrame, n: int, key: str = "review_id", seed: int = 42, few: int = FEW) -> DataFrame:
+    """A reproducible sample of ``n`` rows, those of lowest seeded hash
+    (then key) of all rows; all rows if there are no more.
+
+    Two passes: histograms of the narrow hashes give the place of the n-th row,
+    then every row is kept or dropped where it is. No partition sends whole
+    rows. Rows without a key come first, in the hash of an empty one; of rows
+    that share the last place (a repeated key) as many as fit are taken."""
+    if n <= 0:
+        return df.limit(0)
+    h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    cut = _cut_place(df.select(h.alias("h"), F.col(key).alias("k")), n, few)
+    if cut is None:
+        return df
+    last_h, last_k, fit, equals = cut
+    out = df.withColumn("__h", h)
+    same = F.col(key).eqNullSafe(F.lit(last_k)) & (F.col("__h") == last_h)
+    lower = (F.col("__h") < last_h) | ((F.col("__h") == last_h) & F.when(
+        F.lit(last_k is None), F.lit(False)).otherwise(F.coalesce(F.col(key) < F.lit(last_k), F.lit(True))))
+    if fit == equals:
+        return out.filter(lower | same).drop("__h")
+    return out.filter(lower).unionByName(out.filter(same).limit(fit)).drop("__h")

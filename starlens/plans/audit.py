@@ -1,6 +1,6 @@
 """Audit plan (NB1): clean -> weak label -> lexicon polarity -> labels ->
-conflict audit -> weights. One narrow chain plus the polarity aggregate and
-one tiny class-count aggregate."""
+conflict audit -> weights. One narrow chain within the row, and one tiny
+class-count aggregate where weights are wanted."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from starlens.operators.audit import (add_class_weight, add_conflicts, add_sampl
                                       add_text_labels)
 from starlens.operators.clean import clean_reviews
 from starlens.operators.lexicon import BASE, PolarityRules, lexicon_polarity
+from starlens.session import cut_lineage
 
 
 def scored_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BASE) -> DataFrame:
@@ -17,13 +18,27 @@ def scored_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BA
     return lexicon_polarity(clean_reviews(raw), lexicon, rules=rules)
 
 
-def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BASE) -> DataFrame:
-    """B9 -> C3 -> C4 -> C5/C6 -> C7 -> C8: the audited review table."""
-    clean = clean_reviews(raw)
-    df = add_conflicts(add_text_labels(lexicon_polarity(clean, lexicon, rules=rules)))
-    # Class counts need only the star label: count them on the cleaned rows
-    # (column pruning drops the text) instead of re-running the scoring.
-    return add_sample_weight(add_class_weight(df, fit_on=clean))
+def conflicted_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BASE) -> DataFrame:
+    """B9 -> C3 -> C4 -> C5/C6: the audit without weights; every step works
+    within a row, so the plan is one scan without an exchange."""
+    return add_conflicts(add_text_labels(scored_reviews(raw, lexicon, rules)))
+
+
+def audited_reviews(raw: DataFrame, lexicon: DataFrame, rules: PolarityRules = BASE,
+                    columns: list[str] | None = None) -> DataFrame:
+    """B9 -> C3 -> C4 -> C5/C6 -> C7 -> C8: the audited review table.
+
+    Class weights need counts over all rows before any row has its weight.
+    With ``columns`` only those are carried: the scored rows, so narrowed, are
+    pinned, and counts and rows come from one reading of the texts. Without,
+    whole rows are kept as they are and the star labels are counted on a second
+    reading, which scores nothing."""
+    if columns is not None:
+        need = [*columns, *[c for c in ("star_label", "quality_weight") if c not in columns]]
+        rows = cut_lineage(conflicted_reviews(raw, lexicon, rules).select(*need))
+        return add_sample_weight(add_class_weight(rows)).select(*columns, *[
+            c for c in ("class_weight", "sample_weight") if c not in columns])
+    return add_sample_weight(add_class_weight(conflicted_reviews(raw, lexicon, rules), fit_on=clean_reviews(raw)))
 
 
 def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "review_id",
@@ -35,7 +50,6 @@ def tfidf_featurizer(audited: DataFrame, split: str = "split", key: str = "revie
 
     from starlens.operators import features as ft
     from starlens.operators.models import assemble
-    from starlens.session import cut_lineage
 
     # The scored table feeds several actions and an iterative fit: pin it
     # once in the shared checkpoint dir instead of recomputing the lineage.
@@ -59,7 +73,6 @@ def tfidf_lr_model(audited: DataFrame, split: str = "split", key: str = "review_
     the polarity columns, balanced L2 logistic regression; returns
     (model, featurize)."""
     from starlens.operators.models import fit_sentiment_lr
-    from starlens.session import cut_lineage
 
     featurize, train = tfidf_featurizer(audited, split, key, max_features)
     model = fit_sentiment_lr(cut_lineage(featurize(train)))

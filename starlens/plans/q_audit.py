@@ -13,7 +13,7 @@ from starlens.operators.audit import class_weights
 from starlens.operators.clean import clean_reviews, drop_short, valid_rating
 from starlens.operators.lexicon import FULL, polarity_scores
 from starlens.operators.metrics import confusion_matrix
-from starlens.plans.audit import audited_reviews, scored_reviews
+from starlens.plans.audit import audited_reviews, conflicted_reviews, scored_reviews
 from starlens.plans.registry import register, rounded
 from starlens.sources import fixtures as fx
 
@@ -132,7 +132,8 @@ def _composed(spark, sf):
 
 
 def _audited(spark, sf):
-    return audited_reviews(_raw(spark, sf), fx.lexicon(spark))
+    """The audited table up to the conflicts: what needs no weights."""
+    return conflicted_reviews(_raw(spark, sf), fx.lexicon(spark))
 
 
 @register("b4_coerce_rating", audit_sql(
@@ -228,8 +229,8 @@ def c7_class_weight(spark, sf):
 SELECT review_id, round(quality_weight, 6) AS quality_weight, round(class_weight, 6) AS class_weight,
        round(sample_weight, 6) AS sample_weight FROM audited"""))
 def c8_sample_weight(spark, sf):
-    return rounded(_audited(spark, sf).select("review_id", "quality_weight", "class_weight",
-                                              "sample_weight"))
+    df = audited_reviews(_raw(spark, sf), fx.lexicon(spark), columns=["review_id", "quality_weight"])
+    return rounded(df.select("review_id", "quality_weight", "class_weight", "sample_weight"))
 
 
 CONFLICT_ORDER = ["agree", "low_star_positive_text", "high_star_negative_text",
@@ -267,7 +268,7 @@ SELECT count(sample_weight) AS count, round(avg(sample_weight), 6) AS mean,
        round(quantile_cont(sample_weight, 0.75), 6) AS p75, round(max(sample_weight), 6) AS max
 FROM audited"""))
 def f5_describe(spark, sf):
-    return rounded(agg.describe(_audited(spark, sf), "sample_weight"))
+    return rounded(agg.describe(audited_reviews(_raw(spark, sf), fx.lexicon(spark), columns=["review_id"]), "sample_weight"))
 
 
 CONFUSION_SQL = """

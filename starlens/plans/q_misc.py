@@ -56,7 +56,7 @@ def _emoji_sql():
 @register("b11_emoji_to_text", fx.with_views(_emoji_sql()))
 def b11_emoji_to_text(spark, sf):
     d = fx.table(spark, sf, "documents").selectExpr("doc_id", f"{_with_emoji()} AS text")
-    return emoji_to_text(d, EMOJI_ALIASES)
+    return emoji_to_text(d, spark.createDataFrame(list(EMOJI_ALIASES.items()), "emoji string, alias string"))
 
 
 NORM_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lower(text), '[\p{P}\p{S}]', '', 'g'), '\s+', ' ', 'g'),

@@ -11,8 +11,10 @@ from starlens.operators import features as ft
 from starlens.operators import metrics as mt
 from starlens.operators import models as md
 from starlens.operators import sampling as sp
+from starlens.operators import sparse_models as sm
+from starlens.operators.audit import add_class_weight
 from starlens.operators.clean import clean_reviews
-from starlens.plans.audit import tfidf_featurizer, tfidf_lr_model
+from starlens.plans.audit import scored_reviews, tfidf_featurizer, tfidf_lr_model
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.q_audit import audit_sql
 from starlens.plans.q_eval import F23_SQL, SPLIT_SQL
@@ -122,6 +124,81 @@ def f23_model_comparison_given(spark, sf):
     return rounded(mt.model_comparison(long.select("m.model", "split", "true_label", "m.pred_label")))
 
 
+TERM_B = [f"((term_index + {3 * c}) % 7 - 3) / 4.0::DOUBLE" for c in range(3)]
+RESID = [f"cw * (p{c} - CAST(star_label = {c} AS INTEGER)) / (SELECT sum(cw) FROM weighted)" for c in range(3)]
+OBJECTIVE_STAGES = [*GIVEN_STAGES, ("weighted", """
+SELECT p.*, n.cw FROM predicted p JOIN (
+  SELECT star_label, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS cw FROM predicted GROUP BY star_label) n
+  ON p.star_label = n.star_label"""),
+    ("reg", "SELECT 1 / (2.0::DOUBLE * sum(cw)) AS lam, sum(cw) AS w FROM weighted"),
+    ("resid", f"SELECT *, {', '.join(f'{r} AS r{c}' for c, r in enumerate(RESID))} FROM weighted"),
+    ("by_term", f"""
+SELECT {', '.join(f'sum(weight * r{c}) + max((SELECT lam FROM reg) * {b}) AS g{c}' for c, b in enumerate(TERM_B))},
+       {', '.join(f'max({b}) AS b{c}' for c, b in enumerate(TERM_B))}
+FROM tfidf JOIN resid USING (review_id) GROUP BY term_index"""),
+    ("small", "SELECT " + ", ".join(
+        [f"sum(r{c} * {k}) + {v[c]}::DOUBLE * (SELECT lam FROM reg) AS {k}{c}" for k, v in GIVEN_DENSE.items() for c in range(3)]
+        + [f"sum(r{c}) AS i{c}" for c in range(3)]) + " FROM resid")]
+SMALL = [f"{k}{c}" for k in GIVEN_DENSE for c in range(3)] + ["i0", "i1", "i2"]
+
+
+@register("j5_objective_given", audit_sql(f"""
+SELECT round((SELECT sum(cw * -ln(CASE star_label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)) FROM weighted) / w
+             + lam / 2 * ((SELECT sum(b0 * b0 + b1 * b1 + b2 * b2) FROM by_term) + {sum(x * x for v in GIVEN_DENSE.values() for x in v)}::DOUBLE), 6)
+         AS objective,
+       round(sqrt((SELECT sum(g0 * g0 + g1 * g1 + g2 * g2) FROM by_term) + (SELECT {' + '.join(f'{x} * {x}' for x in SMALL)} FROM small)), 6)
+         AS gradient_norm
+FROM reg""", more=OBJECTIVE_STAGES))
+def j5_objective_given(spark, sf):
+    """Objective and gradient of J5 at given coefficients."""
+    df = cut_lineage(add_class_weight(audited(spark, sf)).select("review_id", "star_label", "class_weight", "text", *md.LEX_FEATURES))
+    weights, vocab, _ = ft.tfidf_table(df)
+    b = [(((F.col("term_index") + 3 * c) % 7 - 3) / F.lit(4.0)).alias(f"b{c}") for c in range(3)]
+    at = sm.logistic_at(cut_lineage(weights), df, vocab.select("term", *b), GIVEN_INTERCEPTS, GIVEN_DENSE, sample_weight="class_weight")
+    return rounded(spark.createDataFrame([at], "objective double, gradient_norm double"))
+
+
+@register("j5_fit_table", audit_sql("""
+SELECT (SELECT count(*) FROM splits WHERE split = 'train') AS n_docs, (SELECT count(*) FROM train_vocab) AS n_terms, true AS reached""",
+                                    more=TRAIN_STAGES))
+def j5_fit_table(spark, sf):
+    """J5 on tables over the train split; reached: the gradient at the returned
+    coefficients, computed anew, is within the tolerance of that at zero."""
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    train = cut_lineage(add_class_weight(train).select("review_id", "star_label", "class_weight", "text", *md.LEX_FEATURES))
+    weights, _, n_docs = ft.tfidf_table(train)
+    weights = cut_lineage(weights)
+    fit = sm.fit_logistic(weights, train, md.LEX_FEATURES, sample_weight="class_weight", tol=1e-3)
+    _, norm = sm.logistic_at(weights, train, fit.coefficients, fit.intercepts, fit.dense, sample_weight="class_weight")
+    return spark.createDataFrame([(n_docs, fit.coefficients.count(), norm <= 1.01e-3 * fit.start_norm)],
+                                 "n_docs long, n_terms long, reached boolean")
+
+
+def _length_scorer():
+    """A small numpy model: logits from the number of characters."""
+    import numpy as np
+
+    def score(texts):
+        n = np.array([len(t) for t in texts])
+        z = np.exp(np.stack([n % 7 / 4, n % 5 / 4, n % 3 / 2], axis=1))
+        return z / z.sum(axis=1, keepdims=True)
+
+    return score
+
+
+@register("j7_score_reviews_scorer", audit_sql("""
+SELECT review_id, text, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 'Negative' WHEN e1 >= e2 THEN 'Neutral' ELSE 'Positive' END AS model_sentiment,
+       round(greatest(e0, e1, e2) / (e0 + e1 + e2), 6) AS model_confidence, round(e0 / (e0 + e1 + e2), 6) AS prob_negative,
+       round(e1 / (e0 + e1 + e2), 6) AS prob_neutral, round(e2 / (e0 + e1 + e2), 6) AS prob_positive,
+       lex_neg, lex_neu, lex_pos, lex_compound
+FROM (SELECT *, exp(length(text) % 7 / 4.0::DOUBLE) AS e0, exp(length(text) % 5 / 4.0::DOUBLE) AS e1,
+             exp(length(text) % 3 / 2.0::DOUBLE) AS e2 FROM scored) s""", upto="scored"))
+def j7_score_reviews_scorer(spark, sf):
+    """Batch inference through a given scorer, made once per worker."""
+    df = scored_reviews(fx.reviews_raw(spark, sf), fx.lexicon(spark))
+    return rounded(md.score_reviews(df, make_scorer=_length_scorer, name="length"))
+
+
 @register("j5_fit_sentiment_lr")
 def j5_fit_sentiment_lr(spark, sf):
     _, model, _ = _model(spark, sf)
@@ -154,14 +231,72 @@ def j8_kmeans(spark, sf):
     return assigned.select("vec_id", "label", "cluster")
 
 
+def _review_weights(spark, sf):
+    docs = clean_reviews(fx.reviews_raw(spark, sf)).select("review_id", "cluster_name", "text")
+    weights, _, _ = ft.tfidf_table(docs)
+    return docs, cut_lineage(weights.select("review_id", "term", "weight"))
+
+
 @register("j8_kmeans_tfidf")
 def j8_kmeans_tfidf(spark, sf):
-    """K-Means over the TF-IDF vectors of the cleaned reviews."""
-    docs = clean_reviews(fx.reviews_raw(spark, sf)).select("review_id", "text")
-    weights, vocab, _ = ft.tfidf_table(docs)
-    vectors = md.assemble(docs.select("review_id"), weights, vocab.count(), dense_cols=())
-    _, assigned = md.kmeans(cut_lineage(vectors), k=6)
-    return assigned.select("review_id", "cluster")
+    """K-Means by cosine over the TF-IDF rows of the cleaned reviews."""
+    _, weights = _review_weights(spark, sf)
+    return sm.spherical_kmeans(weights, [6]).of(6, "review_id")
+
+
+@register("j9_elbow_tfidf")
+def j9_elbow_tfidf(spark, sf):
+    """Cost of several k from the same scans."""
+    _, weights = _review_weights(spark, sf)
+    return sm.elbow_table(spark, sm.spherical_kmeans(weights, [2, 4, 6]))
+
+
+# The centres given: unit vectors along the sum of each cluster name's reviews.
+COSINE_STAGES = [*TEXT_STAGES, ("sums", """
+SELECT cluster_name, CAST(dense_rank() OVER (ORDER BY cluster_name) - 1 AS INTEGER) AS j, term, s FROM (
+  SELECT c.cluster_name, t.term, sum(t.weight) AS s FROM tfidf t JOIN clean c ON t.review_id = c.review_id
+  WHERE c.cluster_name IS NOT NULL GROUP BY 1, 2) x"""),
+    ("centres", "SELECT j, term, s / sqrt(sum(s * s) OVER (PARTITION BY j)) AS w FROM sums"),
+    ("sims", "SELECT t.review_id, j, sum(t.weight * w) AS sim FROM tfidf t JOIN centres USING (term) GROUP BY 1, 2"),
+    ("nearest", """
+SELECT d.review_id, coalesce(first(s.j ORDER BY s.sim DESC, s.j), 0) AS cluster, coalesce(max(s.sim), 0) AS similarity
+FROM (SELECT DISTINCT review_id FROM tfidf) d LEFT JOIN sims s ON d.review_id = s.review_id GROUP BY d.review_id""")]
+
+
+@register("j8_lloyd_given", audit_sql("""
+SELECT n.review_id, n.cluster, round(n.similarity, 6) AS similarity, round(c.norm, 6) AS centre_norm
+FROM nearest n JOIN (SELECT cluster, sqrt(sum(s * s)) AS norm FROM (
+  SELECT n.cluster, t.term, sum(t.weight) AS s FROM tfidf t JOIN nearest n ON t.review_id = n.review_id GROUP BY 1, 2) x
+  GROUP BY cluster) c ON n.cluster = c.cluster""", upto="clean", more=COSINE_STAGES))
+def j8_lloyd_given(spark, sf):
+    """One step from given centres: assignment, similarity, length of the new centre's sum."""
+    docs, weights = _review_weights(spark, sf)
+    own = weights.join(docs.select("review_id", "cluster_name").filter("cluster_name is not null"), "review_id")
+    sums = own.groupBy("cluster_name", "term").agg(F.sum("weight").alias("s"))
+    norms = sums.groupBy("cluster_name").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("n")).orderBy("cluster_name").collect()
+    w = sums.groupBy("term").agg(F.array(*[F.coalesce(F.max(F.when(F.col("cluster_name") == r.cluster_name, F.col("s") / r.n)), F.lit(0.0))
+                                           for r in norms]).alias("__c"))
+    nearest, new = sm.lloyd_step(weights, cut_lineage(w), [len(norms)])
+    lengths = new.select(F.posexplode("__n").alias("cluster", "s")).groupBy("cluster").agg(
+        F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("centre_norm"))
+    out = nearest.select("review_id", F.col("cl")[0].alias("cluster"), F.col("best")[0].alias("similarity"))
+    return rounded(out.join(lengths, "cluster").select("review_id", "cluster", "similarity", "centre_norm"))
+
+
+@register("j10_silhouette_tfidf_given", audit_sql("""
+SELECT review_id, cluster_name, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette
+FROM (SELECT c.review_id, c.cluster_name,
+             max(CASE WHEN c.cluster_name = z.cluster_name AND z.n > 1
+                      THEN (z.n - coalesce(d.dot, 0) - (1 - coalesce(q.norm, 0))) / (z.n - 1) END) AS a,
+             min(CASE WHEN c.cluster_name <> z.cluster_name THEN 1 - coalesce(d.dot, 0) / z.n END) AS b
+      FROM clean c CROSS JOIN (SELECT cluster_name, count(*) AS n FROM clean WHERE cluster_name IS NOT NULL GROUP BY 1) z
+      LEFT JOIN (SELECT t.review_id, s.cluster_name, sum(t.weight * s.s) AS dot FROM tfidf t JOIN sums s USING (term) GROUP BY 1, 2) d
+        ON d.review_id = c.review_id AND d.cluster_name = z.cluster_name
+      LEFT JOIN (SELECT review_id, sum(weight * weight) AS norm FROM tfidf GROUP BY 1) q ON q.review_id = c.review_id
+      WHERE c.cluster_name IS NOT NULL GROUP BY 1, 2) x""", upto="clean", more=COSINE_STAGES[:-3]))
+def j10_silhouette_tfidf_given(spark, sf):
+    docs, weights = _review_weights(spark, sf)
+    return rounded(sm.cosine_silhouette(weights, docs, cluster="cluster_name"))
 
 
 @register("j9_elbow")

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starlens.functions.text import flatten_lines
 from starlens.operators import clean as cl
 from starlens.operators.audit import class_weights
 from starlens.operators.joins import attach_stats, lookup_join
@@ -19,16 +18,13 @@ from starlens.sources import fixtures as fx
 from starlens.sources import io
 from starlens.streaming.stream import scratch_dir
 
-_FLAT = r"regexp_replace(regexp_replace({c}, '[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
-
-@register("a1_read_reviews", fx.with_views(f"""
-SELECT review_id, review_rating, nullif({_FLAT.format(c='review_title')}, '') AS review_title,
-       nullif({_FLAT.format(c='review_text')}, '') AS review_text,
+@register("a1_read_reviews", fx.with_views("""
+SELECT review_id, review_rating, nullif(review_title, '') AS review_title, nullif(review_text, '') AS review_text,
        name, cluster_name FROM reviews_raw""", "reviews_raw"))
 def a1_read_reviews(spark, sf):
+    """Titles and texts as they are, line breaks and quotes included."""
     raw = fx.reviews_raw(spark, sf)
-    raw = raw.withColumn("review_title", flatten_lines("review_title")).withColumn("review_text", flatten_lines("review_text"))
     path = scratch_dir(spark, "a1")
     io.write_table(raw, path, fmt="csv")
     return io.read_reviews(spark, path, raw.schema, fmt="csv")
@@ -46,10 +42,12 @@ def a2_read_catalog(spark, sf):
 @register("a3_select_input", fx.with_views("SELECT name, cluster_name, rating, categories FROM catalog", "catalog"))
 def a3_select_input(spark, sf):
     base = scratch_dir(spark, "a3")
-    cat, paths = fx.catalog(spark, sf), [f"{base}/reviews_may.parquet", f"{base}/catalog_may.parquet"]
-    io.write_table(fx.reviews_num(spark, sf), paths[0])
-    io.write_table(cat, paths[1])
-    return io.read_reviews(spark, io.select_input(paths, "catalog"), cat.schema, glob="*.parquet")
+    cat = fx.catalog(spark, sf)
+    io.write_table(fx.reviews_num(spark, sf), f"{base}/reviews_may.parquet")
+    io.write_table(cat, f"{base}/catalog_may.parquet")
+    io.write_table(cat.limit(0), f"{base}/catalog_june.csv", fmt="csv")
+    # The pattern leaves out the CSV folder, the token the reviews.
+    return io.read_reviews(spark, io.select_input(io.find_inputs(spark, f"{base}/*.parquet"), "catalog"), cat.schema)
 
 
 @register("a5_write_table", fx.with_views("SELECT product_id, name, rating, pred_label, ord, line FROM reviews_num", "reviews_num"))

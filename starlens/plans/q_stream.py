@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starlens.functions.labels import label_name
-from starlens.plans.audit import audited_reviews
+from starlens.operators.audit import add_sample_weight
+from starlens.operators.joins import lookup_join
+from starlens.plans.audit import conflicted_reviews
 from starlens.plans.digest import numeric_reviews_with_sentiment
 from starlens.plans.q_audit import audit_sql
 from starlens.plans.q_dashboard import NORM_LABEL_SQL, _pct_sql
@@ -34,7 +36,7 @@ def l1_score_stream(spark, sf):
     lex = fx.lexicon(spark)
 
     def score(batch):
-        a = audited_reviews(batch, lex)
+        a = conflicted_reviews(batch, lex)
         return a.select("review_id", "name", "cluster_name", "rating",
                         F.lower("lex_label_name").alias("sentiment"), "lex_compound")
 
@@ -43,6 +45,27 @@ def l1_score_stream(spark, sf):
     return rounded(spark.read.parquet(path + "/out").drop("batch"))
 
 
+@register("l1_running_weights", audit_sql("""
+SELECT review_id, star_label, round(class_weight, 6) AS class_weight, round(sample_weight, 6) AS sample_weight
+FROM audited"""))
+def l1_running_weights(spark, sf):
+    """Weights of a stream: from the class counts of all its batches, as in the batch plan."""
+    raw = fx.reviews_raw(spark, sf)
+    path = _files(raw, spark, "l1w")
+    src = st.stream_source(spark, path + "/in", raw.schema, max_files_per_trigger=1)
+    lex = fx.lexicon(spark)
+
+    def score(batch):
+        return conflicted_reviews(batch, lex).select("review_id", "star_label", "quality_weight")
+
+    st.score_stream(src, score, path + "/out", path + "/ckpt", label="star_label",
+                    counts_path=path + "/counts").awaitTermination()
+    rows = spark.read.parquet(path + "/out").drop("batch")
+    weights = st.running_class_weights(spark, path + "/counts").select("star_label", "class_weight")
+    return rounded(add_sample_weight(lookup_join(rows, weights, "star_label"))
+                   .select("review_id", "star_label", "class_weight", "sample_weight"))
+
+
 @register("l2_streaming_kpis", digest_sql(f"""
 SELECT cluster_name, count(*) AS total, round(avg(CAST(rating AS DOUBLE)), 6) AS avg_rating,
        {_pct_sql('lbl', 'positive')} AS pos_pct, {_pct_sql('lbl', 'neutral')} AS neu_pct,
@@ -57,7 +80,7 @@ def l2_streaming_kpis(spark, sf):
     src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=1)
     enriched = st.enrich_stream(src, fx.catalog(spark, sf)).withColumn(
         "sentiment", label_name("sentiment"))
-    state = st.run_complete(st.streaming_kpis(enriched), path + "/ckpt", path + "/out")
+    state = st.run_updates(st.streaming_kpis(enriched), ["cluster_name"], path + "/ckpt", path + "/out")
     return rounded(st.kpi_view(state))
 
 
@@ -80,4 +103,15 @@ def l4_stream_ingest(spark, sf):
     path = _files(d, spark, "l4", parts=8)
     src = st.stream_source(spark, path + "/in", d.schema, max_files_per_trigger=2)
     agg = src.agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
-    return st.run_complete(agg, path + "/ckpt", path + "/out")
+    return st.run_updates(agg, [], path + "/ckpt", path + "/out")
+
+
+@register("l4_bounded_ingest", fx.with_views(
+    "SELECT least(count(*), 333) AS n_rows, least(count(DISTINCT doc_id), 333) AS n_ids FROM documents"))
+def l4_bounded_ingest(spark, sf):
+    """Row budget of an ingest: 333 rows, whatever the size of the batches."""
+    d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    path = _files(d, spark, "l4b", parts=8)
+    src = st.stream_source(spark, path + "/in", d.schema, max_bytes_per_trigger=1)
+    st.ingest_bounded(src, path + "/out", path + "/ckpt", 333, "doc_id").awaitTermination()
+    return spark.read.parquet(path + "/out").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Pins:
+    """Tables of an iterative fit, written in the shared checkpoint folder.
+
+    ``keep(df, name)`` writes ``df`` and reads it again; the version of that
+    name before it goes then. Unlike a checkpoint's, its size is that of its
+    files, so size estimates do not multiply from one iteration to the next. On
+    leaving the block all go; what is returned must be a checkpoint of its own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/pins-{uuid.uuid4().hex}"
+        self.version: dict[str, int] = {}
+
+    def keep(self, df, name: str):
+        n = self.version[name] = self.version.get(name, -1) + 1
+        path = f"{self.folder}/{name}-{n}"
+        df.write.parquet(path)
+        if n:
+            self._delete(f"{self.folder}/{name}-{n - 1}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc):
+        self._delete(self.folder)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint dir (survives executor
     loss, unlike a local checkpoint). What led to it is garbage afterwards;

@@ -1,8 +1,9 @@
 """Sources and sinks.
 
-The catalogue is read with ``multiLine`` because product names hold line breaks
-inside quotes; review files stay splittable unless asked otherwise. Schemas can
-be given explicitly (preferred at scale: no inference pass). Writers overwrite atomically per output folder.
+CSV files are read with ``multiLine``, as review texts and product names hold
+line breaks inside quotes; a file known to have none can be read in splits with
+``multi_line=False``. Schemas can be given explicitly (preferred at scale: no
+inference pass). Writers overwrite atomically per output folder.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from starlens.operators.joins import canonical_key
 
 
 def read_reviews(spark: SparkSession, path: str, schema=None, fmt: str | None = None,
-                 glob: str | None = None, multi_line: bool = False) -> DataFrame:
-    """A1: headered CSV (or parquet/json by extension or ``fmt``); A3 via ``glob``.
+                 glob: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A1: headered CSV (or parquet/json by extension or ``fmt``); A3 via ``glob``
+    on file names, or a pattern in ``path``.
 
     Give a schema where the data are large: without one a CSV is read once
-    more to infer it. Empty CSV fields are null. ``multi_line`` admits line breaks inside quotes, but a
-    file then is one task."""
+    more to infer it. Empty CSV fields are null. Line breaks inside quotes are
+    part of the field, and a file is one task; ``multi_line=False`` reads a file
+    in splits and is right only where no field has a line break."""
     fmt = fmt or ("parquet" if path.endswith(".parquet") else
                   "json" if path.endswith(".json") else "csv")
     reader = spark.read.format(fmt)
@@ -42,6 +45,13 @@ def read_catalog(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df.withColumn("name", canonical_key(F.col("name")))
 
 
+def find_inputs(spark: SparkSession, pattern: str) -> list[str]:
+    """A3: paths that match a glob pattern in any store Spark reads, sorted."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def select_input(paths: list[str], token: str) -> str | None:
     """A3: the first path whose file name contains ``token``."""
     return next((p for p in paths if token in p.rsplit("/", 1)[-1]), None)

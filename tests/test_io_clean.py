@@ -62,7 +62,7 @@ def test_near_dedup_and_emoji(spark):
     df = spark.createDataFrame([(1, "Hello, World!"), (2, "hello   world"), (3, "other"), (4, "👍"), (5, "👎"), (6, "!!!"),
                                 (7, None), (8, None), (9, "👍")], "review_id long, text string")
     assert sorted(r.review_id for r in cl.near_dedup(df).collect()) == [1, 3, 4, 5, 6, 7, 8]
-    emo = {"👍": " thumbs up ", "👍🏽": " tanned thumb ", "❤️": " heart "}
+    emo = spark.createDataFrame([("👍", " thumbs up "), ("👍🏽", " tanned thumb "), ("❤️", " heart ")], "emoji string, alias string")
     t = spark.createDataFrame([(1, "ok 👍!"), (2, "plain"), (2, "👍🏽❤️👍")], "review_id long, text string")
     assert sorted(r.text for r in cl.emoji_to_text(t, emo).collect() if r.review_id == 2) == [
         " tanned thumb  heart  thumbs up ", "plain"]
@@ -71,6 +71,52 @@ def test_near_dedup_and_emoji(spark):
     assert got == {1: "ok  thumbs up !", 2: "plain"}
 
 
+def test_near_dedup_rows_with_equal_and_without_keys(spark):
+    """Against plain Python: the row of lowest key per text, none lost, none twice."""
+    rows = [(1, "hello world", "a"), (1, "hello world", "a"), (1, "Hello, world", "b"), (3, "aaa", "x"), (2, "aaa", "y"),
+            (3, "bbb", "z"), (None, "only null", "p"), (None, "only null", "q"), (None, "aaa", "r"), (4, None, "s"),
+            (4, None, "s"), (None, None, "t")]
+    rows += [(k % 3, "hot text", str(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "review_id long, text string, extra string")
+    got = sorted(map(tuple, cl.near_dedup(df).collect()), key=repr)
+    assert len([r for r in got if r[1] is None]) == 3
+    by = {}
+    for r in got:
+        if r[1] is not None:
+            by.setdefault(r[1].lower().replace(",", ""), []).append(r)
+    assert {k: [r[0] for r in v] for k, v in by.items()} == {
+        "hello world": [1], "aaa": [2], "bbb": [3], "only null": [None], "hot text": [0]}
+    assert all(r in rows for r in got)
+    assert cl.near_dedup(df.limit(0)).count() == 0
+    plan = cl.near_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "WindowGroupLimit" in plan
+
+
+def test_emoji_longest_match(spark):
+    """3,000 aliases with overlapping sequences against plain Python."""
+    import random
+    rng = random.Random(11)
+    alphabet = [chr(0x1F600 + i) for i in range(60)] + ["\u2764", "\ufe0f", "\u200d", "#", "*", "[", "\\", "\U0001F3FD"]
+    table = {}
+    while len(table) < 3000:
+        table["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5)))] = f":{len(table)}:" + rng.choice(["", "\U0001F600", "$1"])
+    texts = [None, "", "plain", "a#b*c"] + ["".join(rng.choice(alphabet + ["x", " ", "é"]) for _ in range(rng.randint(1, 80))) for _ in range(150)]
+
+    def plain(t):
+        out, i = "", 0
+        while i < len(t):
+            n = next((n for n in range(5, 0, -1) if t[i:i + n] in table and i + n <= len(t)), 0)
+            out += table[t[i:i + n]] if n else t[i]
+            i += n or 1
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string")
+    emo = spark.createDataFrame([*table.items(), ("", "no"), (None, "no")], "emoji string, alias string")
+    got = {r.review_id: r.text for r in cl.emoji_to_text(df, emo).collect()}
+    assert got == {i: t if t is None else plain(t) for i, t in enumerate(texts)}
+    assert cl.emoji_to_text(df, emo.limit(0)).collect() == df.collect()
+
+
 def test_chunk_text(spark):
     df = spark.createDataFrame([(1, "abcdefghij"), (2, "")], "review_id long, text string")
     got = [(r.review_id, r.chunk_index, r.chunk) for r in

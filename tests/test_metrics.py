@@ -111,3 +111,32 @@ def test_counts_above_four_thousand_million(spark):
         assert mt.roc_auc(pts).first().auc == 1.0
     finally:
         mt._score_points = orig
+
+
+def test_groups_without_value(spark):
+    """Rows without label or cluster are a group of their own."""
+    from starlens.operators import metrics as mt
+    from starlens.operators import sampling as sp
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3, 1) for i in range(90)], "review_id long, star_label int, one int")
+    cum = mt.prefix_sums(df, ["star_label"], ["review_id"], ["one"]).collect()
+    assert len(cum) == 90 and sorted(r.cum_one for r in cum if r.star_label is None) == list(range(1, 31))
+    sizes = {(r.star_label, r.split): r["count"] for r in
+             sp.stratified_split(df, exact=True).groupBy("star_label", "split").count().collect()}
+    assert {sizes[(None, s)] for s in ("val", "test")} == {4, 5} and sizes[(None, "train")] == 21
+    assert sp.undersample(df.filter("star_label is null or review_id < 40")).filter("star_label is null").count() > 0
+
+
+def test_bounded_sample_by_cut(spark):
+    """The rows that sorting all of them by (hash, key) would give."""
+    import hashlib
+    from starlens.operators import sampling as sp
+    keys = list(range(500)) + [7] * 30 + [None] * 5
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "review_id long, t string")
+    order = sorted((hashlib.md5(f"42:{'' if k is None else k}".encode()).hexdigest(), -1 if k is None else k) for k in keys)
+    for n in (0, 1, 3, 50, 200, 400, 535, 600):
+        for few in (3, 10 ** 6):
+            got = sorted((hashlib.md5(f"42:{'' if r.review_id is None else r.review_id}".encode()).hexdigest(),
+                          -1 if r.review_id is None else r.review_id) for r in sp.bounded_sample(df, n, few=few).collect())
+            assert got == order[:n]
+    plan = sp.bounded_sample(df, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Exchange" not in plan
