@@ -11,9 +11,14 @@ through an exact positional prefix join: tokens are ordered rarest first and a
 pair is looked at once, at its first common token, if the tokens left can
 still reach the threshold. Links are confirmed on the full sets.
 
+Rows are told apart by id and a hash of the text, so rows without id and rows
+that share one are linked like all others.
+
 Edge cases: null or empty text has no shingle and is linked with nothing;
 fewer than five words are one shingle; repeated rows and repeated ids are rows
-of their own; a component's id is its least non-null id.
+of their own; a component's id is its least non-null id (null if it has none);
+texts are read whole, whatever their length; an empty table gives an empty
+result. Other columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ def _signatures(batches):
             keys = band_keys(super_minhash(n, row, h)).view("i8")
             bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, n), pa.array(size, pa.int64()), _rows(ids, n),
-                 bands.cast(pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "bands"])
+                [b.column(0).slice(i, n), b.column(2).slice(i, n), pa.array(size, pa.int64()), _rows(ids, n),
+                 bands.cast(pa.list_(pa.int64()))], ["doc_id", "text_id", "n", "set_id", "bands"])
 
 
 def _full_sets(batches):
@@ -91,20 +96,27 @@ def _prefix_pairs(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> Dat
              .select(F.col("x.set_id").alias("u"), F.col("y.set_id").alias("v")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    threshold: int = THRESHOLD) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def text_id():
+    return F.unhex(F.md5("text"))
+
+
+def _linked(docs: DataFrame, threshold: int) -> DataFrame:
+    """Per row of (doc_id, text): ``doc_id``, ``text_id``, ``n`` shingles,
+    ``root`` of its group (null without shingles), ``component_id``."""
+    docs = docs.select("doc_id", "text", text_id().alias("text_id"))
     rows = cut_lineage(docs.mapInArrow(
-        _signatures, "doc_id long, n long, set_id binary, bands array<long>"))
-    classes = rows.filter("n > 0").groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"))
+        _signatures, "doc_id long, text_id binary, n long, set_id binary, bands array<long>"))
+    # A class's sets are made from one of its texts.
+    classes = rows.filter("n > 0").groupBy("set_id", "n").agg(
+        F.min("doc_id").alias("rep"), F.min(F.struct("text_id", "doc_id")).alias("source"))
     buckets = (rows.filter("n > 0").groupBy("set_id").agg(F.first("bands").alias("bands"))
                    .select("set_id", F.explode("bands").alias("key")))
     leads = (buckets.groupBy("key").agg(F.min("set_id").alias("lead"), F.count("*").alias("c"))
                     .filter("c > 1").drop("c"))
     members = cut_lineage(buckets.join(leads, "key"))
-    needed = members.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
-    sets = (docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    needed = members.select("set_id").distinct().join(classes.select("set_id", "source"), "set_id")
+    source = needed.select(F.col("source.text_id").alias("__text"), F.col("source.doc_id").alias("__doc"))
+    sets = (docs.join(source, (F.col("text_id") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
                 .mapInArrow(_full_sets, "set_id binary, n long, hashes array<long>")
                 .join(needed.select("set_id"), "set_id", "left_semi")
                 .groupBy("set_id", "n").agg(F.first("hashes").alias("hashes")))
@@ -125,19 +137,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = (classes.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left")
                        .select("set_id", "rep", F.coalesce("root", "set_id").alias("root")))
     least = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(least, "root").select("set_id", "component_id")
-    out = rows.select("doc_id", "n", "set_id").join(named, "set_id", "left")
-    comp_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp_id.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(comp_id).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that lead their group, one per group (a repeated
-    row goes once; rows without an id stay with a kept row without one)."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return (docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-                .dropDuplicates(["doc_id", "text"]))
+    named = of_class.join(least, "root").select("set_id", "root", "component_id")
+    out = rows.select("doc_id", "text_id", "n", "set_id").join(named, "set_id", "left")
+    return out.select("doc_id", "text_id", "n", "root",
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = _linked(docs, threshold)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that lead their group, one per group: the least
+    id (rows without id last), then the least hash of the text; of repeated
+    rows one. Rows without shingles all stay."""
+    linked = _linked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id"))
+    lead = linked.filter("n > 0").groupBy("root").agg(first.alias("l"))
+    lead = lead.select(F.col("l.doc_id").alias("__lead"), F.col("l.text_id").alias("__lead_text"))
+    rows = docs.withColumn("__text", text_id())
+    kept = rows.join(lead, F.col("doc_id").eqNullSafe(F.col("__lead")) & (F.col("__text") == F.col("__lead_text")), "left_semi")
+    wordless = rows.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.dropDuplicates(["doc_id", "__text"]).unionByName(wordless).drop("__text")
 
 
 def op8_near_dedup(spark, sf_dir):
