@@ -12,10 +12,16 @@ base64 run and an archive map as a whole.
 Unpacked data is read in pieces of ``PIECE`` bytes that overlap by
 ``OVERLAP``, each worked off before the next, so a small run that unpacks to
 gigabytes stays in bounded memory and is still scanned to its end; an archive
-inside it is unpacked in a pass of its own.
-
-Edge cases: null or empty text has no spans; malformed escapes, base64 or
-archives stay as they are; repeated rows give equal results.
+inside it is unpacked in a pass of its own. A base64, percent or backslash run
+that reaches the end of a piece is carried over whole, so a border does not
+shift it; one of more than ``CARRY`` bytes is cut where all codes are in step
+(60 characters from its start, or at a line).
+
+Edge cases: null or empty text has no spans, an empty table no rows; malformed
+escapes, base64 or archives stay as they are; repeated rows give equal results;
+texts of any length are read whole. Columns named ``base_spans`` and
+``all_spans`` are replaced by ``find_secrets``; ``redact_secrets`` keeps all
+columns of its input.
 """
 
 from __future__ import annotations
@@ -29,12 +35,13 @@ import zlib
 from bisect import bisect_right
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-PIECE, OVERLAP = 4 << 20, 4 << 10
+PIECE, OVERLAP, CARRY = 4 << 20, 4 << 10, 16 << 20
 _HINTS = ("passw", "secret", "token", "api")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.IGNORECASE | re.ASCII)
@@ -49,7 +56,15 @@ _SIMPLE = dict(zip("abfnrtv0'\"\\", b"\a\b\f\n\r\t\v\0'\"\\"))
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
-_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|x[\x01\x5e\x9c\xda]")
+#: The two bytes that may begin zlib data: deflate in any window, check bits right, no preset dictionary.
+_ZLIB = b"|".join(re.escape(bytes([c, f])) for c in range(0x08, 0x80, 0x10) for f in range(256)
+                  if (c * 256 + f) % 31 == 0 and not f & 32)
+_ARCHIVE = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|" + _ZLIB)
+#: Bytes of which runs consist that may go on in the next piece.
+_HEXDIGITS = b"0123456789abcdefABCDEF"
+_IN_RUNS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", b"%" + _HEXDIGITS,
+            b"\\{}xuUabfnrtv0'\"" + _HEXDIGITS)
+_BETWEEN_LINES = _IN_RUNS[0] + b"= \t\r\n"
 _BINARY = re.compile(r"[\x00-\x08\x0e-\x1f\udc80-\udcff]")
 
 
@@ -183,26 +198,39 @@ def _unpacks(data):
 def _archives(data):
     """Places where an archive begins; the two bytes of zlib count if what follows unpacks."""
     return [m.start() for m in _ARCHIVE.finditer(data)
-            if m[0][:1] != b"x" or _unpacks(data[m.start():m.start() + 1024])]
+            if len(m[0]) > 2 or _unpacks(data[m.start():m.start() + 1024])]
+
+
+def _byte_starts(layer):
+    """Bytes of ``_raw(layer)`` before each of its characters."""
+    points = np.frombuffer(layer.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    size[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    return np.cumsum(size) - size
 
 
-def _chars(raw, at):
-    """Characters of ``_text(raw)`` that begin before byte ``at``."""
-    for j in range(1, min(3, at) + 1):
-        c = raw[at - j]
-        size = 4 if c >= 0xF0 else 3 if c >= 0xE0 else 2 if c >= 0xC0 else 1
-        if size > j and len(_text(raw[at - j:at - j + size])) == 1:
-            return len(_text(raw[:at - j])) + 1
-    return len(_text(raw[:at]))
+def _carried(piece):
+    """Where the part of ``piece`` begins that the next piece repeats."""
+    at = max(0, len(piece) - OVERLAP)
+    run = min(len(piece.rstrip(x)) for x in _IN_RUNS)
+    start = min(at, run, len(piece.rstrip(_BETWEEN_LINES)))
+    if len(piece) - start <= CARRY:
+        return start
+    if run < at:
+        return run + (at - run) // 60 * 60
+    line = piece.rfind(b"\n", start, at + 1)
+    return line + 1 if line >= 0 else at
 
 
 def _readings(raw):
     """Texts that bytes may stand for: UTF-8, where other bytes are kept as
-    surrogates and ASCII around them survives, and UTF-16 if there is a null byte."""
+    surrogates and ASCII around them survives, and UTF-16 from an even or odd
+    byte on if there is a null byte."""
     yield _text(raw)
     if b"\0" in raw:
-        yield raw.decode("utf-16-le", "replace")
-        yield raw.decode("utf-16-be", "replace")
+        for start in (0, 1):
+            yield raw[start:].decode("utf-16-le", "replace")
+            yield raw[start:].decode("utf-16-be", "replace")
 
 
 def _runs(layer):
@@ -270,8 +298,9 @@ def scan(text: str | None) -> tuple[list, list]:
 
     def read_escaped(layer, place):
         raw = _raw(layer)
-        free = 0
-        for start in _archives(raw):
+        free, found = 0, _archives(raw)
+        starts, last = _byte_starts(layer) if found else None, None
+        for start in found:
             if start < free:
                 continue
             members = _Members()
@@ -279,8 +308,13 @@ def scan(text: str | None) -> tuple[list, list]:
                 pass
             free = members.end
             # A damaged archive reaches to the last byte that is no text.
-            end = _chars(raw, free) if free else max((m.end() for m in _BINARY.finditer(layer)), default=0)
-            here = place(_chars(raw, start), max(min(end, len(layer)), _chars(raw, start) + 1))
+            first = int(np.searchsorted(starts, start))
+            if free:
+                end = int(np.searchsorted(starts, free))
+            else:
+                last = max((m.end() for m in _BINARY.finditer(layer)), default=0) if last is None else last
+                end = last
+            here = place(first, max(min(end, len(layer)), first + 1))
             yield partial(read_bytes, partial(_unpacked, lambda: [raw], start, members), here)
 
     def read_bytes(chunks, here):
@@ -292,7 +326,7 @@ def scan(text: str | None) -> tuple[list, list]:
                 if layer and fresh("text", digest(layer), here):
                     yield partial(read_text, layer, lambda s, e: here)
             found.update(dict.fromkeys(at - len(tail) + a for a in _archives(piece)))
-            tail, at, n = piece[-OVERLAP:], at + len(chunk), n + 1
+            tail, at, n = piece[_carried(piece):], at + len(chunk), n + 1
         if found and fresh("bytes", whole.digest(), here):
             again, members = chunks if n > 1 else lambda: [piece], _Members()
             for start in found:
@@ -310,6 +344,9 @@ def scan(text: str | None) -> tuple[list, list]:
     return sorted(base, key=order), sorted(spans, key=order)
 
 
+SPAN = "array<struct<kind:string,start:int,end:int>>"
+
+
 def _scan_batches(batches):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
@@ -321,9 +358,6 @@ def _scan_batches(batches):
                                              [*part.schema.names, "base_spans", "all_spans"])
 
 
-SPAN = "array<struct<kind:string,start:int,end:int>>"
-
-
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans`` (kind, start, end in code points)."""
     docs = docs.drop("base_spans", "all_spans")
@@ -331,20 +365,40 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_scan_batches, f"{schema}, base_spans {SPAN}, all_spans {SPAN}")
 
 
+def without_spans(text, spans, mark):
+    """``text`` with ``mark`` for every span; spans that overlap one before are part of it."""
+    parts, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def _redacted(mark, has_count):
+    def run(batches):
+        for b in batches:
+            names, at = b.schema.names, b.schema.get_field_index("text")
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = part.column(at).to_pylist()
+                spans = [scan(t)[1] for t in texts]
+                texts = [without_spans(t, s, mark) if s else t for t, s in zip(texts, spans)]
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, part.column(at).type)
+                if has_count:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([len(t) if s else c for t, s, c in zip(texts, spans, part.column(k).to_pylist())],
+                                          part.column(k).type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span cut out of ``text`` and ``mark`` put in
     its place (overlapping spans once); ``n_chars``, if there, is counted anew."""
-    found = find_secrets(docs)
-    cut = F.expr(
-        f"aggregate(all_spans, named_struct('at', 0, 'parts', cast(array() as array<string>)), (acc, x) -> named_struct("
-        f"'at', greatest(acc.at, x.end), 'parts', if(x.start >= acc.at, "
-        f"concat(acc.parts, array(substring(text, acc.at + 1, x.start - acc.at), '{mark}')), acc.parts)), "
-        f"acc -> concat(array_join(acc.parts, ''), substring(text, acc.at + 1)))")
-    text = F.when(F.size("all_spans") > 0, cut).otherwise(F.col("text"))
-    cols = {"text": text}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.size("all_spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    return docs.mapInArrow(_redacted(mark, "n_chars" in docs.columns), docs.schema)
 
 
 def joined(spans):

@@ -6,6 +6,7 @@ import re
 import urllib.parse
 import zlib
 
+from starlens.llm import secrets
 from starlens.llm.secrets import find_secrets, redact_secrets, scan
 
 SLOW = {"assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -87,5 +88,57 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, t, "x", 5), (2, None, "y", 0), (2, None, "y", 0), (3, "", "z", 0)],
                                "doc_id long, text string, all_spans string, n_chars long")
     assert find_secrets(df).count() == 4 and find_secrets(df.limit(0)).count() == 0
-    out = {r.doc_id: r for r in redact_secrets(df.drop("all_spans")).collect()}
+    out = {r.doc_id: r for r in redact_secrets(df).collect()}
+    assert {r.all_spans for r in out.values()} == {"x", "y", "z"} and redact_secrets(df).schema == df.schema
     assert out[1].text == "É [SECRET] and [SECRET] x" and out[1].n_chars == 25 and out[2].text is None
+
+
+def test_runs_over_piece_borders(monkeypatch):
+    """A coded secret cut by a border of the pieces, at every alignment."""
+    monkeypatch.setattr(secrets, "PIECE", 1 << 14)
+    noise = random.Random(2).randbytes(3000).replace(b"=", b".")
+    raw = noise + b" password=hunter2hunter2 " + noise
+    plain = random.Random(3).choices(b"., ;!?()", k=1 << 14)
+    runs = {"base64": base64.b64encode(raw), "lines": base64.encodebytes(raw), "url": b"".join(b"%%%02X" % b for b in raw),
+            "escape": b"".join(b"\\x%02x" % b for b in raw), "unicode": b"".join(b"\\u%04x" % b for b in raw)}
+    for name, run in runs.items():
+        for shift in range(8):
+            for room in (len(run) // 2, 40, len(run) - 40):
+                data = bytes(plain[:(1 << 14) - room + shift]) + run + b"." + bytes(plain[:100])
+                t = f"É {base64.b64encode(zlib.compress(data)).decode()} end"
+                assert scan(t)[1] == [("assign", 2, len(t) - 4)], (name, shift, room)
+
+
+def test_very_long_runs(monkeypatch):
+    """Runs beyond the bound are cut where the codes are in step."""
+    monkeypatch.setattr(secrets, "PIECE", 1 << 14)
+    monkeypatch.setattr(secrets, "CARRY", 1 << 14)
+    for at in range(40_000, 40_012):
+        raw = b"x" * at + b" password=hunter2hunter2 " + b"y" * 30_000
+        for run in (base64.b64encode(raw), base64.encodebytes(raw), b"".join(b"%%%02X" % b for b in raw)):
+            t = base64.b64encode(zlib.compress(b"., " + run)).decode()
+            assert scan(t)[1] == [("assign", 0, len(t))], at
+
+
+def test_windows_and_utf16():
+    secret = b"password=hunter2hunter2"
+    for bits in range(9, 16):
+        packer = zlib.compressobj(wbits=bits)
+        raw = packer.compress(secret * 3) + packer.flush()
+        t = base64.b64encode(raw).decode()
+        assert scan(t)[1] == [("assign", 0, len(t))], bits
+    for code in ("utf-16-le", "utf-16-be"):
+        for shift in (b"", b"\0", b"ab", b"abc"):
+            t = base64.b64encode(shift + "é password=hunter2hunter2".encode(code)).decode()
+            assert scan(t)[1] == [("assign", 0, len(t))], (code, shift)
+
+
+def test_many_archives_and_spans():
+    """Time in proportion: thousands of archives and of spans in one text."""
+    import time
+    run = "".join(f"%{b:02x}" for b in gzip.compress(b"password=hunter2hunter2"))
+    t0 = time.process_time()
+    assert len(scan(" ".join([run] * 3000))[1]) == 3000
+    text = "token=abcdefabcdefxyz " * 50_000
+    assert secrets.without_spans(text, scan(text)[1], "[S]") == "[S] " * 50_000
+    assert time.process_time() - t0 < 30
