@@ -14,6 +14,7 @@ from starlens.operators import sampling as sp
 from starlens.operators import sparse_models as sm
 from starlens.operators.audit import add_class_weight
 from starlens.operators.clean import clean_reviews
+from starlens.operators.scorers import length_scorer
 from starlens.plans.audit import scored_reviews, tfidf_featurizer, tfidf_lr_model
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.q_audit import audit_sql
@@ -174,18 +175,6 @@ def j5_fit_table(spark, sf):
                                  "n_docs long, n_terms long, reached boolean")
 
 
-def _length_scorer():
-    """A small numpy model: logits from the number of characters."""
-    import numpy as np
-
-    def score(texts):
-        n = np.array([len(t) for t in texts])
-        z = np.exp(np.stack([n % 7 / 4, n % 5 / 4, n % 3 / 2], axis=1))
-        return z / z.sum(axis=1, keepdims=True)
-
-    return score
-
-
 @register("j7_score_reviews_scorer", audit_sql("""
 SELECT review_id, text, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 'Negative' WHEN e1 >= e2 THEN 'Neutral' ELSE 'Positive' END AS model_sentiment,
        round(greatest(e0, e1, e2) / (e0 + e1 + e2), 6) AS model_confidence, round(e0 / (e0 + e1 + e2), 6) AS prob_negative,
@@ -196,7 +185,7 @@ FROM (SELECT *, exp(length(text) % 7 / 4.0::DOUBLE) AS e0, exp(length(text) % 5
 def j7_score_reviews_scorer(spark, sf):
     """Batch inference through a given scorer, made once per worker."""
     df = scored_reviews(fx.reviews_raw(spark, sf), fx.lexicon(spark))
-    return rounded(md.score_reviews(df, make_scorer=_length_scorer, name="length"))
+    return rounded(md.score_reviews(df, make_scorer=length_scorer, name="length"))
 
 
 @register("j5_fit_sentiment_lr")
