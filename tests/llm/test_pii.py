@@ -89,3 +89,30 @@ def test_thresholds_from_all_rows(spark, monkeypatch):
         held = [r for r in own if r.o not in set(used)]
         reach = [s for s in {r.s for r in held} if sum(r.label for r in held if r.s >= s) >= pii.PRECISION * sum(r.s >= s for r in held)]
         assert red.thresholds[kind] == min(reach), kind
+
+
+def test_labels_by_definition(spark):
+    """A proposal is known if a base span of its kind lies in it."""
+    rng = random.Random(9)
+    bits = ["a@b.cc ", "a (at) b (dot) cc ", "1.2.3.4 ", "300.1.1.1 ", "1 . 2 . 3 . 4 ", "4111 1111 1111 1111 ", "4111.1111.1111.1111 ",
+            "+1 555 010 9999 ", "555-010-9999 ", "x ", "a@b.c@d.e ", "ab:cd:ef:01:23 ", "+"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = set()
+    for r in candidates(df).collect():
+        for p in r.p:
+            want = any(b.kind == p.kind and b.start >= p.start and b.end <= p.end for b in r.base)
+            assert p.label == want, texts[r.doc_id]
+            seen.add((p.kind, want))
+    assert len(seen) >= 7
+
+
+def test_many_matches_in_one_text(spark):
+    """Time in proportion: a hundred thousand addresses and numbers in one text."""
+    import time
+    df = spark.createDataFrame([(1, "a@b.cc 10.0.0.1 " * 50_000), (2, "a@b.cc")], "doc_id long, text string")
+    t0 = time.time()
+    rows = {r.doc_id: r for r in find_pii(df).selectExpr("doc_id", "size(base_spans) n", "size(all_spans) m",
+                                                         "get(base_spans, 99999) last").collect()}
+    assert rows[1].n == rows[1].m == 100_000 and (rows[1]["last"].start, rows[1]["last"].end) == (799_991, 799_999)
+    assert rows[2].n == 1 and time.time() - t0 < 60
