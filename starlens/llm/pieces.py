@@ -7,13 +7,15 @@ fall back to byte pieces.
 
 No piece of such a vocabulary has a word mark after another character (checked
 when it is loaded), so merges never leave a unit of marks and the word after
-them: texts are cut into these units, equal units are encoded once, short ones
-together as numpy rows of one length, each popping its best pair per round,
-long ones by a heap. Every new unit is checked against the sentencepiece
-library, batch by batch; a difference raises.
+them: texts are cut into these units, equal units are encoded once while a
+worker remembers them, short ones together as numpy rows of one length, each
+popping its best pair per round, long ones by a heap. Every new unit is checked
+against the sentencepiece library, batch by batch; a difference raises.
 
 Edge cases: null or empty text has no ids and decodes to an empty text; any
-code point is encoded (bytes); repeated rows give equal results.
+code point is encoded (bytes); repeated rows give equal results; an empty table
+gives an empty result; texts of any length are read whole. Input columns named
+``ids`` and ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -26,11 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starlens.llm.alignment import ranges
+from starlens.llm.shingles import blocks, flat
+from starlens.llm.worker import kept
+
 MARK = "\u2581"
 SHORT = 40                 # units up to so many characters are encoded together
-BLOCK = 1 << 20            # characters whose new units are encoded at once
-CACHE = 300_000            # units remembered in a task before it starts afresh
+BLOCK = 1 << 20            # bytes of texts whose new units are encoded at once
+CACHE = 400_000            # units that a worker remembers
+LONGEST = 200              # characters of a unit that outlives a shrinking of the memory
+CHECKED = 200              # units compared with the library in one text
 NONE = np.iinfo(np.int32).max
+SLOT_BITS, HASH = 19, np.uint64(0x9E3779B97F4A7C15)      # table of merges
 
 
 class MergeVocabulary:
@@ -76,9 +85,7 @@ class MergeVocabulary:
                 if a is not None and b is not None:
                     merges[a * self.width + b] = (rank[i], i)
         self.merges = merges
-        self.keys = np.array(sorted(merges), np.int64)
-        self.rank = np.array([merges[k][0] for k in self.keys], np.int32)
-        self.into = np.array([merges[k][1] for k in self.keys], np.int32)
+        self._fill_slots()
         self.split = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def units(self, text: str) -> list[str]:
@@ -118,13 +125,35 @@ class MergeVocabulary:
         return [s for s, ok in zip(sym, alive) if ok]
 
     def _look(self, a, b):
-        key = a.astype(np.int64) * self.width + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = (self.keys[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(ok, self.rank[at], NONE), np.where(ok, self.into[at], -1)
-
-    def together(self, rows: np.ndarray) -> list[list[int]]:
-        """Merges of strings of one length; every round pops each row's best pair."""
+        """Rank and symbol of pairs: one probe of an open hash table settles most."""
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.width + b, -2)
+        slot = ((key.astype(np.uint64) * HASH) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.slot_key[slot]
+        open_ = np.nonzero((held != key) & (held != -1))
+        while len(open_[0]):
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOT_BITS) - 1)
+            now = self.slot_key[slot[open_]]
+            more = (now != key[open_]) & (now != -1)
+            open_ = tuple(x[more] for x in open_)
+        ok = self.slot_key[slot] == key
+        return np.where(ok, self.slot_rank[slot], NONE), np.where(ok, self.slot_into[slot], -1)
+
+    def _fill_slots(self) -> None:
+        n = 1 << SLOT_BITS
+        if 2 * len(self.merges) > n:
+            raise ValueError("the vocabulary has too many merges for the table")
+        self.slot_key = np.full(n, -1, np.int64)
+        self.slot_rank, self.slot_into = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        key = np.array(list(self.merges), np.int64)
+        value = np.array(list(self.merges.values()), np.int32).reshape(-1, 2)
+        slot = ((key.astype(np.uint64) * HASH) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        for k, v, at in zip(key.tolist(), value.tolist(), slot.tolist()):
+            while self.slot_key[at] != -1:
+                at = (at + 1) & (n - 1)
+            self.slot_key[at], self.slot_rank[at], self.slot_into[at] = k, v[0], v[1]
+
+    def together(self, rows: np.ndarray) -> list[tuple]:
+        """Ids of strings of one length; every round pops each row's best pair."""
         out: list = [None] * len(rows)
         which, s = np.arange(len(rows)), rows
         r, into = self._look(s[:, :-1], s[:, 1:])
@@ -135,8 +164,10 @@ class MergeVocabulary:
                 p = r.argmin(axis=1)
                 at = np.arange(len(s))
                 done = r[at, p] == NONE
-            for k, ids in zip(which[done].tolist(), s[done].tolist()):
-                out[k] = ids
+            final = s[done]
+            plain = ((final >= 0) & (final < self.size)).all(axis=1).tolist()
+            for k, ids, ok in zip(which[done].tolist(), final.tolist(), plain):
+                out[k] = tuple(ids) if ok else self.finish(ids)
             if done.all():
                 break
             go = ~done
@@ -174,8 +205,7 @@ class MergeVocabulary:
             else:
                 got[u] = self.finish(self.agenda(self.symbols([u])[0].tolist()))
         for own in groups.values():
-            for u, sym in zip(own, self.together(self.symbols(own))):
-                got[u] = self.finish(sym)
+            got.update(zip(own, self.together(self.symbols(own))))
         return got
 
     def decode(self, ids) -> str:
@@ -189,46 +219,83 @@ class MergeVocabulary:
         """Compare new units with the library: encoding and decoding."""
         plain = [u for u in got if not u.startswith(MARK) and u]
         other = [u for u in got if u.startswith(MARK) or not u]
-        jobs = [(" ".join(plain), list(chain.from_iterable(got[u] for u in plain)), "".join(texts[u] for u in plain))]
+        parts = [plain[i:i + CHECKED] for i in range(0, len(plain), CHECKED)]     # its agenda is slow on long texts
+        jobs = [(" ".join(p), list(chain.from_iterable([got[u] for u in p])), "".join([texts[u] for u in p])) for p in parts]
         jobs += [(u.replace(MARK, " "), list(got[u]), texts[u]) for u in other if u]
         for text, ids, decoded in jobs:
             if text and (self.library.encode(text) != ids or self.library.decode(ids) != decoded[1:]):
                 raise AssertionError(f"differs from the library near {text[:80]!r}")
 
 
+class Remembered:
+    """Units by number: their ids in one flat array, their text, whether it is
+    the unit itself, and how often each was met. Beyond CACHE units the half
+    met most often is kept."""
+
+    def __init__(self, voc: MergeVocabulary):
+        self.voc, self.number, self.texts = voc, {}, []
+        self.ptr, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.same, self.met = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        """New units are encoded and checked."""
+        got = self.voc.encode_units(new)
+        decoded = {u: self.voc.decode(x) for u, x in got.items()}
+        self.voc.check(got, decoded)
+        self.number.update((u, len(self.texts) + k) for k, u in enumerate(new))
+        self.texts += [decoded[u] for u in new]
+        size = np.fromiter((len(got[u]) for u in new), np.int64, len(new))
+        ids = np.fromiter(chain.from_iterable([got[u] for u in new]), np.int32, int(size.sum()))
+        self.ptr = np.r_[self.ptr, self.ptr[-1] + np.cumsum(size)]
+        self.flat = np.r_[self.flat, ids]
+        self.same = np.r_[self.same, np.fromiter((decoded[u][1:] == u for u in new), bool, len(new))]
+        self.met = np.r_[self.met, np.zeros(len(new), np.int64)]
+
+    def shrink(self) -> None:
+        if len(self.texts) <= CACHE:
+            return
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:CACHE // 2])
+        size = np.diff(self.ptr)[keep]
+        place = dict(zip(keep.tolist(), range(len(keep))))
+        self.flat = self.flat[ranges(self.ptr[keep], size)]
+        self.ptr = np.r_[0, np.cumsum(size)]
+        self.texts = [self.texts[k] for k in place]
+        self.number = {u: place[k] for u, k in self.number.items() if k in place and len(u) <= LONGEST}
+        self.same, self.met = self.same[keep], self.met[keep] // 2
+
+
 def _encoder(model: bytes):
     def run(batches):
-        voc, cache = MergeVocabulary(model), {}
+        key = hash(model)
+        voc = kept("pieces", key, lambda: MergeVocabulary(model))
+        known = kept("remembered", key, lambda: Remembered(voc))
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
-                    size += len(texts[j])
-                    j += 1
-                cut = [voc.units(t) for t in texts[i:j]]
-                new = list(set(chain.from_iterable(cut)).difference(cache))
+            column = b.column(b.schema.get_field_index("text"))
+            _, off = flat(column)
+            for i, j in blocks(off, BLOCK):
+                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+                cut = [voc.units(t) for t in texts]
+                new = list(set(chain.from_iterable(cut)).difference(known.number))
                 if new:
-                    if len(cache) + len(new) > CACHE:
-                        cache = {}
-                        new = list(set(chain.from_iterable(cut)))
-                    got = voc.encode_units(new)
-                    decoded = {u: voc.decode(x) for u, x in got.items()}
-                    voc.check(got, decoded)
-                    cache.update((u, (x, decoded[u])) for u, x in got.items())
-                ids, ends, back = [], [0], []
-                for units in cut:
-                    own = [cache[u] for u in units]
-                    ids.extend(chain.from_iterable([x[0] for x in own]))
-                    ends.append(len(ids))
-                    back.append("".join([x[1] for x in own])[1:])
+                    known.learn(new)
+                n = np.fromiter(map(len, cut), np.int64, len(cut))
+                seq = np.fromiter(map(known.number.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+                known.met += np.bincount(seq, minlength=len(known.met))
+                size = known.ptr[seq + 1] - known.ptr[seq]
+                ids = known.flat[ranges(known.ptr[seq], size)]
+                ends = np.r_[0, np.cumsum(n)]
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)][ends].astype(np.int32), pa.array(ids))
+                odd = np.r_[0, np.cumsum(~known.same[seq])][ends]
+                back = []
+                for k, t in enumerate(texts):
+                    if odd[k] != odd[k + 1] or MARK in t:        # else every unit comes back as it was
+                        t = "".join([known.texts[x] for x in seq[ends[k]:ends[k + 1]].tolist()])[1:]
+                    back.append(t)
                 part = b.slice(i, j - i)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 keep = [k for k, name in enumerate(part.schema.names) if name != "text"]
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keep], lists, pa.array(back, pa.string())],
                                                  [*[part.schema.names[k] for k in keep], "ids", "decoded"])
-                i = j
+                known.shrink()
 
     return run
 
