@@ -73,6 +73,7 @@ def product_sections(df: DataFrame, sentiment: str = "sentiment", k: int = 3,
     j = tw.join(texts, list(by), "left")
     praise = F.coalesce("praise", F.lit(""))
     complaints = F.coalesce("complaints", F.lit(""))
+    # The wording of a section and of the worst product's line.
     section = F.concat(
         F.lit("PRODUCT: "), F.col(name), F.lit("\nAvg Rating : "), fmt_fixed(F.col("avg_rating"), 1),
         F.lit("/5  |  Total Reviews: "), F.col("review_count").cast("string"),
@@ -103,6 +104,7 @@ def cluster_context(df: DataFrame, sentiment: str = "sentiment", k: int = 3,
     per = secs.groupBy(cluster).agg(
         F.array_join(F.transform(ordered, lambda s: s["section"]), "\n---\n").alias("block"),
         worst.alias("w"))
+    # The headings of a cluster's context.
     ctx = F.concat(F.lit("=== TOP PRODUCTS DATA ===\n"), F.col("block"),
                    F.lit("\n\n=== WORST PRODUCT DATA ===\nPRODUCT: "), F.col("w." + name),
                    F.lit("\n"), F.col("w.worst_line"), F.lit("\nCustomer complaints:\n"),

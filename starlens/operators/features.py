@@ -1,8 +1,9 @@
 """Text features (J1-J3, J11, J12) as long tables.
 
-Plan: per-row tokenisation and term counts (no shuffle), pinned -> ``explode``
--> document frequencies ``groupBy(term)`` (map-side first) -> vocabulary, cut
-to ``max_features`` rows if asked -> join on the term -> TF-IDF with a
+Plan: hash places of all term occurrences -> bitmap of those used by two
+documents -> occurrences that pass it, counted per document and pinned ->
+document frequencies ``groupBy(term)`` (map-side first) -> vocabulary, cut to
+``max_features`` rows if asked -> join on the term -> TF-IDF with a
 per-document L2 norm.
 
 TF-IDF definition: ``(1 + ln tf) * (ln((1 + N) / (1 + df)) + 1)``, then L2
@@ -137,12 +138,52 @@ def term_frequencies(docs: DataFrame, key: str = "review_id") -> DataFrame:
     return c.select(key, "c.term", "c.tf")
 
 
+#: Hash places of ``repeated_places``: 2^27 bits are 16 MB, whatever the corpus.
+PLACE_BITS = 27
+
+
+def _occurrences(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, __row, __t, __n, __which, __place): a row per unigram (which 0)
+    and bigram (which 1) occurrence, with its hash place; the bigram's text is
+    not made yet. Tokens and their followers are zipped within the row."""
+    toks = F.col("__toks")
+    out = df.select(key, F.monotonically_increasing_id().alias("__row"), word_tokens(F.col(text)).alias("__toks"))
+    out = out.select(key, "__row", F.explode_outer(F.arrays_zip(toks.alias("t"), F.slice(toks, F.lit(2), F.size(toks)).alias("n"))).alias("p"))
+    out = out.filter("p.t is not null").select(key, "__row", F.col("p.t").alias("__t"), F.col("p.n").alias("__n"))
+    places = F.array(F.xxhash64("__t"), F.when(F.col("__n").isNotNull(), F.xxhash64("__t", "__n")))
+    out = out.select(key, "__row", "__t", "__n", F.posexplode(places).alias("__which", "__place"))
+    return out.filter("__place is not null").withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+
+
+def repeated_places(occurrences: DataFrame) -> DataFrame:
+    """(slot, bits array<long>): a bitmap of the hash places that more than one
+    row uses, as at most 2^27 / 4096 rows of 64 words. A term of two documents
+    or more has its bit set; one of a single document mostly has not."""
+    used = occurrences.groupBy("__place").agg(F.min("__row").alias("lo"), F.max("__row").alias("hi")).filter("lo < hi")
+    words = used.groupBy(F.shiftright("__place", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(__place & 63 as int))")).alias("bits"))
+    own = words.groupBy(F.shiftright("w", 6).alias("slot")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.expr("cast(w & 63 as int)"), "bits"))).alias("m"))
+    return own.select("slot", F.transform(F.sequence(F.lit(0), F.lit(63)),
+                                          lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
+
+
 def counted_terms(df: DataFrame, text: str = "text", key: str = "review_id") -> tuple[DataFrame, int]:
-    """(term frequencies, number of documents), each text tokenised once: the
-    per-document counts are pinned, then vocabulary and weights read them."""
+    """((key, __row, term, tf), number of documents) without the terms of a
+    single document, for a vocabulary of ``min_df`` 2 or more.
+
+    Most terms of a corpus occur in one document. A bitmap of bounded size,
+    made from hashes alone, lets only terms through that may occur in two; these
+    rows, and no others, are dealt out once, by document, and pinned."""
     from starlens.session import cut_lineage
-    docs = cut_lineage(document_terms(df, text, key))
-    return term_frequencies(docs, key), docs.count()
+    rows = _occurrences(df, text, key)
+    seen = F.broadcast(repeated_places(rows))                       # bounded: 16 MB
+    rows = rows.join(seen, F.shiftright("__place", 12) == F.col("slot")).filter(
+        F.expr("getbit(get(bits, cast(shiftright(__place, 6) & 63 as int)), cast(__place & 63 as int)) = 1"))
+    term = F.when(F.col("__which") == 0, F.col("__t")).otherwise(F.concat_ws(" ", "__t", "__n"))
+    counts = (rows.select(key, "__row", term.alias("term")).repartition("__row")
+                  .groupBy("__row", key, "term").agg(F.count("*").alias("tf")))
+    return cut_lineage(counts), df.count()
 
 
 def vocabulary(tf: DataFrame, n_docs: int, max_features: int | None = None, min_df: int = 2,
@@ -178,22 +219,24 @@ def vocabulary(tf: DataFrame, n_docs: int, max_features: int | None = None, min_
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "review_id") -> DataFrame:
-    """L2-normalised sublinear TF-IDF weights, long table (key, term, weight)."""
+    """L2-normalised sublinear TF-IDF weights, long table (key, term, weight).
+    Rows of ``counted_terms`` lie by document already, so with a vocabulary that
+    is broadcast the norm needs no exchange."""
     v = vocab.select("term", "df", "term_index")
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    w = tf.join(v, "term").select(key, "term", "term_index",
+    doc = "__row" if "__row" in tf.columns else key
+    w = tf.join(v, "term").select(key, *({doc} - {key}), "term", "term_index",
                                   ((F.lit(1.0) + F.log(F.col("tf"))) * idf).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return w.select(key, "term", "term_index", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
                 max_features: int | None = None, min_df: int = 2, max_df: float = 0.95):
     """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
-
-    Terms are counted within the document's row, so the only shuffles of term
-    rows are those of the weights: to the vocabulary (none if it is small
-    enough to broadcast) and to the document's norm."""
+    ``min_df`` is 2 or more."""
+    if min_df < 2:
+        raise ValueError("counted_terms leaves out the terms of one document; use document_terms for min_df = 1")
     tf, n_docs = counted_terms(df, text, key)
     vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
     return tfidf(tf, vocab, n_docs, key), vocab, n_docs

@@ -16,6 +16,7 @@ from starlens.operators.audit import add_class_weight
 from starlens.operators.clean import clean_reviews
 from starlens.operators.scorers import length_scorer
 from starlens.plans.audit import scored_reviews, tfidf_featurizer, tfidf_lr_model
+from starlens.plans.catalogue import product_catalogue
 from starlens.plans.q_audit import _audited as audited
 from starlens.plans.q_audit import audit_sql
 from starlens.plans.q_eval import F23_SQL, SPLIT_SQL
@@ -23,6 +24,7 @@ from starlens.plans.q_text import TERMS_SQL, TEXT_STAGES, TF_SQL
 from starlens.plans.registry import register, rounded
 from starlens.session import cut_lineage
 from starlens.sources import fixtures as fx
+from starlens.streaming.stream import scratch_dir
 
 
 def _split(spark, sf):
@@ -169,9 +171,9 @@ def j5_fit_table(spark, sf):
     train = cut_lineage(add_class_weight(train).select("review_id", "star_label", "class_weight", "text", *md.LEX_FEATURES))
     weights, _, n_docs = ft.tfidf_table(train)
     weights = cut_lineage(weights)
-    fit = sm.fit_logistic(weights, train, md.LEX_FEATURES, sample_weight="class_weight", tol=1e-3)
+    fit = sm.fit_logistic(weights, train, md.LEX_FEATURES, sample_weight="class_weight", tol=1e-2, memory=4)
     _, norm = sm.logistic_at(weights, train, fit.coefficients, fit.intercepts, fit.dense, sample_weight="class_weight")
-    return spark.createDataFrame([(n_docs, fit.coefficients.count(), norm <= 1.01e-3 * fit.start_norm)],
+    return spark.createDataFrame([(n_docs, fit.coefficients.count(), norm <= 1.01e-2 * fit.start_norm)],
                                  "n_docs long, n_terms long, reached boolean")
 
 
@@ -353,3 +355,9 @@ FROM (SELECT vec_id, max(n) FILTER (own) AS n_own, max(m * n / (n - 1)) FILTER (
 def j10_silhouette_given(spark, sf):
     out = md.nearest_centroid(fx.table(spark, sf, "embeddings"), _centroids(spark, sf))
     return rounded(spark.createDataFrame([(10, md.silhouette(md.to_vector(out, "embedding")))], "k int, silhouette double"))
+
+
+@register("j8_product_catalogue")
+def j8_product_catalogue(spark, sf):
+    """Products clustered by their reviews' words, named, written and read as a catalogue."""
+    return rounded(product_catalogue(clean_reviews(fx.reviews_raw(spark, sf)), 3, scratch_dir(spark, "catalogue")))

@@ -106,3 +106,22 @@ def test_silhouette(spark):
     one = sm.cosine_silhouette(long(spark, x), rows.filter("cluster = 'a'"))
     assert {r.silhouette for r in one.collect()} == {0.0}
     assert sm.cosine_silhouette(long(spark, x), rows.limit(0)).count() == 0
+
+
+def test_product_catalogue(spark):
+    """Products about the same things share a cluster, named by their words."""
+    from starlens.plans.catalogue import product_catalogue, product_weights
+    from starlens.streaming.stream import scratch_dir
+    topic = {0: "battery charge power", 1: "screen display colour", 2: "novel author chapter"}
+    rows = [(f"p{p}\r\nline", f"{topic[p % 3]} item{p} item{p} {topic[p % 3].split()[r % 3]}", 1 + (p + r) % 5)
+            for p in range(9) for r in range(4)] + [(None, "battery", 5), ("lonely", "unheard", 2)]
+    reviews = spark.createDataFrame(rows, "name string, text string, rating int")
+    got = product_catalogue(reviews, 3, scratch_dir(spark, "t-cat")).collect()
+    assert len(got) == 10 and {r.cluster_name for r in got if r.name == "lonely"} == {"Other"}
+    by = {}
+    for r in got:
+        if r.name != "lonely":
+            by.setdefault(r.cluster_name, set()).add(int(r.name[1]) % 3)
+    assert len(by) == 3 and all(len(v) == 1 for v in by.values()) and any("battery" in c for c in by)
+    norm = product_weights(reviews).groupBy("name").agg({"weight": "count"}).count()
+    assert norm == 9
