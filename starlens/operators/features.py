@@ -231,15 +231,27 @@ def tfidf(tf: DataFrame, vocab: DataFrame, n_docs: int, key: str = "review_id")
     return w.select(key, "term", "term_index", (F.col("w") / norm).alias("weight"))
 
 
+#: Bytes of a vocabulary up to which it is broadcast; they are counted each time.
+BROADCAST_BYTES = 64 << 20
+
+
+def near_vocabulary(vocab: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A pinned vocabulary, marked for broadcast if it is small enough: then
+    term rows stay where they are. Beyond that the join shuffles both sides."""
+    size = vocab.agg(F.sum(F.octet_length("term") + F.lit(56))).first()[0] or 0
+    return F.broadcast(vocab) if size <= limit else vocab
+
+
 def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
                 max_features: int | None = None, min_df: int = 2, max_df: float = 0.95):
     """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
     ``min_df`` is 2 or more."""
     if min_df < 2:
         raise ValueError("counted_terms leaves out the terms of one document; use document_terms for min_df = 1")
+    from starlens.session import cut_lineage
     tf, n_docs = counted_terms(df, text, key)
-    vocab = vocabulary(tf, n_docs, max_features, min_df, max_df)
-    return tfidf(tf, vocab, n_docs, key), vocab, n_docs
+    vocab = cut_lineage(vocabulary(tf, n_docs, max_features, min_df, max_df))
+    return tfidf(tf, near_vocabulary(vocab), n_docs, key), vocab, n_docs
 
 
 def cluster_keywords(weights: DataFrame, assignments: DataFrame, n: int = 10,

@@ -28,3 +28,19 @@ def test_strip_accents_is_nfkd_without_marks(spark):
 def test_terms_of_vietnamese(spark):
     df = spark.createDataFrame([(1, "Tiếng Việt, été")], "review_id int, text string")
     assert df.select(ft.word_tokens(F.col("text")).alias("w")).first().w == ["tieng", "viet", "ete"]
+
+
+def test_weights_with_and_without_broadcast(spark):
+    """The same weights; with the vocabulary broadcast, term rows are not shuffled by term."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(60)],
+                               "review_id int, text string")
+    tf, n = ft.counted_terms(df)
+    vocab = ft.vocabulary(tf, n)
+    both = [sorted((r.review_id, r.term, round(r.weight, 12)) for r in ft.tfidf(tf, ft.near_vocabulary(vocab, limit), n).collect())
+            for limit in (0, 1 << 20)]
+    assert both[0] == both[1] and len(both[0]) > 500
+    want = {(r.review_id, r.term) for r in ft.terms(df).distinct().collect()}
+    often = {t for t in {t for _, t in want} if sum((i, t) in want for i in range(60)) >= 2}
+    assert {(i, t) for i, t, _ in both[0]} == {(i, t) for i, t in want if t in often and sum((j, t) in want for j in range(60)) <= 0.95 * 60}
