@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starlens.functions.text import flatten_lines
+from starlens.operators.filters import filter_computed
 from starlens.session import cut_lineage
 
 
@@ -119,7 +120,7 @@ def hard_errors(df: DataFrame, n: int = 30, key: str = "review_id",
     columns = columns or ["rating", "true_label_name", "pred_label_name", "pred_confidence",
                           "lex_compound", "lex_strict_label_name", "conflict_type",
                           "review_title", "review_body"]
-    return (df.filter(~F.col("correct"))
+    return (filter_computed(df, ~F.col("correct"))
               .orderBy(F.desc("pred_confidence"), F.asc(key))
               .select(key, *columns)
               .limit(n))
