@@ -20,10 +20,15 @@ from starlens.sources import fixtures as fx
 from starlens.streaming import stream as st
 
 
-def _files(df, spark, name, parts=4):
+def _files(df, spark, name, parts=4, batches=4):
+    """(folder, files a trigger): the rows as files of a stream of about
+    ``batches`` batches. A table of ``parts`` partitions or more is written as
+    it is split, so the files grow in number and not in size and no task reads
+    more than its own split; a smaller one is dealt out."""
     path = st.scratch_dir(spark, name)
-    df.repartition(parts).write.mode("overwrite").parquet(path + "/in")
-    return path
+    n = df.rdd.getNumPartitions()
+    (df if n >= parts else df.repartition(parts)).write.mode("overwrite").parquet(path + "/in")
+    return path, -(-max(n, parts) // batches)
 
 
 @register("l1_score_stream", audit_sql("""
@@ -31,8 +36,8 @@ SELECT review_id, name, cluster_name, rating, lower(lex_label_name) AS sentiment
        round(lex_compound, 6) AS lex_compound FROM audited"""))
 def l1_score_stream(spark, sf):
     raw = fx.reviews_raw(spark, sf)
-    path = _files(raw, spark, "l1")
-    src = st.stream_source(spark, path + "/in", raw.schema, max_files_per_trigger=1)
+    path, files = _files(raw, spark, "l1")
+    src = st.stream_source(spark, path + "/in", raw.schema, max_files_per_trigger=files)
     lex = fx.lexicon(spark)
 
     def score(batch):
@@ -51,8 +56,8 @@ FROM audited"""))
 def l1_running_weights(spark, sf):
     """Weights of a stream: from the class counts of all its batches, as in the batch plan."""
     raw = fx.reviews_raw(spark, sf)
-    path = _files(raw, spark, "l1w")
-    src = st.stream_source(spark, path + "/in", raw.schema, max_files_per_trigger=1)
+    path, files = _files(raw, spark, "l1w")
+    src = st.stream_source(spark, path + "/in", raw.schema, max_files_per_trigger=files)
     lex = fx.lexicon(spark)
 
     def score(batch):
@@ -76,8 +81,8 @@ FROM (SELECT *, {NORM_LABEL_SQL.format(c='lbl0')} AS lbl FROM (
 GROUP BY cluster_name""", upto="joined"))
 def l2_streaming_kpis(spark, sf):
     r = numeric_reviews_with_sentiment(fx.reviews_num(spark, sf))
-    path = _files(r, spark, "l2")
-    src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=1)
+    path, files = _files(r, spark, "l2")
+    src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=files)
     enriched = st.enrich_stream(src, fx.catalog(spark, sf)).withColumn(
         "sentiment", label_name("sentiment"))
     state = st.run_updates(st.streaming_kpis(enriched), ["cluster_name"], path + "/ckpt", path + "/out")
@@ -88,8 +93,8 @@ def l2_streaming_kpis(spark, sf):
 SELECT name, cluster_name, ord, line FROM joined""", upto="joined"))
 def l3_enrich_stream(spark, sf):
     r = fx.reviews_num(spark, sf)
-    path = _files(r, spark, "l3")
-    src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=2)
+    path, files = _files(r, spark, "l3", batches=2)
+    src = st.stream_source(spark, path + "/in", r.schema, max_files_per_trigger=files)
     q = st.append_stream(st.enrich_stream(src, fx.catalog(spark, sf))
                            .select("name", "cluster_name", "ord", "line"),
                          path + "/out", path + "/ckpt")
@@ -100,8 +105,8 @@ def l3_enrich_stream(spark, sf):
 @register("l4_stream_ingest", fx.with_views("SELECT count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents"))
 def l4_stream_ingest(spark, sf):
     d = fx.table(spark, sf, "documents")
-    path = _files(d, spark, "l4", parts=8)
-    src = st.stream_source(spark, path + "/in", d.schema, max_files_per_trigger=2)
+    path, files = _files(d, spark, "l4", parts=8)
+    src = st.stream_source(spark, path + "/in", d.schema, max_files_per_trigger=files)
     agg = src.agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"))
     return st.run_updates(agg, [], path + "/ckpt", path + "/out")
 
@@ -111,7 +116,8 @@ def l4_stream_ingest(spark, sf):
 def l4_bounded_ingest(spark, sf):
     """Row budget of an ingest: 333 rows, whatever the size of the batches."""
     d = fx.table(spark, sf, "documents").select("doc_id", "lang", "source")
-    path = _files(d, spark, "l4b", parts=8)
+    path = st.scratch_dir(spark, "l4b")
+    d.repartition(8).write.mode("overwrite").parquet(path + "/in")
     src = st.stream_source(spark, path + "/in", d.schema, max_bytes_per_trigger=1)
     st.ingest_bounded(src, path + "/out", path + "/ckpt", 333, "doc_id").awaitTermination()
     return spark.read.parquet(path + "/out").agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_ids"))

@@ -65,3 +65,15 @@ def test_running_class_counts(spark):
     assert got == {0: (6, 1.0), 1: (6, 1.0), 2: (6, 1.0)}
     assert spark.read.parquet(path + "/out").agg(F.count("*")).first()[0] == 18
     assert st.running_class_weights(spark, path + "/none").count() == 0
+
+
+def test_stream_files_follow_the_splits(spark):
+    """The files of a stream grow in number with its table, its batches do not."""
+    import glob
+
+    from starlens.plans.q_stream import _files
+    df = spark.range(0, 4000, 1, 40)
+    for table, n, each in ((df, 40, 10), (df.coalesce(2), 4, 1)):
+        path, files = _files(table, spark, "t-files")
+        assert len(glob.glob(f"{path.removeprefix('file:')}/in/part-*")) == n and files == each
+        assert spark.read.parquet(path + "/in").distinct().count() == 4000
