@@ -44,3 +44,31 @@ def test_weights_with_and_without_broadcast(spark):
     want = {(r.review_id, r.term) for r in ft.terms(df).distinct().collect()}
     often = {t for t in {t for _, t in want} if sum((i, t) in want for i in range(60)) >= 2}
     assert {(i, t) for i, t, _ in both[0]} == {(i, t) for i, t in want if t in often and sum((j, t) in want for j in range(60)) <= 0.95 * 60}
+
+
+def test_terms_are_counted_in_their_row(spark):
+    """No exchange before the vocabulary; rows of one id stay documents of their own."""
+    df = spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc"), (None, "aa bb"), (4, None), (5, "x")], "review_id int, text string")
+    tf, n = ft.counted_terms(df)
+    assert n == 5 and "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.review_id, r.term, r.tf) for r in tf.collect()), key=repr)
+    assert got == sorted([(1, "aa", 2), (1, "bb", 1), (1, "aa bb", 1), (1, "bb aa", 1), (1, "bb", 1), (1, "cc", 1), (1, "bb cc", 1),
+                          (None, "aa", 1), (None, "bb", 1), (None, "aa bb", 1)], key=repr)
+    assert len({r["__row"] for r in tf.collect()}) == 3
+
+
+def test_pinned_rows_are_compact(spark):
+    """A long table with an id per term takes a fraction of its checkpoint."""
+    import os
+
+    from starlens.session import ensure_checkpoint_dir, pin_rows
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(base) for f in fs)
+
+    df = spark.range(0, 200_000, 1, 2).select((F.col("id") / 100).cast("long").alias("review_id"), (F.col("id") % 100).alias("term"),
+                                              (F.col("id") % 7 / 7).alias("weight"))
+    before = held()
+    out = pin_rows(df)
+    assert held() - before < 200_000 * 8 and sorted(out.collect()) == sorted(df.collect()) and out.schema == df.schema
