@@ -71,6 +71,7 @@ def test_stream_files_follow_the_splits(spark):
     """The files of a stream grow in number with its table, its batches do not."""
     import glob
 
+    from starlens.plans import registry  # noqa: F401  (registers the queries in order)
     from starlens.plans.q_stream import _files
     df = spark.range(0, 4000, 1, 40)
     for table, n, each in ((df, 40, 10), (df.coalesce(2), 4, 1)):
