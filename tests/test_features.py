@@ -72,3 +72,46 @@ def test_pinned_rows_are_compact(spark):
     before = held()
     out = pin_rows(df)
     assert held() - before < 200_000 * 8 and sorted(out.collect()) == sorted(df.collect()) and out.schema == df.schema
+
+
+def test_terms_in_slices_of_a_batch(spark):
+    """Documents counted a few tokens at a time, or all at once, have the same terms."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.choice([0, 1, 2, 40])))) for i in range(80)]
+    df = spark.createDataFrame([*rows, (80, None), (None, "aa aa")], "review_id int, text string").coalesce(1)
+    want = sorted(((r.review_id, r.term, r["count"]) for r in ft.terms(df).groupBy("review_id", "term").count().collect()), key=repr)
+    for at_once in (1, 7, 1 << 18):
+        got = sorted((tuple(r) for r in ft.term_frequencies(ft.document_terms(df), at_once=at_once).collect()), key=repr)
+        assert got == want
+    assert ft.term_frequencies(ft.document_terms(df.limit(0))).count() == 0
+
+
+def test_norm_deals_rows_out_by_key_once(spark):
+    """What follows the norm joins on the key without another exchange of term rows."""
+    df = spark.createDataFrame([(1, "aa bb"), (1, "aa cc"), (2, "bb cc aa"), (3, "dd")], "review_id int, text string")
+    tf, n = ft.counted_terms(df)
+    w = ft.tfidf(tf, ft.near_vocabulary(ft.vocabulary(tf, n, max_df=1.0)), n)
+    joined = w.join(df.select("review_id").hint("merge"), "review_id")
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert plan and "__row" in plan
+    executed = joined._jdf.queryExecution().executedPlan().toString()
+    by_row = [line for line in executed.splitlines() if "Exchange hashpartitioning(" in line and "__row" in line.split("hashpartitioning(")[1].split("]")[0]]
+    by_key = [line for line in executed.splitlines() if "Exchange hashpartitioning(review_id" in line]
+    assert not by_row and len(by_key) == 2
+    norms = {}
+    for r in w.collect():
+        norms[r.review_id] = norms.get(r.review_id, 0) + r.weight ** 2
+    assert abs(norms[1] - 2) < 1e-9 and abs(norms[2] - 1) < 1e-9         # two rows of one id stay two documents
+
+
+def test_keywords_by_term_number(spark):
+    """The same keywords, ties included, as with the terms' texts; no text is dealt out by document."""
+    rows = [(i, "xy"[i % 2], t) for i, t in enumerate(["bb aa", "cc bb", "aa bb", "bb cc dd", "dd aa", "cc dd", "aa", "dd"])]
+    df = spark.createDataFrame(rows, "review_id int, cluster_name string, text string")
+    w, vocab, _ = ft.tfidf_table(df, max_df=1.0)
+    plain = [r.asDict() for r in ft.cluster_keywords(w, df, 3).orderBy("cluster_name", "rank").collect()]
+    quick = ft.spelled(ft.cluster_keywords(ft.numbered(w), df, 3), vocab)
+    got = [r.asDict() for r in quick.orderBy("cluster_name", "rank").collect()]
+    assert quick.columns == ["cluster_name", "term", "mean_weight", "rank"] and len(got) == 6
+    assert [(r["cluster_name"], r["term"], r["rank"], round(r["mean_weight"], 9)) for r in got] == [
+        (r["cluster_name"], r["term"], r["rank"], round(r["mean_weight"], 9)) for r in plain]
