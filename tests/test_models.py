@@ -42,3 +42,19 @@ def test_document_terms_count_as_terms_do(spark):
     assert got == want and got[(5, "zz zz")] == 2
     assert docs.count() == 5
     assert ft.counted_terms(df)[1] == 5
+
+
+def test_predict_from_weights_before_their_norm(spark):
+    """The same predictions as from unit rows, with one exchange of term rows after the vocabulary's join."""
+    from starlens.operators import features as ft
+    texts = ["aa bb cc", "bb cc", "aa aa dd", "dd cc bb aa", None, "zz", "aa bb"]
+    df = spark.createDataFrame([(i % 6, t, 0.5 * i) for i, t in enumerate(texts)], "review_id int, text string, lex_pos double")
+    unit, vocab, _ = ft.tfidf_table(df, max_df=1.0)
+    raw, _, _ = ft.tfidf_table(df, max_df=1.0, norm=False)
+    b = vocab.select("term", *[((F.col("term_index") + c) % 3 - 1.0).alias(f"b{c}") for c in range(3)])
+    both = [md.linear_predict(w, b, [0.1, 0.0, -0.1], df, dense={"lex_pos": [0.2, 0.0, -0.2]}) for w in (unit, raw)]
+    got = [sorted([(r.review_id, str(r.text), r.pred_label, round(r.prob_negative, 9), round(r.prob_positive, 9)) for r in d.collect()])
+           for d in both]
+    assert got[0] == got[1] and len(got[0]) == 7
+    plan = both[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(review_id" in plan and "Window" not in plan
