@@ -64,6 +64,30 @@ def test_logistic(spark):
         sm.fit_logistic(weights, docs.filter("star_label > 5"), sample_weight="cw")
 
 
+def test_logistic_in_packed_blocks(spark, monkeypatch):
+    """Several blocks of documents and terms, repeated and absent keys, numbered terms:
+    the same as numpy on the summed rows."""
+    monkeypatch.setattr(sm, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(sm, "BLOCK_ENTRIES", 40)
+    x = matrix(7)
+    entries = long(spark, x, skip={5}).selectExpr("review_id", "cast(substr(term, 2) as long) as term", "weight")
+    entries = cut_lineage(entries.unionByName(entries.filter("review_id = 3")).unionByName(
+        entries.filter("review_id = 4").selectExpr("cast(null as long) as review_id", "term", "weight")))
+    keys = [*range(60), 3, None, 77]
+    docs = spark.createDataFrame([(q, int(i % 3), float(i % 5)) for i, q in enumerate(keys)], "review_id long, star_label int, u double")
+    own = np.stack([2 * x[3] if q == 3 else np.zeros(25) if q in (5, None, 77) else x[q] for q in keys])
+    labels, d1 = np.arange(63) % 3, np.c_[np.arange(63) % 5, np.ones(63)]
+    fit = sm.fit_logistic(entries, docs, ("u",), tol=1e-2, memory=3, n_terms=25)
+    b = np.zeros((25, 3))
+    for r in fit.coefficients.collect():
+        b[r.term] = (r.b0, r.b1, r.b2)
+    s = np.array([fit.dense["u"], fit.intercepts])
+    f, g = loss_and_gradient(own, d1, labels, np.ones(63), b, s, 1 / (2.0 * 63))
+    assert fit.converged and abs(f - fit.objective) < 1e-9 and abs(g - fit.gradient_norm) < 1e-9
+    at = sm.logistic_at(entries, docs, fit.coefficients, fit.intercepts, fit.dense, n_terms=25)
+    assert abs(at[0] - f) < 1e-9 and abs(at[1] - g) < 1e-9
+
+
 def test_kmeans_and_elbow(spark):
     x = matrix(3, n=90)
     x[7] = x[8]
