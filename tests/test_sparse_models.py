@@ -86,6 +86,7 @@ def test_logistic_in_packed_blocks(spark, monkeypatch):
     assert fit.converged and abs(f - fit.objective) < 1e-9 and abs(g - fit.gradient_norm) < 1e-9
     at = sm.logistic_at(entries, docs, fit.coefficients, fit.intercepts, fit.dense, n_terms=25)
     assert abs(at[0] - f) < 1e-9 and abs(at[1] - g) < 1e-9
+    assert {type(v) for v in (*at, fit.objective, fit.gradient_norm, fit.start_norm)} == {float}      # as rows take them
 
 
 def test_kmeans_and_elbow(spark):
