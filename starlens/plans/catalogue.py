@@ -9,29 +9,40 @@ from pyspark.sql import functions as F
 
 from starlens.operators import features as ft
 from starlens.operators.sparse_models import spherical_kmeans
-from starlens.session import cut_lineage
+from starlens.session import cut_lineage, pin_rows
 from starlens.sources import io
 
 
 def product_weights(reviews: DataFrame, product: str = "name", text: str = "text") -> DataFrame:
-    """Unit TF-IDF rows (product, term, weight): a product's document is all of
-    its reviews, counted review by review and added up, so no text of a popular
-    product is ever put together. Reviews without product do not count."""
+    """Unit TF-IDF rows (product, term, term_index, weight): a product's document
+    is all of its reviews, counted review by review and added up, so no text of a
+    popular product is ever put together. Its norm is a sum that is joined, for a
+    window would put all its terms into one task. Reviews without product do not
+    count."""
     reviews = reviews.filter(F.col(product).isNotNull())
     tf, _ = ft.counted_terms(reviews, text, product)
-    tf = cut_lineage(tf.groupBy(product, "term").agg(F.sum("tf").alias("tf")))
+    tf = pin_rows(tf.groupBy(product, "term").agg(F.sum("tf").alias("tf")))
     n = reviews.select(product).distinct().count()
-    return ft.tfidf(tf, ft.vocabulary(tf, n, max_df=1.0), n, product)
+    vocab = cut_lineage(ft.vocabulary(tf, n, max_df=1.0))
+    raw = pin_rows(ft.raw_tfidf(tf, ft.near_vocabulary(vocab), n, product))
+    norms = pin_rows(raw.groupBy(product).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__norm")))
+    return raw.join(ft.near_table(norms, 1), product).select(
+        product, "term", "term_index", (F.col("w") / F.col("__norm")).alias("weight"))
 
 
 def product_catalogue(reviews: DataFrame, k: int, path: str, product: str = "name", text: str = "text",
                       rating: str = "rating", n_words: int = 3) -> DataFrame:
     """``name, cluster_name, rating`` of every product, written to ``path`` as
     CSV and read again. A cluster is named by its ``n_words`` strongest terms;
-    products without any term shared with another one go to ``Other``."""
-    weights = cut_lineage(product_weights(reviews, product, text))
+    products without any term shared with another one go to ``Other``. Terms are
+    numbers but for the few that name a cluster."""
+    terms = pin_rows(product_weights(reviews, product, text))
+    weights = ft.numbered(terms, product)
     clusters = spherical_kmeans(weights, [k], key=product).of(k, product)
-    names = ft.keyword_names(ft.cluster_keywords(weights, clusters, n_words, product, "cluster"), n_words, "cluster")
+    keywords = cut_lineage(ft.cluster_keywords(weights, clusters, n_words, product, "cluster"))
+    chosen = keywords.select(F.col("term").alias("term_index")).distinct()
+    spelled = ft.spelled(keywords, terms.join(F.broadcast(chosen), "term_index").select("term_index", "term").distinct())
+    names = ft.keyword_names(spelled, n_words, "cluster")
     named = ft.name_clusters(clusters, names, "cluster").select(product, "cluster_label")
     stats = reviews.filter(F.col(product).isNotNull()).groupBy(product).agg(F.avg(rating).alias("rating"))
     out = stats.join(named, product, "left").select(

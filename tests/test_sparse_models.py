@@ -150,3 +150,14 @@ def test_product_catalogue(spark):
     assert len(by) == 3 and all(len(v) == 1 for v in by.values()) and any("battery" in c for c in by)
     norm = product_weights(reviews).groupBy("name").agg({"weight": "count"}).count()
     assert norm == 9
+
+
+def test_product_norms_are_sums(spark):
+    """No window over a product's terms, which are one task's; unit rows all the same."""
+    from pyspark.sql import functions as F
+    from starlens.plans.catalogue import product_weights
+    reviews = spark.createDataFrame([(f"p{i % 3}", f"aa bb w{i % 5} w{i % 5}") for i in range(20)], "name string, text string")
+    out = product_weights(reviews)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    norms = out.groupBy("name").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert len(norms) == 3 and all(abs(r.s - 1) < 1e-12 for r in norms)
