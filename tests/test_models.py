@@ -58,3 +58,42 @@ def test_predict_from_weights_before_their_norm(spark):
     assert got[0] == got[1] and len(got[0]) == 7
     plan = both[1]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(review_id" in plan and "Window" not in plan
+
+
+def test_vectors_are_built_and_read_without_python(spark):
+    from pyspark.ml.linalg import Vectors
+    docs = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.0)], "review_id int, lex_pos double")
+    weights = spark.createDataFrame([(1, 3, 0.6), (1, 0, 0.8), (3, 2, 1.0)], "review_id int, term_index long, weight double")
+    out = md.assemble(docs, weights, 4, dense_cols=("lex_pos",))
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.review_id: r.features for r in out.collect()}
+    assert got[1] == Vectors.sparse(5, [0, 3, 4], [0.8, 0.6, 0.5]) and got[3] == Vectors.sparse(5, [2, 4], [1.0, 0.0])
+    both = spark.createDataFrame([(Vectors.dense(1.0, 0.0, 2.0),), (Vectors.sparse(4, {1: 3.0}),), (Vectors.sparse(2, {}),)], ["v"])
+    parts = md.sparse_parts("v")
+    assert [tuple(r) for r in both.select(parts["size"], parts["indices"], parts["values"]).collect()] == [
+        (3, [0, 1, 2], [1.0, 0.0, 2.0]), (4, [1], [3.0]), (2, [], [])]
+
+
+def test_fit_of_vectors_is_the_optimum_and_predicts_row_by_row(spark):
+    """The gradient of the penalised loss is small at what the fit returns; equal keys stay rows of their own."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(80, 6)) * (rng.random((80, 6)) < 0.5), rng.integers(0, 3, 80)
+    rows = [(i // 2, int(y[i]), Vectors.sparse(6, [(j, float(v)) for j, v in enumerate(x[i]) if v])) for i in range(80)]
+    df = spark.createDataFrame(rows, ["review_id", "star_label", "features"])
+    model = md.fit_sentiment_lr(df, tol=1e-6)
+    b, b0 = np.zeros((6, 3)), np.array(model.intercepts)
+    for r in model.coefficients.collect():
+        b[r.term] = [r.b0, r.b1, r.b2]
+    c = 80 / (3 * np.bincount(y))[y]
+    z = x @ b + b0
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    r = c[:, None] / c.sum() * (p - np.eye(3)[y])
+    assert model.n_features == 6 and model.fit.converged
+    assert np.abs(x.T @ r + b / (2 * c.sum())).max() < 1e-3 and np.abs(r.sum(axis=0)).max() < 1e-3
+    out = md.predict(model, df)
+    assert set(out.columns) == {"review_id", "star_label", "features", "pred_label", "prob_negative", "prob_neutral",
+                                "prob_positive", "pred_confidence"}
+    got = sorted((q.review_id, round(q.prob_negative, 8), round(q.prob_positive, 8)) for q in out.collect())
+    assert got == sorted((i // 2, round(float(p[i, 0]), 8), round(float(p[i, 2]), 8)) for i in range(80))
