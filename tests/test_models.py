@@ -63,11 +63,11 @@ def test_predict_from_weights_before_their_norm(spark):
 def test_vectors_are_built_and_read_without_python(spark):
     from pyspark.ml.linalg import Vectors
     docs = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.0)], "review_id int, lex_pos double")
-    weights = spark.createDataFrame([(1, 3, 0.6), (1, 0, 0.8), (3, 2, 1.0)], "review_id int, term_index long, weight double")
+    weights = spark.createDataFrame([(1, 3, 0.6), (1, 0, 0.5), (1, 0, 0.25), (3, 2, 1.0)], "review_id int, term_index long, weight double")
     out = md.assemble(docs, weights, 4, dense_cols=("lex_pos",))
     assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.review_id: r.features for r in out.collect()}
-    assert got[1] == Vectors.sparse(5, [0, 3, 4], [0.8, 0.6, 0.5]) and got[3] == Vectors.sparse(5, [2, 4], [1.0, 0.0])
+    assert got[1] == Vectors.sparse(5, [0, 3, 4], [0.75, 0.6, 0.5]) and got[3] == Vectors.sparse(5, [2, 4], [1.0, 0.0])
     both = spark.createDataFrame([(Vectors.dense(1.0, 0.0, 2.0),), (Vectors.sparse(4, {1: 3.0}),), (Vectors.sparse(2, {}),)], ["v"])
     parts = md.sparse_parts("v")
     assert [tuple(r) for r in both.select(parts["size"], parts["indices"], parts["values"]).collect()] == [
