@@ -254,8 +254,13 @@ def near_vocabulary(vocab: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 def tfidf_table(df: DataFrame, text: str = "text", key: str = "review_id",
                 max_features: int | None = None, min_df: int = 2, max_df: float = 0.95, norm: bool = True):
     """J1 -> J2 -> J3 in one call; returns (tfidf long table, vocabulary, N).
-    Without ``norm`` the weights are those of ``raw_tfidf``."""
+    Without ``norm`` the weights are those of ``raw_tfidf``. Unit weights of a
+    whole vocabulary come from ``packed``, a few bytes an entry on the way."""
+    from starlens.operators.packed import n_buckets, packed_terms
     from starlens.session import cut_lineage
+    if norm and max_features is None:
+        packed = packed_terms(document_terms(df, text, key), key, n_buckets(df), min_df, max_df)
+        return packed.rows(), packed.ranked().select("term", "df", "cnt", "term_index"), packed.n_docs
     tf, n_docs = counted_terms(df, text, key)
     vocab = cut_lineage(vocabulary(tf, n_docs, max_features, min_df, max_df))
     return (tfidf if norm else raw_tfidf)(tf, near_vocabulary(vocab), n_docs, key), vocab, n_docs
